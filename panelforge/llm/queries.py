@@ -18,12 +18,25 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.compression_rules import compression_rules
+
+    return compression_rules(_table(spark, sf_dir, "documents"))
+
+
+def op8_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.mixing import plan_mix
+
+    rows = plan_mix(_table(spark, sf_dir, "documents"))
+    return rows.selectExpr("doc_id", "_mix_size AS size", "_mix_source_size AS source_size", "_mix_target AS target", "_mix_taken AS taken", "transform(_mix_draws, d -> d.shard) AS shards")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op9_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op6_compression_bands, op8_splitting_tree_mix, op9_best_fit_packing)}
 
 ORACLE: dict[str, str] = {}
