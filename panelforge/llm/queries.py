@@ -18,6 +18,12 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.compression_rules import compression_rules
 
@@ -37,6 +43,6 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op6_compression_bands, op8_splitting_tree_mix, op9_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op5_circulant_minhash, op6_compression_bands, op8_splitting_tree_mix, op9_best_fit_packing)}
 
 ORACLE: dict[str, str] = {}
