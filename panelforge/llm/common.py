@@ -61,20 +61,18 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str) -> DataFrame:
-    """mapInArrow with dictionaries of Python lists in, dictionaries of lists or arrays out."""
-    want = T._parse_datatype_string(schema) if hasattr(T, "_parse_datatype_string") else None
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str, arrays: bool = False) -> DataFrame:
+    """mapInArrow with dictionaries of Python lists in (or of Arrow arrays), of lists or arrays out."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    if want is None:
-        want = T.StructType.fromDDL(schema)
+    want = T.StructType.fromDDL(schema)
     target = to_arrow_schema(want)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def dicts() -> Iterator[dict[str, list]]:
             for batch in batches:
                 if batch.num_rows:
-                    yield {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+                    yield {n: batch.column(i) if arrays else batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
 
         for out in fn(dicts()):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import Scratch, arrow_map, bounded_batches, crc_u32
-from panelforge.llm.tokenize import Encoder
+from panelforge.llm.tokenize import encoder
 
 
 class Complements:
@@ -156,13 +156,13 @@ def place(length: np.ndarray, rank: np.ndarray, table: dict[int, tuple[np.ndarra
 
 def cut_pieces(docs: DataFrame, tokenizer: str, space_prefix: bool, end_id: int, capacity: int) -> DataFrame:
     """Pieces with the partition that made them and their rank among its pieces of that length."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 2000)
 
     def pieces(batches):
-        encoder, chunk, seen = Encoder(tokenizer, space_prefix), TaskContext.get().partitionId(), Counter()
+        words, chunk, seen = encoder(tokenizer, space_prefix), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth")}
-            for doc, ids in zip(batch["doc_id"], encoder.encode(batch["text"]), strict=True):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"]), strict=True):
                 ids = np.append(ids, ids.dtype.type(end_id))
                 first = (len(ids) - 1) % capacity + 1
                 start, piece = 0, 0
@@ -174,7 +174,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, space_prefix: bool, end_id: int,
                     start, piece = stop, piece + 1
             yield out
 
-    return arrow_map(docs.select("doc_id", "text"), pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long")
+    return arrow_map(docs.select("doc_id", "text"), pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long", arrays=True)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, space_prefix: bool = True, end_id: int = 0, capacity: int = 2048) -> DataFrame:

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from panelforge.llm.tokenize import gather
+
 MAGIC = b"RPG1"
 
 
@@ -95,16 +97,7 @@ class Shard:
         return np.array(out, dtype=np.uint32)
 
 
-def gather(symbols: np.ndarray, lengths: np.ndarray, places: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """The expansions of these symbols, one after the other."""
-    n = lengths[symbols]
-    before = np.cumsum(n) - n
-    at = np.repeat((places[symbols] - before).astype(np.int32), n)
-    at += np.arange(len(at), dtype=np.int32)
-    return flat[at]
-
-
-def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: int = 5, min_uses: int = 8, per_round: int = 8192, bits: int = 20) -> Shard:
+def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: int = 3, min_uses: int = 8, per_round: int = 8192, bits: int = 18) -> Shard:
     """Each round replaces the most frequent pairs, at most per_round of them, each with min_uses uses at least.
 
     Pairs are counted exactly for the pair that holds a slot of a 2**bits table; one that

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import Scratch, arrow_map, bounded_batches, crc_u32, shuffle_parts
 from panelforge.llm.repair import Shard, build
-from panelforge.llm.tokenize import Encoder
+from panelforge.llm.tokenize import encoder
 
 SHARD_TOKENS = 1 << 20
 
@@ -25,12 +25,12 @@ def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, s
     the shard. A worker holds the documents of one shard at a time.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 2000)
     rows = docs.select("doc_id", "text")
     rows = rows.repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def shards(batches):
-        encoder, part, before = Encoder(tokenizer, space_prefix), TaskContext.get().partitionId(), 0
+        words, part, before = encoder(tokenizer, space_prefix), TaskContext.get().partitionId(), 0
         ids, held, size = [], [], 0
 
         def flush():
@@ -42,7 +42,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, s
             return out
 
         for batch in batches:
-            for doc, got in zip(batch["doc_id"], encoder.encode(batch["text"]), strict=True):
+            for doc, got in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"]), strict=True):
                 got = np.append(got, got.dtype.type(end_id))
                 if held and size + len(got) > shard_tokens:
                     yield flush()
@@ -52,7 +52,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, s
         if held:
             yield flush()
 
-    return scratch.save(arrow_map(rows, shards, "part int, part_start long, n_tokens long, payload binary"), name)
+    return scratch.save(arrow_map(rows, shards, "part int, part_start long, n_tokens long, payload binary", arrays=True), name)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from panelforge.llm.common import WordMemo
 
-#: White space beside single blanks and line feeds between other characters.
-_ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|\0")
-
+#: White space beside single blanks and line feeds between other characters, and the mark that pieces are cut at.
+_ODD_SPACE = "[\t\x0b\x0c\r\x1c-\x1f\x00\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]|\\A[ \n]|[ \n]\\z"
 
 #: How byte-level vocabularies write the bytes that aren't printable: 256 onwards, in order.
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
@@ -27,7 +28,7 @@ class Encoder:
     a piece.
     """
 
-    def __init__(self, path: str, space_prefix: bool, limit: int = 250_000):
+    def __init__(self, path: str, space_prefix: bool, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,10 +72,7 @@ class Encoder:
         return out
 
     def pieces(self, text: str) -> list[str]:
-        if not self.prefix:  # white space is dropped: any of it may be cut out
-            return text.replace("\n", " ").split(" ")
-        if not _ODD_SPACE.search(text):
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        """Pieces of a text with other white space, cut at single blanks only."""
         parts = text.split(" ")
         out, held = [], parts[0]
         for p in parts[1:]:
@@ -86,8 +84,44 @@ class Encoder:
         out.append(held)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, null as empty."""
-        split = [self.pieces(t) if t else [] for t in texts]
-        table = self.memo.table(set().union(*split))
-        return [np.frombuffer(b"".join(map(table.__getitem__, s)), dtype=self.dtype) for s in split]
+        texts = texts.fill_null("")
+        if not self.prefix:
+            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:
+            odd = pc.match_substring_regex(texts, _ODD_SPACE)
+            plain = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), " ", "\0 "), "\n", "\0\n\0")
+            split = pc.split_pattern(plain, "\0")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        table = self.memo.table(set(words))
+        ids = list(map(table.__getitem__, words))
+        width = self.dtype().itemsize
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        index = coded.indices.to_numpy()
+        all_ids = gather(index, lengths, np.cumsum(lengths) - lengths, flat)
+        ends = np.concatenate([[0], np.cumsum(lengths[index])])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        out = [all_ids[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        if self.prefix:
+            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+                pieces = self.pieces(texts[int(i)].as_py())
+                table = self.memo.table(set(pieces))
+                out[i] = np.frombuffer(b"".join(map(table.__getitem__, pieces)), dtype=self.dtype)
+        return out
+
+
+def gather(symbols: np.ndarray, lengths: np.ndarray, places: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The stretches of flat that these symbols stand for, one after the other."""
+    n = lengths[symbols]
+    before = np.cumsum(n) - n
+    at = np.repeat((places[symbols] - before).astype(np.int32), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, space_prefix: bool) -> Encoder:
+    """One for each worker process, so that its words stay known from task to task."""
+    return Encoder(path, space_prefix)
