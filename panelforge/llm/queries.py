@@ -12,12 +12,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.token_output import token_output
 
     return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.near_dup import near_duplicates
 
@@ -30,6 +42,12 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules(_table(spark, sf_dir, "documents"))
 
 
+def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.quality_model import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.mixing import plan_mix
 
@@ -43,6 +61,24 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op5_circulant_minhash, op6_compression_bands, op8_splitting_tree_mix, op9_best_fit_packing)}
-
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ball_tree_topk, op2_token_output, op3_crf_toxicity, op5_circulant_minhash, op6_compression_bands, op7_subword_quality, op8_splitting_tree_mix, op9_best_fit_packing)}
+
+#: A product over the components of every query and candidate; the nested loop is DuckDB's.
+_OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE: dict[str, str] = {"op1_ball_tree_topk": _OP1}
