@@ -105,13 +105,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted unsigned 64-bit keys as compressed bytes."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(keys).tobytes())
-
-
 def pack(a: np.ndarray) -> bytes:
     import zstandard
 
@@ -143,7 +136,9 @@ class WordMemo:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         missing = []
-        for w in need - young.keys():
+        for w in need:
+            if w in young:
+                continue
             v = old.get(w)
             if v is None:
                 missing.append(w)
