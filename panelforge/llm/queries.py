@@ -61,7 +61,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ball_tree_topk, op2_token_output, op3_crf_toxicity, op5_circulant_minhash, op6_compression_bands, op7_subword_quality, op8_splitting_tree_mix, op9_best_fit_packing)}
+def op10_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.pii import find_personal_data
+
+    return find_personal_data(_table(spark, sf_dir, "documents")).drop("redacted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ball_tree_topk, op2_token_output, op3_crf_toxicity, op5_circulant_minhash, op6_compression_bands, op7_subword_quality, op8_splitting_tree_mix, op9_best_fit_packing, op10_bilstm_crf_pii)}
 
 #: A product over the components of every query and candidate; the nested loop is DuckDB's.
 _OP1 = """
