@@ -1,6 +1,65 @@
-STAGES = []
+"""The corpus pipeline: toxicity, near duplicates, personal data, mixing, packing.
+
+Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and
+read again as the next one's docs. All but the last return the columns of docs. No SQL can
+express the stages (fitted models, MinHash, a tokenizer), so tests hold them against
+brute-force versions.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm.common import Scratch, held_out_by
+from panelforge.llm.mixing import mixed_documents
+from panelforge.llm.near_dup import near_duplicates
+from panelforge.llm.packing import pack_documents
+from panelforge.llm.pii import redact_documents
+from panelforge.llm.toxicity import ToxicParams, fit, score_toxicity
+from panelforge.llm.words import labelled_sample
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below one half, in place: the verdict is a column beside the row."""
+    p = ToxicParams()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    sample = labelled_sample(docs, labels, "toxic", ~held_out_by(5, 0), p.sample, p.toxic_share)
+    return score_toxicity(docs, fit(sample, p), p, keep=docs.columns).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component: of its smallest doc_id, one of equal rows. Rows without an id stay."""
+    out = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    rows = docs.join(out, "doc_id", "left_anti")
+    once = rows.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(rows.filter("doc_id is null")).select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("personal data", redact), ("mixing", mix_sources), ("packing", pack)]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every other stage's are a table in the shared folder."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            scratch.drop(f"stage{i - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)

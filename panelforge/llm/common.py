@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -40,8 +41,14 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Shuffle files of finished steps go when the driver's JVM collects what stands for them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Removes tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -61,11 +68,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str, arrays: bool = False) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str | T.StructType, arrays: bool = False) -> DataFrame:
     """mapInArrow with dictionaries of Python lists in (or of Arrow arrays), of lists or arrays out."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    want = T.StructType.fromDDL(schema)
+    want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     target = to_arrow_schema(want)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,10 +22,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import Scratch, WordMemo, arrow_map, bounded_batches, mix64, pack, text_bytes, unpack
+from panelforge.llm.common import Scratch, WordMemo, arrow_map, bounded_batches, mix64, text_bytes
 
 
 @dataclass(frozen=True)
@@ -97,24 +97,23 @@ def linked(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
     return 100 * common >= pct * (len(a) + len(b) - common)
 
 
-def shingle_sets(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the set (null if empty), the set and the signature."""
+def shingle_sets(docs: DataFrame, p: NearDupParams, with_members: bool) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit name of the set (null if empty), the signature, and the set if wanted."""
     bounded_batches(docs.sparkSession)
+    ddl = "doc_id long, n_shingles long, set_name binary, sig binary" + ", members binary" * with_members
 
     def sets(batches):
         import xxhash
 
         memo = word_codes()
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "set_name", "members", "sig")}
+            rows = []
             for doc, raw in zip(batch["doc_id"], batch["raw"], strict=True):
                 codes = shingles(raw, memo, p.words)
-                row = (doc, len(codes), *((xxhash.xxh3_128_digest(codes.tobytes()), codes.tobytes(), signature(codes, p).astype("<u4").tobytes()) if len(codes) else (None, None, None)))
-                for k, v in zip(out, row, strict=True):
-                    out[k].append(v)
-            yield out
+                rows.append((doc, len(codes), xxhash.xxh3_128_digest(codes.tobytes()), signature(codes, p).astype("<u4").tobytes(), codes.tobytes()) if len(codes) else (doc, 0, None, None, None))
+            yield dict(zip(("doc_id", "n_shingles", "set_name", "sig", "members"), zip(*rows, strict=True), strict=True))
 
-    return arrow_map(docs.select("doc_id", text_bytes().alias("raw")), sets, "doc_id long, n_shingles long, set_name binary, members binary, sig binary")
+    return arrow_map(docs.select("doc_id", text_bytes().alias("raw")), sets, ddl)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -143,10 +142,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def find_links(sets: DataFrame, scratch: Scratch, p: NearDupParams) -> DataFrame:
+def find_links(sets: DataFrame, docs: DataFrame, scratch: Scratch, p: NearDupParams) -> DataFrame:
     """(a, b) links between classes, enough to connect every two that links connect.
 
-    sets: node, n, members, sig; one row for each distinct set.
+    sets: node, n, sig; one row for each distinct set. Full sets are made again from docs, for
+    the classes that share a band with another.
     """
     pct, spark = p.similarity_pct, sets.sparkSession
 
@@ -166,7 +166,8 @@ def find_links(sets: DataFrame, scratch: Scratch, p: NearDupParams) -> DataFrame
     pairs = pairs.filter((F.col("node") != F.col("hub.node")) & (F.col("n") * 100 >= F.col("hub.n") * pct) & (F.col("hub.n") * 100 >= F.col("n") * pct))
     pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     pairs = scratch.save(pairs, "pairs")
-    wanted = scratch.save(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "members"), "wanted")
+    texts = docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = scratch.save(shingle_sets(texts, p, True).filter("members is not null").select(F.col("doc_id").alias("node"), "members", "sig"), "wanted")
     withsets = pairs.join(wanted.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a")
     withsets = withsets.join(wanted.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b")
 
@@ -177,7 +178,6 @@ def find_links(sets: DataFrame, scratch: Scratch, p: NearDupParams) -> DataFrame
 
     stars = scratch.save(arrow_map(withsets, verify, "a long, b long"), "stars")
     comp = scratch.save(components(stars, scratch), "comp")
-    scratch.drop("wanted")
 
     # buckets whose members are in several components still: all pairs across, in blocks
     tagged = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -188,7 +188,6 @@ def find_links(sets: DataFrame, scratch: Scratch, p: NearDupParams) -> DataFrame
     # block i meets every block j >= i, itself included
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     rows = rows.withColumn("cell", F.explode(meets)).select("key", "cell.i", "cell.j", "block", "node", "comp")
-    wanted = scratch.save(sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "members", "sig"), "wanted2")
     cells = rows.join(wanted, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -226,16 +225,17 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with the same set), kept.
 
     Null or empty texts have no shingles and stand alone, as do documents with a null
-    doc_id (their component is null and they are kept). A repeated doc_id with equal text is
-    one class. Of a component the smallest doc_id is kept; an empty table gives no rows.
+    doc_id (their component is null and they are kept). Rows with one doc_id are one
+    document, linked by any of its texts. Of a component the smallest doc_id is kept; an empty table gives no rows.
     """
     p, scratch = params, Scratch(docs.sparkSession, "neardup")
-    sets = scratch.save(shingle_sets(docs, p), "sets")
+    sets = scratch.save(shingle_sets(docs, p, False), "sets")
     named = sets.filter("set_name is not null and doc_id is not null")
     classes = scratch.save(named.groupBy("set_name").agg(F.min("doc_id").alias("class_id")), "classes")
-    # one row of each class carries its set; more only if a doc_id repeats
-    firsts = named.join(classes, (named.set_name == classes.set_name) & (named.doc_id == classes.class_id)).select(F.col("class_id").alias("node"), F.col("n_shingles").alias("n"), "members", "sig")
-    links = find_links(firsts, scratch, p)
+    # one row of each class carries its signature; more only if a doc_id repeats
+    firsts = named.join(classes, (named.set_name == classes.set_name) & (named.doc_id == classes.class_id)).select(F.col("class_id").alias("node"), F.col("n_shingles").alias("n"), "sig")
+    firsts = scratch.save(firsts, "firsts")
+    links = find_links(firsts, docs, scratch, p)
     comp = scratch.save(components(links, scratch), "components")
     found = classes.join(comp, classes.class_id == comp.node, "left").select("set_name", "class_id", F.coalesce("comp", "class_id").alias("component_id"))
     rows = sets.select("doc_id", "n_shingles", "set_name").join(found, "set_name", "left")

@@ -13,6 +13,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,10 +242,8 @@ def redact_documents(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFr
     """docs with personal data replaced in text, and n_chars, if there, of the new text."""
     bounded_batches(docs.sparkSession)
     tagger, margin = fitted(docs, params), params.margin
-    from pyspark.sql.pandas.functions import pandas_udf
-    import pandas as pd
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def clean(text: pd.Series) -> pd.Series:
         texts = [t or "" for t in text]
         return pd.Series([None if t is None else redacted(t, a) for t, (_, a) in zip(text, find_all(texts, tagger, margin), strict=True)], dtype=object)

@@ -30,6 +30,12 @@ def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.ngram_lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.near_dup import near_duplicates
 
@@ -67,7 +73,7 @@ def op10_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents")).drop("redacted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ball_tree_topk, op2_token_output, op3_crf_toxicity, op5_circulant_minhash, op6_compression_bands, op7_subword_quality, op8_splitting_tree_mix, op9_best_fit_packing, op10_bilstm_crf_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ball_tree_topk, op2_token_output, op3_crf_toxicity, op4_log_frequency_bloom_lm, op5_circulant_minhash, op6_compression_bands, op7_subword_quality, op8_splitting_tree_mix, op9_best_fit_packing, op10_bilstm_crf_pii)}
 
 #: A product over the components of every query and candidate; the nested loop is DuckDB's.
 _OP1 = """

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelforge.llm.common import WordMemo, arrow_map, bounded_batches, held_out_by
 from panelforge.llm.words import coded_words, labelled_sample, segment_sums
@@ -200,12 +200,13 @@ def fit(sample: list[tuple[str, int]], p: ToxicParams = ToxicParams()) -> ToxicM
     return ToxicModel(chain, float(a), float(b))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicModel, p: ToxicParams = ToxicParams()) -> DataFrame:
-    """docs' doc_id with score, predicted and spans (start, end, probability) of its toxic words.
+def score_toxicity(docs: DataFrame, model: ToxicModel, p: ToxicParams = ToxicParams(), keep: list[str] | None = None) -> DataFrame:
+    """docs' doc_id (or the columns in keep) with score, predicted and spans (start, end, probability) of its toxic words.
 
     Null and empty texts have no toxic word. Each row is scored alone, so repeated rows agree.
     """
     bounded_batches(docs.sparkSession)
+    kept = [c for c in keep or ["doc_id"] if c not in ("score", "predicted", "spans")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the weight table: 2**bits floats
 
     def scores(batches):
@@ -224,9 +225,10 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, p: ToxicParams = ToxicPar
                         lead = len(w) - len(w.lstrip(EDGE))
                         spans[t].append({"start": at + lead, "end": at + max(lead, len(w.rstrip(EDGE))), "p": float(prob[k])})
                     at += len(w) + 1
-            yield {"doc_id": batch["doc_id"], "score": score, "predicted": (score >= 0.5).astype(np.int32), "spans": spans}
+            yield {**{c: batch[c] for c in kept}, "score": score, "predicted": (score >= 0.5).astype(np.int32), "spans": spans}
 
-    return arrow_map(docs.select("doc_id", "text"), scores, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>", arrays=True)
+    out = StructType([docs.schema[c] for c in kept] + StructType.fromDDL("score double, predicted int, spans array<struct<start:int,end:int,p:double>>").fields)
+    return arrow_map(docs.select(*dict.fromkeys([*kept, "text"])), scores, out, arrays=True)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> DataFrame:
