@@ -60,7 +60,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     # one row for each range partition of the writer, however large the corpus
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     totals = totals.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("base"))
-    placed = shards.join(totals, "part").select((F.col("base") + F.col("part_start")).alias("base"), "payload")
+    placed = shards.join(F.broadcast(totals), "part").select((F.col("base") + F.col("part_start")).alias("base"), "payload")
 
     def digests(batches):
         for batch in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
 
@@ -15,6 +16,9 @@ from panelforge.llm.common import WordMemo
 #: White space beside single blanks and line feeds between other characters, and the mark that pieces are cut at.
 _ODD_SPACE = "[\t\x0b\x0c\r\x1c-\x1f\x00\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]|\\A[ \n]|[ \n]\\z"
 
+#: Letters below U+0250 of which each has one small form.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+
 #: How byte-level vocabularies write the bytes that aren't printable: 256 onwards, in order.
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
@@ -28,13 +32,14 @@ class Encoder:
     a piece.
     """
 
-    def __init__(self, path: str, space_prefix: bool, limit: int = 200_000):
+    def __init__(self, path: str, space_prefix: bool, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.prefix = " " if space_prefix else ""
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.letters = re.compile(f"{self.prefix}[{_LETTERS}]+").fullmatch
         self.code = "H" if self.dtype is np.uint16 else "I"
         self.memo = WordMemo(self._encode, limit)
 
@@ -48,29 +53,42 @@ class Encoder:
         tokens = self.tokenizer.model.tokenize(("\u0120" if self.prefix else "") + shown)
         return array(self.code, [t.id for t in tokens]).tobytes()
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """A word of letters and the comma or stop after it are encoded apart."""
+    def _encode(self, stems: list[str]) -> list[bytes]:
         out: list[bytes] = []
         later: list[int] = []
-        tail = dict(zip((",", "."), self._raw([",", "."]), strict=True))
-        own: dict[str, bytes] = {}
         skip = len(self.prefix)
-        for i, p in enumerate(pieces):
-            word, end = (p[skip:-1], tail[p[-1]]) if p[-1:] in tail else (p[skip:], b"")
-            if p.startswith(self.prefix) and word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
-                if not self.prefix:
-                    word = word.lower()
-                ids = own.get(word)
-                if ids is None:
-                    ids = own[word] = self._word(word)
-                out.append(ids + end)
+        for i, w in enumerate(stems):
+            if self.letters(w):
+                out.append(self._word(w[skip:]))
             else:
                 out.append(b"")
                 later.append(i)
-        for i, ids in zip(later, self._raw([pieces[i] for i in later]), strict=True):
+        for i, ids in zip(later, self._raw([stems[i] for i in later]), strict=True):
             out[i] = ids
         return out
 
+    def _tables(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Length of the ids of each of these words, and all of their ids."""
+        table = self.memo.table(set(words))
+        ids = list(map(table.__getitem__, words))
+        return np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype().itemsize, np.frombuffer(b"".join(ids), self.dtype)
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As _tables, with a word of letters and the comma or stop after it looked up apart."""
+        stem = pc.utf8_slice_codeunits(words, 0, -1)
+        comma, stop = pc.ends_with(words, ","), pc.ends_with(words, ".")
+        cut = pc.and_(pc.or_(comma, stop), pc.match_substring_regex(stem, f"\\A{self.prefix}[{_LETTERS}]+\\z"))
+        stems = pc.if_else(cut, stem, words)
+        if not self.prefix:  # this vocabulary has small letters only
+            stems = pc.if_else(pc.match_substring_regex(stems, f"\\A[{_LETTERS}]+\\z"), pc.utf8_lower(stems), stems)
+        coded = stems.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        lengths, flat = self._tables([*known, "", ",", "."])
+        cut = cut.to_numpy(zero_copy_only=False)
+        tail = len(known) + np.where(cut, np.where(comma.to_numpy(zero_copy_only=False), 1, 2), 0)
+        parts = np.stack([coded.indices.to_numpy(), tail], axis=1).ravel()
+        return lengths[parts].reshape(-1, 2).sum(axis=1), gather(parts, lengths, np.cumsum(lengths) - lengths, flat)
+
     def pieces(self, text: str) -> list[str]:
         """Pieces of a text with other white space, cut at single blanks only."""
         parts = text.split(" ")
@@ -94,21 +112,14 @@ class Encoder:
             plain = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), " ", "\0 "), "\n", "\0\n\0")
             split = pc.split_pattern(plain, "\0")
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        table = self.memo.table(set(words))
-        ids = list(map(table.__getitem__, words))
-        width = self.dtype().itemsize
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        flat = np.frombuffer(b"".join(ids), self.dtype)
+        lengths, flat = self._distinct(coded.dictionary)
         index = coded.indices.to_numpy()
         all_ids = gather(index, lengths, np.cumsum(lengths) - lengths, flat)
         ends = np.concatenate([[0], np.cumsum(lengths[index])])[split.offsets.to_numpy() - split.offsets[0].as_py()]
         out = [all_ids[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
         if self.prefix:
             for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
-                pieces = self.pieces(texts[int(i)].as_py())
-                table = self.memo.table(set(pieces))
-                out[i] = np.frombuffer(b"".join(map(table.__getitem__, pieces)), dtype=self.dtype)
+                out[i] = self._tables(self.pieces(texts[int(i)].as_py()))[1]
         return out
 
 
