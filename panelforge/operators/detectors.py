@@ -7,8 +7,6 @@ levels, liquidity pools, order blocks under a cap of live ones) are in states.py
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,24 +128,27 @@ def block_edge(df: DataFrame, source: str, size: int, swing: str, side: str, fir
     return df.withColumn(name, pick(held(F.col("_old")), since)).drop("_old")
 
 
-def mitigation(df: DataFrame, formed: str, edge: str, probe: str, bullish: bool, cap: int | None, name: str) -> DataFrame:
-    """name: the bar on which some block is first passed, from the bar that forms it on.
+def mitigations(df: DataFrame, blocks: dict[str, tuple[str, str, str, bool]], cap: int | None) -> DataFrame:
+    """For each name of blocks: the bars on which some block is first passed, from the bar that forms it on.
 
-    A block's search ends where the cap pushes it out: cap blocks of its side later. Blocks
-    meet later bars of their ticker only, in one join; what is found is one row for each bar.
+    A name's value is (formed, edge, probe, rising): where blocks form, their edge, and the
+    column that passes it, below for rising blocks and above for others. A block's search ends
+    where the cap pushes it out, cap blocks of its kind later. Blocks meet the later bars of
+    their ticker alone, all kinds in one join.
     """
-    blocks = df.filter(formed).select("ticker", F.col("pos").alias("_from"), F.col(edge).alias("_edge"))
-    if cap:
-        order = Window.partitionBy("ticker").orderBy("_from")
-        blocks = blocks.withColumn("_to", F.lead("_from", cap).over(order))
-    else:
-        blocks = blocks.withColumn("_to", F.lit(None).cast("int"))
-    passed = (F.col(probe) < F.col("_edge")) if bullish else (F.col(probe) > F.col("_edge"))
-    bars = df.select("ticker", "pos", probe)
-    hits = blocks.join(bars, "ticker").filter((F.col("pos") >= F.col("_from")) & passed)
-    hits = hits.groupBy("ticker", "_from").agg(F.min("pos").alias("pos"), F.first("_to").alias("_to"))
-    hits = hits.filter(F.col("_to").isNull() | (F.col("pos") < F.col("_to"))).select("ticker", "pos").distinct().withColumn(name, F.lit(True))
-    return df.join(hits, ["ticker", "pos"], "left").withColumn(name, yes(F.col(name)))
+    kinds = F.array_compact(F.array(*[F.when(F.col(formed), F.struct(F.lit(name).alias("kind"), F.col(edge).alias("edge"))) for name, (formed, edge, _, _) in blocks.items()]))
+    rows = df.select("ticker", F.col("pos").alias("_from"), F.explode(kinds).alias("_k")).select("ticker", "_from", "_k.*")
+    order = Window.partitionBy("ticker", "kind").orderBy("_from")
+    rows = rows.withColumn("_to", F.lead("_from", cap).over(order) if cap else F.lit(None).cast("int"))
+    probes = sorted({probe for _, _, probe, _ in blocks.values()})
+    passed = F.lit(False)
+    for name, (_, _, probe, rising) in blocks.items():
+        passed = F.when(F.col("kind") == name, F.col(probe) < F.col("edge") if rising else F.col(probe) > F.col("edge")).otherwise(passed)
+    hits = rows.join(df.select("ticker", "pos", *probes), "ticker").filter((F.col("pos") >= F.col("_from")) & passed)
+    hits = hits.groupBy("ticker", "kind", "_from").agg(F.min("pos").alias("pos"), F.first("_to").alias("_to"))
+    hits = hits.filter(F.col("_to").isNull() | (F.col("pos") < F.col("_to")))
+    hits = hits.groupBy("ticker", "pos").agg(*[F.bool_or(F.col("kind") == name).alias(name) for name in blocks])
+    return df.join(hits, ["ticker", "pos"], "left").withColumns({name: yes(F.col(name)) for name in blocks})
 
 
 def order_blocks(df: DataFrame, p: PriceActionParams = PA) -> DataFrame:
@@ -161,8 +162,10 @@ def order_blocks(df: DataFrame, p: PriceActionParams = PA) -> DataFrame:
     df = first_in_segment(df, "_dn", "_ob_low_seg", "ict_ob_bearish_formed")
     df = block_edge(df, "_min", p.ob_swing, "_ob", "high", 1, "_btm")
     df = block_edge(df, "_max", p.ob_swing, "_ob", "low", 1, "_top")
-    df = mitigation(df, "ict_ob_bullish_formed", "_btm", "_body_min", True, p.ob_cap, "ict_ob_bullish_mitigated")
-    df = mitigation(df, "ict_ob_bearish_formed", "_top", "_body_max", False, p.ob_cap, "ict_ob_bearish_mitigated")
+    df = mitigations(df, {
+        "ict_ob_bullish_mitigated": ("ict_ob_bullish_formed", "_btm", "_body_min", True),
+        "ict_ob_bearish_mitigated": ("ict_ob_bearish_formed", "_top", "_body_max", False),
+    }, p.ob_cap)
     return df.select(*keep, *[f"ict_ob_{s}_{w}" for s in ("bullish", "bearish") for w in ("formed", "mitigated")])
 
 
@@ -232,30 +235,32 @@ def structure_breaks(df: DataFrame, size: int, prefix: str, p: StructureParams =
     }).drop("_bias")
 
 
-def structure_blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
-    """{prefix}_ob_*: blocks of the bars from the pivot to the break, exact while fewer blocks are live than the cap.
-
-    states.live_blocks has the cap; this form is for panels where it never binds.
-    """
+def block_edges(df: DataFrame, size: int, prefix: str) -> DataFrame:
+    """{prefix}_ob_*_formed, and the edges of blocks, from the pivot to the bar before the break."""
     s = f"_{prefix}"
     df = df.withColumns({f"{prefix}_ob_bullish_formed": F.col(f"{s}_up"), f"{prefix}_ob_bearish_formed": F.col(f"{s}_dn")})
-    df = block_edge(df, "_plow", size, s, "high", 0, "_btm")
-    df = block_edge(df, "_phigh", size, s, "low", 0, "_top")
-    df = mitigation(df, f"{prefix}_ob_bullish_formed", "_btm", "low", True, None, f"{prefix}_ob_bullish_mitigated")
-    df = mitigation(df, f"{prefix}_ob_bearish_formed", "_top", "high", False, None, f"{prefix}_ob_bearish_mitigated")
-    return df.drop("_btm", "_top")
+    df = block_edge(df, "_plow", size, s, "high", 0, f"{s}_btm")
+    return block_edge(df, "_phigh", size, s, "low", 0, f"{s}_top")
 
 
 STRUCTURE = [f"smc_{k}_{e}" for k in ("swing", "internal") for e in ("bos_bullish", "bos_bearish", "choch_bullish", "choch_bearish", "ob_bullish_formed", "ob_bullish_mitigated", "ob_bearish_formed", "ob_bearish_mitigated")]
 
 
+def both_scales(df: DataFrame, p: StructureParams = ST) -> DataFrame:
+    """Breaks and blocks of the swing and the internal scale; swing levels guard the internal one."""
+    df = block_edges(structure_breaks(parsed_extremes(df, p), p.swing_len, "smc_swing", p), p.swing_len, "smc_swing")
+    return block_edges(structure_breaks(df, p.internal_len, "smc_internal", p, other="_smc_swing", confluence=p.confluence), p.internal_len, "smc_internal")
+
+
+def structure_signals(df: DataFrame, p: StructureParams = ST) -> DataFrame:
+    """Breaks alone: one pass of Windows."""
+    return both_scales(df, p).select(*df.columns, *[c for c in STRUCTURE if "_ob_" not in c])
+
+
 def structure(df: DataFrame, p: StructureParams = ST) -> DataFrame:
-    """Both scales; the swing levels guard the internal one."""
-    keep = df.columns
-    df = parsed_extremes(df, p)
-    df = structure_blocks(structure_breaks(df, p.swing_len, "smc_swing", p), p.swing_len, "smc_swing")
-    df = structure_breaks(df, p.internal_len, "smc_internal", p, other="_smc_swing", confluence=p.confluence)
-    return structure_blocks(df, p.internal_len, "smc_internal").select(*keep, *STRUCTURE)
+    """Both scales with their order blocks; exact while fewer blocks are live than the cap, which states.live_blocks has."""
+    kinds = {f"smc_{k}_ob_{s}_mitigated": (f"smc_{k}_ob_{s}_formed", f"_smc_{k}_{e}", q, s == "bullish") for k in ("swing", "internal") for s, e, q in (("bullish", "btm", "low"), ("bearish", "top", "high"))}
+    return mitigations(both_scales(df, p), kinds, None).select(*df.columns, *STRUCTURE)
 
 
 def equal_levels(df: DataFrame, p: StructureParams = ST) -> DataFrame:
@@ -349,5 +354,3 @@ def buy_and_hold(df: DataFrame) -> DataFrame:
     total = F.col("_c1") / F.col("_c0") - 1
     return out.select("ticker", total.alias("total_return"), (F.pow(1 + total, F.try_divide(F.lit(365.25), "_days")) - 1).alias("cagr"), (F.try_divide("_m", "_s") * F.sqrt(F.lit(252.0))).alias("sharpe"), "max_drawdown")
 
-
-DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from panelforge.operators.detectors import PA, ST, block_edge, parsed_extremes, structure_breaks, zigzag
+from panelforge.operators.detectors import PA, ST, STRUCTURE, both_scales, zigzag
 from panelforge.operators.indicators import atr
 from panelforge.params import PriceActionParams, StructureParams
 
@@ -136,15 +136,8 @@ def shifts_and_pools(df: DataFrame, p: PriceActionParams = PA) -> DataFrame:
 def live_blocks(df: DataFrame, p: StructureParams = ST) -> DataFrame:
     """The structure detector with its cap on live blocks: breaks by Windows, blocks by state."""
     keep = df.columns
-    df = parsed_extremes(df, p)
-    df = structure_breaks(df, p.swing_len, "smc_swing", p)
-    df = structure_breaks(df, p.internal_len, "smc_internal", p, other="_smc_swing", confluence=p.confluence)
-    outputs: list[str] = []
-    for prefix, size in (("smc_swing", p.swing_len), ("smc_internal", p.internal_len)):
-        df = block_edge(df, "_plow", size, f"_{prefix}", "high", 0, f"_{prefix}_btm")
-        df = block_edge(df, "_phigh", size, f"_{prefix}", "low", 0, f"_{prefix}_top")
-        df = df.withColumns({f"{prefix}_ob_bullish_formed": df[f"_{prefix}_up"], f"{prefix}_ob_bearish_formed": df[f"_{prefix}_dn"]})
-        outputs += [f"{prefix}_ob_bullish_mitigated", f"{prefix}_ob_bearish_mitigated"]
+    df = both_scales(df, p)
+    outputs = [c for c in STRUCTURE if c.endswith("_mitigated")]
 
     def run(pdf: pd.DataFrame):
         states = [BlockState(p.ob_cap), BlockState(p.ob_cap)]
@@ -156,6 +149,4 @@ def live_blocks(df: DataFrame, p: StructureParams = ST) -> DataFrame:
                 out += state.step(high, low, floor if up else None, ceiling if down else None)
             yield tuple(out)
 
-    from panelforge.operators.detectors import STRUCTURE
-
     return _mapped(df, run, tuple(outputs)).select(*keep, *STRUCTURE)

@@ -1 +1,642 @@
-QUERIES = {}
+"""Registered queries: one for each operator, over bars made from the order lines of sf_dir."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelforge.operators import analysis as A
+from panelforge.operators import detectors as D
+from panelforge.operators import events as E
+from panelforge.operators import indicators as I
+from panelforge.operators import resample as R
+from panelforge.operators import states
+from panelforge.operators import stats as S
+from panelforge.operators import trades as B
+from panelforge.params import BASELINES, REGISTRY, PriceActionParams
+from panelforge.sources import panel as P
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+KEYS = ["signal", "holding_period"]
+#: Signals of the trade-level queries; their detectors have SQL forms of reasonable length.
+STUDY = [f"ict_{k}" for k in ("displacement_bullish", "displacement_bearish", "volume_imbalance_bullish", "volume_imbalance_bearish", "fvg_bullish_formed", "fvg_bearish_formed")]
+SECTORS = {"AF": "A", "AO": "A", "NF": "N", "NO": "N", "RF": "R"}
+ADDED = {"AF": "1990-01-02", "AO": "1994-06-01", "NF": "1996-01-01", "NO": None, "RF": "1997-03-03"}
+
+
+def shaped(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, integers long, dates as text: what two engines agree on to the last digit."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.DoubleType):
+            c = F.round(c, digits) + F.lit(0.0)
+        elif isinstance(f.dataType, T.IntegerType):
+            c = c.cast("long")
+        elif isinstance(f.dataType, T.DateType):
+            c = c.cast("string")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[fn.__name__] = lambda spark, sf_dir: shaped(fn(spark, sf_dir))
+    return fn
+
+
+def over_bars(name: str, build: Callable[[DataFrame], DataFrame], *columns: str) -> None:
+    """A query of ticker, date and some columns of the panel."""
+    QUERIES[name] = lambda spark, sf_dir: shaped(build(P.bars_from_lineitem(spark, sf_dir)).select("ticker", "date", *columns))
+
+
+def pairs(spark: SparkSession, values: dict, column: str) -> DataFrame:
+    return spark.createDataFrame(list(values.items()), f"ticker string, {column} string")
+
+
+def study_events(bars: DataFrame) -> DataFrame:
+    return E.to_events(D.fair_value_gap(D.volume_imbalance(D.displacement(bars))), REGISTRY, STUDY)
+
+
+def study(spark: SparkSession, sf_dir: str, horizons=(1, 2, 3, 5, 10, 20, 40, 60)) -> tuple[DataFrame, DataFrame]:
+    bars = P.bars_from_lineitem(spark, sf_dir)
+    return bars, B.backtest(study_events(bars), bars, horizons)
+
+
+def baseline(bars: DataFrame, horizons) -> DataFrame:
+    return B.backtest(E.to_events(D.random_entry(bars), BASELINES, ["baseline_random_bullish"]), bars, horizons)
+
+
+def dirty(bars: DataFrame) -> DataFrame:
+    """Bars with planted faults: highs and lows inside the body, missing opens, repeated dates, a bad price."""
+    pos = F.col("pos")
+    bad = bars.withColumns({
+        "high": F.when(pos % 7 == 0, (F.col("open") + F.col("close")) / 2).otherwise(F.col("high")),
+        "low": F.when(pos % 11 == 0, F.greatest("open", "close")).otherwise(F.col("low")),
+        "open": F.when(pos % 40 != 0, F.col("open")), "close": F.when(pos % 97 == 0, -F.col("close")).otherwise(F.col("close")),
+    })
+    again = bars.filter(pos % 50 == 0).withColumn("volume", F.col("volume") + 1)
+    return bad.unionByName(again)
+
+
+@query
+def first_slice(spark, sf_dir):
+    """Displacement events, trades over ten bars, number and mean for each direction."""
+    bars = P.bars_from_lineitem(spark, sf_dir)
+    events = E.to_events(D.displacement(bars), REGISTRY, STUDY[:2])
+    return B.backtest(events, bars, [10]).groupBy("direction").agg(F.count(F.lit(1)).alias("n_trades"), F.avg("fwd_return").alias("mean_return"), F.avg((F.col("fwd_return") > 0).cast("double")).alias("win_rate"))
+
+
+# Hygiene
+
+
+@query
+def ohlc_repair(spark, sf_dir):
+    d = P.repair_ohlc(dirty(P.bars_from_lineitem(spark, sf_dir)))
+    return d.groupBy("ticker").agg(F.count_if("ohlc_material").alias("material"), F.sum("high").alias("sum_high"), F.sum("low").alias("sum_low"))
+
+
+@query
+def quality_report(spark, sf_dir):
+    return P.quality_report(dirty(P.bars_from_lineitem(spark, sf_dir)))
+
+
+@query
+def dedup_first(spark, sf_dir):
+    d = P.first_of_date(dirty(P.bars_from_lineitem(spark, sf_dir)), "volume")
+    return d.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("volume").alias("volume"))
+
+
+@query
+def min_bars_gate(spark, sf_dir):
+    return P.long_enough(P.bars_from_lineitem(spark, sf_dir), 2440).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_bars"))
+
+
+@query
+def stale_audit(spark, sf_dir):
+    return P.stale(P.bars_from_lineitem(spark, sf_dir), F.lit("1991-01-01").cast("date"))
+
+
+@query
+def missing_anti(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    wanted = lines.select("l_returnflag").distinct().select(F.explode(F.array(*[F.concat("l_returnflag", F.lit(s)) for s in "FOX"])).alias("ticker"))
+    return P.missing_tickers(wanted, P.bars_from_lineitem(spark, sf_dir))
+
+
+@query
+def normalize_symbol(spark, sf_dir):
+    raw = F.concat(F.lit(" "), "c_mktsegment", F.lit("."), F.col("c_nationkey").cast("string"), F.lit(" "))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(P.normal_symbol(raw, {"BUILDING.1": "BLD", "MACHINERY.2": "MCH-B"}).alias("symbol"))
+    return c.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def membership_mask(spark, sf_dir):
+    b = P.bars_from_lineitem(spark, sf_dir).join(pairs(spark, ADDED, "added").withColumn("added", F.to_date("added")), "ticker", "left")
+    return b.groupBy("ticker").agg(F.count_if(P.is_member(F.col("date"), F.col("added"))).alias("kept"), F.count_if(P.is_member(F.col("date"), F.col("added"), "drop")).alias("kept_known"))
+
+
+# Indicators
+
+over_bars("true_range", lambda b: b.withColumn("tr", I.true_range()), "tr")
+over_bars("wilder_atr", lambda b: I.atr(I.atr(b, 14, "atr14"), 200, "atr200"), "atr14", "atr200")
+over_bars("pivots", lambda b: I.pivots(b, 5, 1), "pivot_high", "pivot_low", "pivot_high_confirmed", "pivot_low_confirmed")
+over_bars("leg_state", lambda b: I.legs(b, 5, "x"), "x_leg")
+over_bars("swing_points", lambda b: I.legs(b, 10, "x").filter("x_high is not null or x_low is not null"), "x_high", "x_low")
+over_bars("sma", lambda b: b.withColumns({"sma20": I.sma("close", 20), "sma200_half": I.sma("close", 200, 100), "diff20": F.col("close") - F.lag("close", 20).over(I.W)}), "sma20", "sma200_half", "diff20")
+over_bars("rolling_std", lambda b: b.withColumn("ret", F.col("close") / F.lag("close").over(I.W) - 1).withColumn("std63", I.rolling_std("ret", 63)), "std63")
+over_bars("expanding_median", lambda b: I.expanding_median(b, "close", "median_so_far", 63), "median_so_far")
+over_bars("expanding_extremes", lambda b: b.withColumns({"top": F.max("high").over(I.SO_FAR), "bottom": F.min("low").over(I.SO_FAR), "total": F.sum("volume").over(I.SO_FAR), "mean": I.expanding_mean("close"), "top20": F.max("high").over(I.back(20))}), "top", "bottom", "total", "mean", "top20")
+over_bars("ema", lambda b: I.ema(I.ema(b, "close", 20, "ema20"), "close", 50, "ema50"), "ema20", "ema50")
+over_bars("rsi", lambda b: I.rsi(b), "rsi")
+over_bars("ffill", lambda b: b.withColumn("last_up_close", I.held(F.when(F.col("close") > F.col("open"), F.col("close")))), "last_up_close")
+over_bars("drawdown", lambda b: b.withColumn("ret", F.col("close") / F.lag("close").over(I.W) - 1).withColumn("path", F.sum(F.log1p("ret")).over(I.SO_FAR)).withColumn("fall", F.expm1(F.col("path") - F.max("path").over(I.SO_FAR))), "fall")
+over_bars("week_open", lambda b: b.withColumn("week_open", I.week_opens()), "week_open")
+over_bars("forward_breach", lambda b: b.withColumn("breached", D.yes(F.min("low").over(I.ahead(60)) < F.col("low"))), "breached")
+over_bars("forward_excursion", lambda b: b.withColumns({"top10": F.max("high").over(I.ahead(10)), "bottom10": F.min("low").over(I.ahead(10))}), "top10", "bottom10")
+over_bars("forward_return", lambda b: b.withColumns({f"fwd{h}": F.lead("close", h).over(I.W) / F.col("close") - 1 for h in (1, 10, 60)}), "fwd1", "fwd10", "fwd60")
+
+# Detectors
+
+
+def fired(name: str, build: Callable[[DataFrame], DataFrame], *columns: str) -> None:
+    """A query of the bars on which some of these columns are true."""
+    over_bars(name, lambda b: build(b).filter(" or ".join(columns)), *columns)
+
+
+fired("displacement", D.displacement, "ict_displacement_bullish", "ict_displacement_bearish")
+fired("volume_imbalance", D.volume_imbalance, "ict_volume_imbalance_bullish", "ict_volume_imbalance_bearish")
+over_bars("fvg", lambda b: D.fair_value_gap(b).filter("ict_fvg_bullish_formed or ict_fvg_bearish_formed"), *[f"ict_fvg_{s}_{e}" for s in ("bullish", "bearish") for e in ("formed", "lower", "upper")])
+over_bars("fvg_fill_label", lambda b: D.fair_value_gap(b).filter("ict_fvg_bullish_formed or ict_fvg_bearish_formed"), "ict_fvg_bullish_filled_label", "ict_fvg_bearish_filled_label")
+fired("fvg_ifvg", lambda b: D.fair_value_gap(b, PriceActionParams(fvg_mode="IFVG")), "ict_fvg_bullish_formed", "ict_fvg_bearish_formed")
+fired("bpr", lambda b: D.balanced_range(D.fair_value_gap(b)), "ict_bpr_bullish", "ict_bpr_bearish")
+fired("mss", D.structure_shift, "ict_mss_bullish", "ict_mss_bearish")
+fired("bos", states.shifts_and_pools, "ict_bos_bullish", "ict_bos_bearish")
+fired("liquidity_pool", states.shifts_and_pools, *states.PoolState.outputs)
+fired("order_blocks_ict", D.order_blocks, *[f"ict_ob_{s}_{w}" for s in ("bullish", "bearish") for w in ("formed", "mitigated")])
+fired("liquidity_sweep", D.liquidity_sweep, "ict_sweep_buyside_bearish", "ict_sweep_sellside_bullish")
+over_bars("opening_gaps", lambda b: D.opening_gaps(b, PriceActionParams(daily_gaps=True)).filter("ict_ndog_gap_up or ict_ndog_gap_down"), "ict_nwog_gap_up", "ict_nwog_gap_down", "ict_ndog_gap_up", "ict_ndog_gap_down", "ict_ndog_gap_size")
+fired("structure_swing", D.structure_signals, *[c for c in D.STRUCTURE if c.startswith("smc_swing") and "_ob_" not in c])
+fired("structure_internal", D.structure_signals, *[c for c in D.STRUCTURE if c.startswith("smc_internal") and "_ob_" not in c])
+fired("order_blocks_smc", D.structure, *[c for c in D.STRUCTURE if "_ob_" in c])
+fired("order_blocks_live_cap", states.live_blocks, *[c for c in D.STRUCTURE if "_ob_" in c])
+over_bars("parsed_high_low", D.parsed_extremes, "_phigh", "_plow")
+fired("equal_highs_lows", D.equal_levels, "smc_equal_highs", "smc_equal_lows")
+fired("smc_fvg", D.adaptive_gap, "smc_fvg_bullish_formed", "smc_fvg_bearish_formed")
+over_bars("zones", D.zones, "smc_zone", "smc_trailing_top", "smc_trailing_bottom")
+over_bars("zones_rolling", lambda b: D.zones(b, 50), "smc_zone", "smc_trailing_top", "smc_trailing_bottom")
+over_bars("mtf_levels", D.prior_levels, *[f"smc_prior_{u}_{s}" for u in ("day", "week", "month") for s in ("high", "low")])
+over_bars("mtf_levels_compat", lambda b: D.prior_levels(b, True), *[f"smc_prior_{u}_{s}" for u in ("week", "month") for s in ("high", "low")])
+fired("ema_cross", D.ema_cross, "baseline_ema_cross_bullish", "baseline_ema_cross_bearish")
+fired("rsi_reversion", D.rsi_reversion, "baseline_rsi_reversion_bullish", "baseline_rsi_reversion_bearish")
+fired("breakout_52w", D.breakout, "baseline_52w_breakout_bullish", "baseline_52w_breakout_bearish")
+fired("momentum_turn", D.momentum_turn, "baseline_momentum_bullish", "baseline_momentum_bearish")
+fired("random_entry", D.random_entry, "baseline_random_bullish")
+
+
+@query
+def buy_and_hold(spark, sf_dir):
+    return D.buy_and_hold(P.bars_from_lineitem(spark, sf_dir))
+
+
+@query
+def events_long(spark, sf_dir):
+    return study_events(P.bars_from_lineitem(spark, sf_dir)).select("ticker", "date", "signal", "direction", "close")
+
+
+@query
+def all_events(spark, sf_dir):
+    """Every detector over every bar, counted by signal."""
+    e = E.events_of(P.bars_from_lineitem(spark, sf_dir))
+    return e.groupBy("signal", "direction").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("ticker").alias("n_tickers"))
+
+
+@query
+def baseline_event_counts(spark, sf_dir):
+    e = E.baseline_events(P.bars_from_lineitem(spark, sf_dir))
+    return e.groupBy("signal", "direction").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+@query
+def hourly_displacement(spark, sf_dir):
+    """Hourly bars of the event stream through the same detector."""
+    return D.displacement(P.hourly_bars_from_events(spark, sf_dir)).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_bars"), F.count_if("ict_displacement_bullish").alias("n_up"), F.count_if("ict_displacement_bearish").alias("n_down"))
+
+
+# Trades and costs
+
+
+@query
+def trades_all_horizons(spark, sf_dir):
+    return study(spark, sf_dir)[1].select("ticker", "date", "signal", "direction", "holding_period", "entry_price", "exit_price", "fwd_return", "mfe", "mae")
+
+
+@query
+def trade_costs(spark, sf_dir):
+    t = B.with_costs(study(spark, sf_dir, [1, 10])[1])
+    return t.select("ticker", "date", "signal", "holding_period", "cost_bps", "net_return")
+
+
+@query
+def position_audit(spark, sf_dir):
+    """Positions that ten-bar trades of the last twenty bars read."""
+    b = P.bars_from_lineitem(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker")))
+    return b.filter("pos > n - 20").select("ticker", F.col("pos"), F.size(B.bars_read(F.col("pos"), 10, F.col("n"))).alias("n_read"))
+
+
+@query
+def cost_grid(spark, sf_dir):
+    return B.cost_grid(study(spark, sf_dir, [10])[1])
+
+
+@query
+def breakeven(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    ex = S.with_excess(t, S.return_pools(bars, [10])).groupBy("signal").agg(F.avg("excess").alias("excess"))
+    return B.breakeven(t, ex)
+
+
+@query
+def net_of_cost(spark, sf_dir):
+    return B.net_of_cost(B.with_costs(study(spark, sf_dir, [10])[1]))
+
+
+# Aggregates and tests
+
+
+@query
+def return_summary(spark, sf_dir):
+    return S.return_summary(study(spark, sf_dir)[1], KEYS)
+
+
+@query
+def mfe_mae(spark, sf_dir):
+    return S.excursion_summary(study(spark, sf_dir)[1], KEYS)
+
+
+@query
+def pools(spark, sf_dir):
+    return S.return_pools(P.bars_from_lineitem(spark, sf_dir))
+
+
+@query
+def calendar_collapse(spark, sf_dir):
+    t = study(spark, sf_dir, [10])[1]
+    return t.groupBy("signal", "date").agg(F.sum("fwd_return").alias("sum_return"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def newey_west(spark, sf_dir):
+    return S.newey_west(study(spark, sf_dir, [1, 5, 10])[1], KEYS, most_lag=10)
+
+
+@query
+def lag_autocov(spark, sf_dir):
+    """Sums of products of a signal's daily returns at lags of one to three of its own dates."""
+    t = study(spark, sf_dir, [10])[1].groupBy("signal", "date").agg(F.sum("fwd_return").alias("x"))
+    w = Window.partitionBy("signal").orderBy("date")
+    return t.withColumns({f"p{k}": F.col("x") * F.lag("x", k).over(w) for k in (1, 2, 3)}).groupBy("signal").agg(*[F.sum(f"p{k}").alias(f"autocov{k}") for k in (1, 2, 3)])
+
+
+@query
+def calendar_hac(spark, sf_dir):
+    return S.calendar_test(study(spark, sf_dir, [1, 5, 10])[1], KEYS, most_lag=10)
+
+
+@query
+def one_sample(spark, sf_dir):
+    return S.one_sample(study(spark, sf_dir)[1], KEYS)
+
+
+@query
+def welch(spark, sf_dir):
+    bars, t = study(spark, sf_dir)
+    return S.welch(t, baseline(bars, (1, 2, 3, 5, 10, 20, 40, 60)), KEYS, on=["holding_period"])
+
+
+@query
+def matched_null(spark, sf_dir):
+    bars, t = study(spark, sf_dir)
+    return S.matched_null(t, S.return_pools(bars), [*KEYS, "direction"])
+
+
+@query
+def matched_excess(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [1, 5, 10])
+    return S.calendar_test(S.with_excess(t, S.return_pools(bars, [1, 5, 10])), KEYS, "excess", 10)
+
+
+def _p_table(spark, sf_dir):
+    """Stand-in p values with ties and nulls: what false-discovery control does to them needs no tail function."""
+    g = S.one_sample(study(spark, sf_dir)[1], KEYS)
+    p = F.when(F.col("holding_period") != 3, F.round(F.exp(-F.abs("t_iid")), 2))
+    return g.select("signal", "holding_period", p.alias("p"), "cohens_d")
+
+
+@query
+def bh_fdr(spark, sf_dir):
+    return S.benjamini_hochberg(_p_table(spark, sf_dir), "p", "p").drop("cohens_d")
+
+
+@query
+def two_sided_family(spark, sf_dir):
+    return S.benjamini_hochberg(_p_table(spark, sf_dir).withColumn("p2", S.two_sided(F.col("p"))), "p2", "two").drop("cohens_d")
+
+
+@query
+def significance_label(spark, sf_dir):
+    d = S.benjamini_hochberg(_p_table(spark, sf_dir), "p", "p")
+    return d.groupBy(S.significance_label(F.col("p_adjusted"), F.col("cohens_d")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def statistics_master(spark, sf_dir):
+    """The whole hypothesis table, with p values."""
+    bars, t = study(spark, sf_dir, [1, 10])
+    return S.statistics_master(t, bars, baseline(bars, [1, 10]), [1, 10])
+
+
+@query
+def edge_counts(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    return A.edge_counts(S.statistics_master(t, bars, baseline(bars, [10]), [10]))
+
+
+# Regimes, sectors, stocks
+
+over_bars("regime_labels", A.regimes, "trend_regime", "vol_regime")
+
+
+@query
+def regime_null(spark, sf_dir):
+    return A.regime_null(A.regimes(P.bars_from_lineitem(spark, sf_dir)), 10)
+
+
+@query
+def regime_analysis(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    return A.regime_analysis(t, A.regimes(bars), 10)
+
+
+@query
+def regime_by_signal(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    return A.regime_by_signal(t, A.regimes(bars), 10)
+
+
+def _sectors(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    return A.sector_analysis(t, pairs(spark, SECTORS, "sector"), bars, 10)
+
+
+@query
+def sector_analysis(spark, sf_dir):
+    return _sectors(spark, sf_dir).select("sector", "n_trades", "n_tickers", "n_long_trades", "n_short_trades", "avg_return", "avg_return_long", "avg_return_short", "matched_null_mean", "excess_return", "matched_null_se", "matched_z")
+
+
+@query
+def sector_power(spark, sf_dir):
+    return A.sector_power(_sectors(spark, sf_dir))
+
+
+@query
+def sector_coverage(spark, sf_dir):
+    return A.coverage(P.bars_from_lineitem(spark, sf_dir), pairs(spark, SECTORS, "sector"))
+
+
+@query
+def rank_stocks(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    return A.rank_stocks(t, baseline(bars, [10]), 10).select("ticker", "n_trades", "avg_return", "baseline_avg_return", "excess_return_vs_baseline", "t_vs_baseline", "effect_size_vs_baseline", "eligible")
+
+
+@query
+def stability(spark, sf_dir):
+    return A.stability(study(spark, sf_dir)[1])
+
+
+@query
+def combos(spark, sf_dir):
+    bars = P.bars_from_lineitem(spark, sf_dir)
+    t = B.backtest(E.combinations(study_events(bars), 20, 10), bars, [10])
+    return t.groupBy("signal", "direction").agg(F.count(F.lit(1)).alias("n_trades"), F.avg("fwd_return").alias("avg_return"))
+
+
+def _excess(spark, sf_dir, horizons=(1, 5, 10, 20)):
+    bars, t = study(spark, sf_dir, horizons)
+    return S.matched_null(t, S.return_pools(bars, horizons), KEYS)
+
+
+@query
+def concept_ranking(spark, sf_dir):
+    order = Window.partitionBy("holding_period").orderBy(F.desc_nulls_last("excess_return"), "signal")
+    return _excess(spark, sf_dir).select(*KEYS, "observed_mean", "excess_return").withColumn("rank", F.row_number().over(order))
+
+
+@query
+def topk_bottomk(spark, sf_dir):
+    best = Window.partitionBy("holding_period").orderBy(F.desc("excess_return"), "signal")
+    worst = Window.partitionBy("holding_period").orderBy("excess_return", "signal")
+    r = _excess(spark, sf_dir).withColumns({"_b": F.row_number().over(best), "_w": F.row_number().over(worst)})
+    return r.filter("_b <= 2 or _w <= 1").select(*KEYS, "excess_return", (F.col("_b") <= 2).alias("best"))
+
+
+@query
+def sign_consistency(spark, sf_dir):
+    return A.sign_consistency(_excess(spark, sf_dir))
+
+
+@query
+def pivot_excess(spark, sf_dir):
+    return _excess(spark, sf_dir).groupBy("signal").pivot("holding_period", [1, 5, 10, 20]).agg(F.first("excess_return")).toDF("signal", "h1", "h5", "h10", "h20")
+
+
+@query
+def argmax_rows(spark, sf_dir):
+    r = _excess(spark, sf_dir)
+    return r.groupBy("holding_period").agg(F.max_by("signal", F.struct("excess_return", "signal")).alias("best_signal"), F.min_by("signal", F.struct("excess_return", "signal")).alias("worst_signal"))
+
+
+@query
+def missing_members(spark, sf_dir):
+    m = pairs(spark, ADDED, "added").select(F.to_date("added").alias("date_added"))
+    return A.missing_members(m, F.lit("1995-01-01").cast("date"), 20)
+
+
+@query
+def membership_compare(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    known = pairs(spark, ADDED, "added").withColumn("added", F.to_date("added"))
+    member = lambda d: d.join(known, "ticker", "left").filter(P.is_member(F.col("date"), F.col("added"), "drop")).drop("added")
+    ranked = lambda x, b: S.matched_null(x, S.return_pools(b, [10]), KEYS).select("signal", F.col("n_matched").alias("n"), F.col("excess_return").alias("excess"))
+    return A.membership_compare(ranked(t, bars), ranked(member(t), member(bars)))
+
+
+def _swept(spark, sf_dir):
+    bars = P.bars_from_lineitem(spark, sf_dir)
+    pools = S.return_pools(bars, [10])
+
+    def evaluate(p: PriceActionParams) -> DataFrame:
+        t = B.backtest(E.to_events(D.displacement(bars, p), REGISTRY, STUDY[:2]), bars, [10])
+        return S.matched_null(t, pools, KEYS).select("signal", F.col("n_matched").alias("n_trades"), F.col("excess_return").alias("excess"))
+
+    return A.sweep(PriceActionParams(), {"pivot_len": (3, 5, 10), "body_fraction": (0.25, 0.36, 0.5)}, evaluate)
+
+
+@query
+def grid_sweep(spark, sf_dir):
+    return _swept(spark, sf_dir).drop("config")
+
+
+@query
+def sweep_stability(spark, sf_dir):
+    return A.sweep_stability(_swept(spark, sf_dir))
+
+
+@query
+def random_sweep(spark, sf_dir):
+    """Displacement under random parameters within their ranges, as rows of one union."""
+    bars, base = P.bars_from_lineitem(spark, sf_dir), PriceActionParams()
+    out = None
+    for i, draw in enumerate(A.random_grid({"pivot_len": (3, 15), "body_fraction": (0.2, 0.6)}, 6, "sweep")):
+        n = D.displacement(bars, replace(base, **draw)).agg(F.lit(i).alias("config"), F.count_if("ict_displacement_bullish").alias("n_up"), F.count_if("ict_displacement_bearish").alias("n_down"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query
+def walkforward(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    return A.walk_forward(t, bars, 10, top=2, least=10)[1]
+
+
+@query
+def walkforward_detail(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    return A.walk_forward(t, bars, 10, top=2, least=10)[0]
+
+
+@query
+def spearman(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    d = A.walk_forward(t, bars, 10, top=2, least=10)[0]
+    return A.spearman_ranks(d, [], "excess_train", "excess_test").agg(F.corr("_rx", "_ry").alias("rank_correlation"), F.count(F.lit(1)).alias("n"))
+
+
+# Set operations and reports
+
+
+@query
+def value_counts(spark, sf_dir):
+    return study_events(P.bars_from_lineitem(spark, sf_dir)).groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def return_histogram(spark, sf_dir):
+    return A.histogram(study(spark, sf_dir, [10])[1], "fwd_return", -0.9, 0.9)
+
+
+@query
+def union_calendar(spark, sf_dir):
+    b = P.bars_from_lineitem(spark, sf_dir)
+    return R.trading_calendar(b).agg(F.count(F.lit(1)).alias("n_dates"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+@query
+def intersect_calendar(spark, sf_dir):
+    b = P.bars_from_lineitem(spark, sf_dir)
+    dates = lambda t: b.filter(F.col("ticker") == t).select("date")
+    return dates("AF").intersect(dates("NO")).subtract(dates("RO"))
+
+
+@query
+def anti_never_fire(spark, sf_dir):
+    """Registered signals that no bar fires, of those in the study."""
+    known = spark.createDataFrame([(s,) for s in [*STUDY, "ict_ndog_gap_up", "ict_ndog_gap_down"]], "signal string")
+    return known.join(study_events(P.bars_from_lineitem(spark, sf_dir)).select("signal").distinct(), "signal", "left_anti")
+
+
+@query
+def semi_universe(spark, sf_dir):
+    b = P.bars_from_lineitem(spark, sf_dir)
+    return b.join(pairs(spark, SECTORS, "sector").filter("sector <> 'R'"), "ticker", "left_semi").groupBy("ticker").agg(F.count(F.lit(1)).alias("n_bars"))
+
+
+@query
+def sample_export(spark, sf_dir):
+    """A fixed number of trades by the smallest digests of what they are."""
+    t = study(spark, sf_dir, [10])[1]
+    key = F.md5(F.concat_ws("|", "ticker", F.col("date").cast("string"), "signal"))
+    return t.withColumn("_k", key).orderBy("_k").limit(500).select("ticker", "date", "signal", "fwd_return")
+
+
+@query
+def headline_facts(spark, sf_dir):
+    """Signals, tickers, trades, span in years, and how many trades won."""
+    t = study(spark, sf_dir)[1]
+    return t.agg(F.count_distinct("signal").alias("n_signals"), F.count_distinct("ticker").alias("n_tickers"), F.count(F.lit(1)).alias("n_trades"), (F.datediff(F.max("date"), F.min("date")) / 365.25).alias("years"), F.count_if(F.col("fwd_return") > 0).alias("n_wins"))
+
+
+@query
+def stock_view(spark, sf_dir):
+    t = study(spark, sf_dir)[1].filter("ticker = 'AF'")
+    return t.groupBy("signal", "holding_period").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd_return").alias("avg_return"), F.avg("mfe").alias("avg_mfe"))
+
+
+@query
+def concept_view(spark, sf_dir):
+    t = study(spark, sf_dir, [10])[1].filter("signal = 'ict_displacement_bullish'")
+    return t.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.avg("fwd_return").alias("avg_return"), F.percentile("fwd_return", F.lit(0.9)).alias("p90"))
+
+
+# Resampling
+
+
+@query
+def bootstrap_ci(spark, sf_dir):
+    return R.bootstrap(study(spark, sf_dir, [10])[1], 1000)
+
+
+@query
+def trade_shuffle(spark, sf_dir):
+    return R.trade_shuffle(study(spark, sf_dir, [10])[1])
+
+
+@query
+def matched_mc(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    return R.simulated_null(t, bars, [10], 200)
+
+
+@query
+def block_bootstrap(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    return R.simulated_null(t, bars, [10], 200, 21)
+
+
+@query
+def rotation_exact(spark, sf_dir):
+    bars = P.bars_from_lineitem(spark, sf_dir)
+    t = B.backtest(E.to_events(D.fair_value_gap(bars), REGISTRY, STUDY[4:]), bars, [10])
+    return R.rotation_null(t, bars, [10])
+
+
+@query
+def rotation_family(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [1, 10])
+    return R.rotation_family(t, bars, [1, 10])
+
+
+@query
+def rotation_sampled(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    return R.rotation_sampled(t, bars, [10], 500)
+
+
+@query
+def calibration(spark, sf_dir):
+    return R.calibration(spark, 40)
