@@ -17,7 +17,7 @@ from panelforge.params import RegimeParams
 def regimes(bars: DataFrame, p: RegimeParams = RegimeParams()) -> DataFrame:
     """trend_regime and vol_regime of every bar; bars without enough past are sideways and of normal volatility."""
     df = bars.withColumn("_sma", sma("close", p.trend, p.trend // 2))
-    df = df.withColumn("_slope", F.col("_sma") - F.lag("_sma", p.slope).over(W)).withColumn("_ret", F.col("close") / F.lag("close").over(W) - 1)
+    df = df.withColumn("_slope", F.col("_sma") - F.lag("_sma", p.slope).over(W())).withColumn("_ret", F.col("close") / F.lag("close").over(W()) - 1)
     df = expanding_median(df.withColumn("_vol", rolling_std("_ret", p.vol)), "_vol", "_mid", p.vol)
     c = F.col("close")
     trend = F.when((c > F.col("_sma")) & (F.col("_slope") > 0), "bull").when((c < F.col("_sma")) & (F.col("_slope") < 0), "bear").otherwise("sideways")

@@ -22,7 +22,7 @@ def yes(c: Column) -> Column:
 
 
 def lag(c: str, n: int = 1) -> Column:
-    return F.lag(c, n).over(W)
+    return F.lag(c, n).over(W())
 
 
 def displacement(df: DataFrame, p: PriceActionParams = PA, name: str = "ict_displacement") -> DataFrame:
@@ -81,7 +81,7 @@ def zigzag(df: DataFrame, p: PriceActionParams = PA) -> DataFrame:
     df = df.withColumn("_side", held_before(F.when(F.col("_pl").isNotNull(), -1).when(F.col("_ph").isNotNull(), 1)))
     new_high = F.col("_ph").isNotNull() & ~yes(F.col("_side") == 1)
     new_low = F.col("_pl").isNotNull() & (F.col("_ph").isNotNull() | ~yes(F.col("_side") == -1))
-    df = df.withColumns({"_hrun": F.sum(new_high.cast("int")).over(SO_FAR), "_lrun": F.sum(new_low.cast("int")).over(SO_FAR)})
+    df = df.withColumns({"_hrun": F.sum(new_high.cast("int")).over(SO_FAR()), "_lrun": F.sum(new_low.cast("int")).over(SO_FAR())})
     run = lambda c: Window.partitionBy("ticker", c).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({"_sh": F.when(F.col("_hrun") > 0, F.max("_ph").over(run("_hrun"))), "_sl": F.when(F.col("_lrun") > 0, F.min("_pl").over(run("_lrun")))})
     return df.drop("_side", "_hrun", "_lrun", "_zz_high", "_zz_low", "_zz_high_confirmed", "_zz_low_confirmed")
@@ -102,7 +102,7 @@ def segments(df: DataFrame, name: str) -> DataFrame:
     """{name}_{side}_seg and _level: number and price of the last confirmed swing of either side."""
     out = {}
     for side in ("high", "low"):
-        out[f"{name}_{side}_seg"] = F.count(f"{name}_{side}").over(SO_FAR)
+        out[f"{name}_{side}_seg"] = F.count(f"{name}_{side}").over(SO_FAR())
         out[f"{name}_{side}_level"] = held(F.col(f"{name}_{side}"))
     return df.withColumns(out)
 
@@ -121,7 +121,7 @@ def block_edge(df: DataFrame, source: str, size: int, swing: str, side: str, fir
     the confirmation and a running one since.
     """
     best, pick = (F.min, F.least) if side == "high" else (F.max, F.greatest)
-    old = F.when(F.col(f"{swing}_{side}").isNotNull(), best(source).over(W.rowsBetween(-size + first, -1)))
+    old = F.when(F.col(f"{swing}_{side}").isNotNull(), best(source).over(W().rowsBetween(-size + first, -1)))
     df = df.withColumn("_old", old)
     within = Window.partitionBy("ticker", f"{swing}_{side}_seg").orderBy("date")
     since = best(source).over(within.rowsBetween(Window.unboundedPreceding, -1))
@@ -177,7 +177,7 @@ def liquidity_sweep(df: DataFrame, p: PriceActionParams = PA) -> DataFrame:
         df = df.withColumn("_level", held_before(F.col(f"_sw_{side}")))
         pen = F.col("high") > F.col("_level") + p.sweep_penetration * F.col("_atr") if up else F.col("low") < F.col("_level") - p.sweep_penetration * F.col("_atr")
         df = df.withColumn("_pen", yes(pen))
-        df = df.withColumns({"_seg": F.coalesce(F.sum(F.col("_pen").cast("int")).over(PAST), F.lit(0)), "_at": held_before(F.when(F.col("_pen"), F.col("pos"))), "_was": held_before(F.when(F.col("_pen"), F.col("_level")))})
+        df = df.withColumns({"_seg": F.coalesce(F.sum(F.col("_pen").cast("int")).over(PAST()), F.lit(0)), "_at": held_before(F.when(F.col("_pen"), F.col("pos"))), "_was": held_before(F.when(F.col("_pen"), F.col("_level")))})
         reclaimed = F.col("close") < F.col("_was") - p.sweep_reclaim * F.col("_atr") if up else F.col("close") > F.col("_was") + p.sweep_reclaim * F.col("_atr")
         df = df.withColumn("_hit", yes((F.col("pos") - F.col("_at") <= p.sweep_bars) & reclaimed))
         df = first_in_segment(df, "_hit", "_seg", name)
@@ -275,7 +275,7 @@ def adaptive_gap(df: DataFrame, p: StructureParams = ST) -> DataFrame:
     """Three-bar gaps whose middle bar moved more than twice the mean move so far."""
     move = (lag("close") - lag("open")) / (lag("open") * 100)
     df = df.withColumn("_move", move)
-    limit = 2 * F.sum(F.abs("_move")).over(SO_FAR) / F.col("pos") if p.auto_threshold else F.lit(0.0)
+    limit = 2 * F.sum(F.abs("_move")).over(SO_FAR()) / F.col("pos") if p.auto_threshold else F.lit(0.0)
     up = (F.col("low") > lag("high", 2)) & (lag("close") > lag("high", 2)) & (F.col("_move") > limit)
     down = (F.col("high") < lag("low", 2)) & (lag("close") < lag("low", 2)) & (-F.col("_move") > limit)
     return df.withColumns({"smc_fvg_bullish_formed": yes(up), "smc_fvg_bearish_formed": yes(down)}).drop("_move")
@@ -283,7 +283,7 @@ def adaptive_gap(df: DataFrame, p: StructureParams = ST) -> DataFrame:
 
 def zones(df: DataFrame, window: int | None = None, p: StructureParams = ST) -> DataFrame:
     """Where the close is in the range so far, or in that of the last window bars; discount wins over premium."""
-    frame = back(window) if window else SO_FAR
+    frame = back(window) if window else SO_FAR()
     df = df.withColumns({"smc_trailing_top": F.max("high").over(frame), "smc_trailing_bottom": F.min("low").over(frame)})
     top, bottom = F.col("smc_trailing_top"), F.col("smc_trailing_bottom")
     zone = F.when(F.col("close") <= (1 - p.band) * bottom + p.band * top, "discount").when(F.col("close") >= (1 - p.band) * top + p.band * bottom, "premium").otherwise("equilibrium")
@@ -348,8 +348,8 @@ def random_entry(df: DataFrame, p: BaselineParams = BL, seed: int = 42) -> DataF
 def buy_and_hold(df: DataFrame) -> DataFrame:
     """Total return, yearly growth, Sharpe ratio and largest drawdown of holding each ticker."""
     df = df.withColumn("_ret", F.col("close") / lag("close") - 1)
-    df = df.withColumn("_path", F.sum(F.log1p("_ret")).over(SO_FAR))
-    df = df.withColumn("_fall", F.expm1(F.col("_path") - F.max("_path").over(SO_FAR)))
+    df = df.withColumn("_path", F.sum(F.log1p("_ret")).over(SO_FAR()))
+    df = df.withColumn("_fall", F.expm1(F.col("_path") - F.max("_path").over(SO_FAR())))
     out = df.groupBy("ticker").agg(F.min_by("close", "date").alias("_c0"), F.max_by("close", "date").alias("_c1"), F.datediff(F.max("date"), F.min("date")).alias("_days"), F.avg("_ret").alias("_m"), F.stddev_samp("_ret").alias("_s"), F.min("_fall").alias("max_drawdown"))
     total = F.col("_c1") / F.col("_c0") - 1
     return out.select("ticker", total.alias("total_return"), (F.pow(1 + total, F.try_divide(F.lit(365.25), "_days")) - 1).alias("cagr"), (F.try_divide("_m", "_s") * F.sqrt(F.lit(252.0))).alias("sharpe"), "max_drawdown")

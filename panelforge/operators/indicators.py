@@ -11,18 +11,27 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("ticker").orderBy("date")
-PAST = W.rowsBetween(Window.unboundedPreceding, -1)
-SO_FAR = W.rowsBetween(Window.unboundedPreceding, 0)
+
+def W():
+    """A ticker's bars by date. A function, as a window needs a running session."""
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def PAST():
+    return W().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def SO_FAR():
+    return W().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def back(n: int):
     """This row and those before it, n in all."""
-    return W.rowsBetween(-(n - 1), 0)
+    return W().rowsBetween(-(n - 1), 0)
 
 
 def ahead(n: int):
-    return W.rowsBetween(1, n)
+    return W().rowsBetween(1, n)
 
 
 def col(x: str | Column) -> Column:
@@ -30,7 +39,7 @@ def col(x: str | Column) -> Column:
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(W)
+    before = F.lag("close").over(W())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -53,7 +62,7 @@ def recurrence(df: DataFrame, value: str, name: str, alpha: float, seed_pos: int
     df = df.withColumn(f"_{name}_y", own)
     last = F.when(F.col(f"_{name}_i") == size - 1, F.col(f"_{name}_y"))
     df = df.withColumn(f"_{name}_e", held_before(last))
-    older = F.coalesce(F.lag(f"_{name}_e", size).over(W), F.lit(0.0))
+    older = F.coalesce(F.lag(f"_{name}_e", size).over(W()), F.lit(0.0))
     carried = F.coalesce(F.col(f"_{name}_e") + older * q**size, F.lit(0.0)) * F.pow(F.lit(q), F.col(f"_{name}_i") + 1)
     df = df.withColumn(name, F.when(at >= 0, F.col(f"_{name}_y") + carried))
     return df.drop(*[f"_{name}_{k}" for k in "bixye"])
@@ -61,7 +70,7 @@ def recurrence(df: DataFrame, value: str, name: str, alpha: float, seed_pos: int
 
 def wilder(df: DataFrame, value: str, name: str, length: int) -> DataFrame:
     """Seeded with the mean of the first length values."""
-    first = F.avg(col(value)).over(W.rowsBetween(-(length - 1), 0))
+    first = F.avg(col(value)).over(W().rowsBetween(-(length - 1), 0))
     return recurrence(df, value, name, 1 / length, length, first)
 
 
@@ -75,7 +84,7 @@ def ema(df: DataFrame, value: str, span: int, name: str) -> DataFrame:
 
 def rsi(df: DataFrame, length: int = 14, name: str = "rsi") -> DataFrame:
     """From the second bar on; null while there is no loss."""
-    step = F.col("close") - F.lag("close").over(W)
+    step = F.col("close") - F.lag("close").over(W())
     df = df.withColumns({f"_{name}_up": F.greatest(step, F.lit(0.0)) + step * 0, f"_{name}_dn": F.greatest(-step, F.lit(0.0)) + step * 0})
     df = recurrence(df, f"_{name}_up", f"_{name}_g", 1 / length, 2, F.col(f"_{name}_up"))
     df = recurrence(df, f"_{name}_dn", f"_{name}_l", 1 / length, 2, F.col(f"_{name}_dn"))
@@ -95,50 +104,43 @@ def rolling_std(value: str | Column, n: int) -> Column:
 
 def expanding_mean(value: str | Column) -> Column:
     """Sum so far over the number of bars so far, null ones included."""
-    return F.sum(col(value)).over(SO_FAR) / F.col("pos")
+    return F.sum(col(value)).over(SO_FAR()) / F.col("pos")
 
 
 def held(value: Column) -> Column:
     """The last value that isn't null, this bar included."""
-    return F.last(value, ignorenulls=True).over(SO_FAR)
+    return F.last(value, ignorenulls=True).over(SO_FAR())
 
 
 def held_before(value: Column) -> Column:
-    return F.last(value, ignorenulls=True).over(PAST)
+    return F.last(value, ignorenulls=True).over(PAST())
 
 
 def pivots(df: DataFrame, left: int, right: int, name: str = "pivot") -> DataFrame:
     """{name}_high/_low: a bar strictly beyond those left of it and not within those right of it; *_confirmed right bars later."""
     n = F.count(F.lit(1)).over(Window.partitionBy("ticker"))
     whole = (F.col("pos") > left) & (F.col("pos") <= n - right)
-    before, after = W.rowsBetween(-left, -1), ahead(right)
+    before, after = W().rowsBetween(-left, -1), ahead(right)
     high = whole & (F.col("high") > F.max("high").over(before)) & (F.col("high") >= F.max("high").over(after))
     low = whole & (F.col("low") < F.min("low").over(before)) & (F.col("low") <= F.min("low").over(after))
     df = df.withColumns({f"{name}_high": F.coalesce(high, F.lit(False)), f"{name}_low": F.coalesce(low, F.lit(False))})
-    late = {f"{name}_{s}_confirmed": F.coalesce(F.lag(f"{name}_{s}", right).over(W), F.lit(False)) for s in ("high", "low")}
+    late = {f"{name}_{s}_confirmed": F.coalesce(F.lag(f"{name}_{s}", right).over(W()), F.lit(False)) for s in ("high", "low")}
     return df.withColumns(late)
 
 
 def legs(df: DataFrame, size: int, name: str) -> DataFrame:
     """{name}_leg (0 after a high that size bars since have not reached, 1 after such a low), and confirmed {name}_high/_low."""
-    top = (F.col("pos") > size) & (F.lag("high", size).over(W) > F.max("high").over(back(size)))
-    bottom = (F.col("pos") > size) & (F.lag("low", size).over(W) < F.min("low").over(back(size)))
+    top = (F.col("pos") > size) & (F.lag("high", size).over(W()) > F.max("high").over(back(size)))
+    bottom = (F.col("pos") > size) & (F.lag("low", size).over(W()) < F.min("low").over(back(size)))
     df = df.withColumn(f"{name}_leg", F.coalesce(held(F.when(top, 0).when(bottom, 1)), F.lit(0)))
-    before = F.lag(f"{name}_leg").over(W)
+    before = F.lag(f"{name}_leg").over(W())
     turned = lambda to: (F.col(f"{name}_leg") == to) & (before == 1 - to)
-    return df.withColumns({f"{name}_high": F.when(turned(0), F.lag("high", size).over(W)), f"{name}_low": F.when(turned(1), F.lag("low", size).over(W))})
-
-
-def drawdown(ret: str | Column, order=W) -> tuple[Column, Column]:
-    """Log of the compounded path, and a function's worth of columns for its fall from the top so far: apply in two steps."""
-    path = F.sum(F.log1p(F.greatest(col(ret), F.lit(-0.999999)))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    fall = F.expm1(F.col("_path") - F.max("_path").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return path, fall
+    return df.withColumns({f"{name}_high": F.when(turned(0), F.lag("high", size).over(W())), f"{name}_low": F.when(turned(1), F.lag("low", size).over(W()))})
 
 
 def week_opens() -> Column:
     """The weekday is no later than the bar's before; the first bar of a ticker opens a week."""
-    return F.coalesce(F.weekday("date") - F.lag(F.weekday("date")).over(W), F.lit(-1)) <= 0
+    return F.coalesce(F.weekday("date") - F.lag(F.weekday("date")).over(W()), F.lit(-1)) <= 0
 
 
 def expanding_median(df: DataFrame, value: str, name: str, least: int) -> DataFrame:

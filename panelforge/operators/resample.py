@@ -15,38 +15,9 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.distributions import norm_sf, t_sf, tail_p
 from panelforge.functions.seeds import rng
+from panelforge.functions.simulation import DESIGNS, MOST_SAMPLE, bootstrap_interval, draws, simulate_panel
 from panelforge.operators.stats import benjamini_hochberg, forward_returns, two_sided
 
-CELLS = 5_000_000  #: of a block of draws, some 40 MB
-MOST_SAMPLE = 20_000  #: values that a bootstrap draws from; intervals of larger groups are centred anew
-
-
-def draws(n: int, runs: int, gen: np.random.Generator):
-    """Blocks of row numbers, runs in all."""
-    step = max(1, min(runs, CELLS // max(n, 1)))
-    for at in range(0, runs, step):
-        yield slice(at, min(runs, at + step)), gen.integers(0, n, size=(min(step, runs - at), n))
-
-
-def bootstrap_interval(r: np.ndarray, runs: int, label: str, alpha: float = 0.05) -> dict:
-    """Percentile intervals of the mean and of Cohen's d; the points are those of all values."""
-    if len(r) < 5:
-        return {"mean": None, "ci_lower": None, "ci_upper": None, "cohens_d": None, "d_lower": None, "d_upper": None, "ci_method": "insufficient_data"}
-    gen, whole = rng(label), r
-    method = "percentile_bootstrap"
-    if len(r) > MOST_SAMPLE:
-        r, method = gen.choice(r, MOST_SAMPLE, replace=False), f"percentile_bootstrap_subsample_{MOST_SAMPLE}_recentred"
-    means, sds = np.empty(runs), np.empty(runs)
-    for at, idx in draws(len(r), runs, gen):
-        means[at], sds[at] = r[idx].mean(axis=1), r[idx].std(axis=1, ddof=1)
-    d = means / np.where(sds > 0, sds, np.nan)
-    mean, effect = float(whole.mean()), float(whole.mean() / whole.std(ddof=1)) if whole.std(ddof=1) > 0 else float("nan")
-    shift, d_shift = (mean - r.mean(), effect - r.mean() / r.std(ddof=1)) if len(whole) > len(r) else (0.0, 0.0)
-    q = lambda x, s: [float(v + s) for v in np.nanpercentile(x, [100 * alpha / 2, 100 * (1 - alpha / 2)])]
-    (lo, hi), (dl, dh) = q(means, shift), q(d, d_shift)
-    return {"mean": mean, "ci_lower": lo, "ci_upper": hi, "cohens_d": effect, "d_lower": dl, "d_upper": dh, "ci_method": method}
-
-
 def bootstrap(trades: DataFrame, runs: int = 10_000) -> DataFrame:
     """One row for each signal and horizon."""
 
@@ -188,23 +159,6 @@ def rotation_sampled(trades: DataFrame, bars: DataFrame, horizons: Sequence[int]
     return out.withColumn("p_value", (F.col("_ge") + 1) / (F.col("n_runs") + 1)).drop("_ge")
 
 
-def simulate_panel(gen: np.random.Generator, n_tickers: int = 60, bars: int = 4000) -> np.ndarray:
-    """Log-price-like closes (tickers, bars): a GARCH(1,1) market with Student shocks, betas and own noise."""
-    shocks = gen.standard_t(5, bars) / np.sqrt(5 / 3)
-    market, var = np.empty(bars), 1e-4
-    for t in range(bars):
-        market[t] = np.sqrt(var) * shocks[t]
-        var = 2e-6 + 0.08 * market[t] ** 2 + 0.90 * var
-    beta = gen.uniform(0.6, 1.4, n_tickers)[:, None]
-    own = 0.015 * gen.standard_t(5, (n_tickers, bars)) / np.sqrt(5 / 3)
-    return 100 * np.cumprod(1 + np.clip(3e-4 + beta * market + own, -0.5, 0.5), axis=1)
-
-
-DESIGNS = {  #: how entries fall: (shared dates, from a pool of dates, entries for each ticker)
-    "iid": (False, False), "shared": (True, False), "clustered": (False, True),
-}
-
-
 def calibration(spark: SparkSession, reps: int = 200, n_tickers: int = 20, bars: int = 800, h: int = 10, entries: int = 40) -> DataFrame:
     """How often tests of a zero edge reject at 5 %, by design: plain t, matched sampling, calendar time.
 

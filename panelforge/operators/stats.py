@@ -57,7 +57,7 @@ def excursion_summary(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def forward_returns(bars: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """(ticker, date, holding_period, fwd) of every bar that the series has h bars after."""
-    cols = {f"_f{h}": F.lead("close", h).over(W) / F.col("close") - 1 for h in horizons}
+    cols = {f"_f{h}": F.lead("close", h).over(W()) / F.col("close") - 1 for h in horizons}
     legs = F.array(*[F.struct(F.lit(h).alias("holding_period"), F.col(f"_f{h}").alias("fwd")) for h in horizons])
     return bars.withColumns(cols).select("ticker", "date", F.explode(legs).alias("_e")).select("ticker", "date", "_e.*").filter("fwd is not null")
 
@@ -175,7 +175,7 @@ def benjamini_hochberg(df: DataFrame, p: str, name: str, alpha: float = 0.05, fa
 
 
 def two_sided(p: Column) -> Column:
-    return F.least(F.lit(1.0), 2 * F.least(p, 1 - p))
+    return F.when(p.isNotNull(), F.least(F.lit(1.0), 2 * F.least(p, 1 - p)))
 
 
 def significance_label(p: Column, effect: Column, alpha: float = 0.05) -> Column:

@@ -18,7 +18,7 @@ def forward_columns(bars: DataFrame, horizons: Sequence[int] = HORIZONS) -> Data
     """
     new: dict[str, Column] = {}
     for h in horizons:
-        new |= {f"_out_{h}": F.lead("close", h).over(W), f"_top_{h}": F.max("high").over(ahead(h)), f"_low_{h}": F.min("low").over(ahead(h))}
+        new |= {f"_out_{h}": F.lead("close", h).over(W()), f"_top_{h}": F.max("high").over(ahead(h)), f"_low_{h}": F.min("low").over(ahead(h))}
     return bars.withColumns(new)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.functions.machines import PoolState
 from panelforge.operators import analysis as A
 from panelforge.operators import detectors as D
 from panelforge.operators import events as E
@@ -29,12 +30,15 @@ ADDED = {"AF": "1990-01-02", "AO": "1994-06-01", "NF": "1996-01-01", "NO": None,
 
 
 def shaped(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, integers long, dates as text: what two engines agree on to the last digit."""
+    """Doubles rounded, integers long, dates as text: what two engines agree on to the last digit.
+
+    The small addend moves exact halves, which sums in another order would round either way.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, digits) + F.lit(0.0)
+            c = F.round(c + 1e-9, digits) + F.lit(0.0)
         elif isinstance(f.dataType, T.IntegerType):
             c = c.cast("long")
         elif isinstance(f.dataType, T.DateType):
@@ -147,18 +151,18 @@ over_bars("wilder_atr", lambda b: I.atr(I.atr(b, 14, "atr14"), 200, "atr200"), "
 over_bars("pivots", lambda b: I.pivots(b, 5, 1), "pivot_high", "pivot_low", "pivot_high_confirmed", "pivot_low_confirmed")
 over_bars("leg_state", lambda b: I.legs(b, 5, "x"), "x_leg")
 over_bars("swing_points", lambda b: I.legs(b, 10, "x").filter("x_high is not null or x_low is not null"), "x_high", "x_low")
-over_bars("sma", lambda b: b.withColumns({"sma20": I.sma("close", 20), "sma200_half": I.sma("close", 200, 100), "diff20": F.col("close") - F.lag("close", 20).over(I.W)}), "sma20", "sma200_half", "diff20")
-over_bars("rolling_std", lambda b: b.withColumn("ret", F.col("close") / F.lag("close").over(I.W) - 1).withColumn("std63", I.rolling_std("ret", 63)), "std63")
+over_bars("sma", lambda b: b.withColumns({"sma20": I.sma("close", 20), "sma200_half": I.sma("close", 200, 100), "diff20": F.col("close") - F.lag("close", 20).over(I.W())}), "sma20", "sma200_half", "diff20")
+over_bars("rolling_std", lambda b: b.withColumn("ret", F.col("close") / F.lag("close").over(I.W()) - 1).withColumn("std63", I.rolling_std("ret", 63)), "std63")
 over_bars("expanding_median", lambda b: I.expanding_median(b, "close", "median_so_far", 63), "median_so_far")
-over_bars("expanding_extremes", lambda b: b.withColumns({"top": F.max("high").over(I.SO_FAR), "bottom": F.min("low").over(I.SO_FAR), "total": F.sum("volume").over(I.SO_FAR), "mean": I.expanding_mean("close"), "top20": F.max("high").over(I.back(20))}), "top", "bottom", "total", "mean", "top20")
+over_bars("expanding_extremes", lambda b: b.withColumns({"top": F.max("high").over(I.SO_FAR()), "bottom": F.min("low").over(I.SO_FAR()), "total": F.sum("volume").over(I.SO_FAR()), "mean": I.expanding_mean("close"), "top20": F.max("high").over(I.back(20))}), "top", "bottom", "total", "mean", "top20")
 over_bars("ema", lambda b: I.ema(I.ema(b, "close", 20, "ema20"), "close", 50, "ema50"), "ema20", "ema50")
 over_bars("rsi", lambda b: I.rsi(b), "rsi")
 over_bars("ffill", lambda b: b.withColumn("last_up_close", I.held(F.when(F.col("close") > F.col("open"), F.col("close")))), "last_up_close")
-over_bars("drawdown", lambda b: b.withColumn("ret", F.col("close") / F.lag("close").over(I.W) - 1).withColumn("path", F.sum(F.log1p("ret")).over(I.SO_FAR)).withColumn("fall", F.expm1(F.col("path") - F.max("path").over(I.SO_FAR))), "fall")
+over_bars("drawdown", lambda b: b.withColumn("ret", F.col("close") / F.lag("close").over(I.W()) - 1).withColumn("path", F.sum(F.log1p("ret")).over(I.SO_FAR())).withColumn("fall", F.expm1(F.col("path") - F.max("path").over(I.SO_FAR()))), "fall")
 over_bars("week_open", lambda b: b.withColumn("week_open", I.week_opens()), "week_open")
 over_bars("forward_breach", lambda b: b.withColumn("breached", D.yes(F.min("low").over(I.ahead(60)) < F.col("low"))), "breached")
 over_bars("forward_excursion", lambda b: b.withColumns({"top10": F.max("high").over(I.ahead(10)), "bottom10": F.min("low").over(I.ahead(10))}), "top10", "bottom10")
-over_bars("forward_return", lambda b: b.withColumns({f"fwd{h}": F.lead("close", h).over(I.W) / F.col("close") - 1 for h in (1, 10, 60)}), "fwd1", "fwd10", "fwd60")
+over_bars("forward_return", lambda b: b.withColumns({f"fwd{h}": F.lead("close", h).over(I.W()) / F.col("close") - 1 for h in (1, 10, 60)}), "fwd1", "fwd10", "fwd60")
 
 # Detectors
 
@@ -176,7 +180,7 @@ fired("fvg_ifvg", lambda b: D.fair_value_gap(b, PriceActionParams(fvg_mode="IFVG
 fired("bpr", lambda b: D.balanced_range(D.fair_value_gap(b)), "ict_bpr_bullish", "ict_bpr_bearish")
 fired("mss", D.structure_shift, "ict_mss_bullish", "ict_mss_bearish")
 fired("bos", states.shifts_and_pools, "ict_bos_bullish", "ict_bos_bearish")
-fired("liquidity_pool", states.shifts_and_pools, *states.PoolState.outputs)
+fired("liquidity_pool", states.shifts_and_pools, *PoolState.outputs)
 fired("order_blocks_ict", D.order_blocks, *[f"ict_ob_{s}_{w}" for s in ("bullish", "bearish") for w in ("formed", "mitigated")])
 fired("liquidity_sweep", D.liquidity_sweep, "ict_sweep_buyside_bearish", "ict_sweep_sellside_bullish")
 over_bars("opening_gaps", lambda b: D.opening_gaps(b, PriceActionParams(daily_gaps=True)).filter("ict_ndog_gap_up or ict_ndog_gap_down"), "ict_nwog_gap_up", "ict_nwog_gap_down", "ict_ndog_gap_up", "ict_ndog_gap_down", "ict_ndog_gap_size")
@@ -422,7 +426,7 @@ def stability(spark, sf_dir):
 @query
 def combos(spark, sf_dir):
     bars = P.bars_from_lineitem(spark, sf_dir)
-    t = B.backtest(E.combinations(study_events(bars), 20, 10), bars, [10])
+    t = B.backtest(E.combinations(study_events(bars), 2, 10), bars, [10])
     return t.groupBy("signal", "direction").agg(F.count(F.lit(1)).alias("n_trades"), F.avg("fwd_return").alias("avg_return"))
 
 
