@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), words_kept=100_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("personal data", redact), ("mixing", mix_sources), ("packing", pack)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -57,11 +59,20 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts are long: fewer rows in each Arrow batch than Spark's default keep workers small."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 32) -> None:
+    """Texts are long: fewer rows and bytes in each Arrow batch than Spark's defaults keep workers small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+
+
+def give_back() -> None:
+    """What a finished task leaves free in this process goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -83,6 +94,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[
 
         for out in fn(dicts()):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+        give_back()
 
     return df.mapInArrow(run, want)
 
@@ -131,7 +143,7 @@ class WordMemo:
     again when it returns, so results never depend on the limit.
     """
 
-    def __init__(self, compute: Callable[[list], list], limit: int = 300_000):
+    def __init__(self, compute: Callable[[list], list], limit: int = 150_000):
         self.compute, self.limit = compute, limit
         self.young: dict = {}
         self.old: dict = {}

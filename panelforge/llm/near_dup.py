@@ -50,7 +50,7 @@ def tables(bits: int, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: width - 1]]), width)
 
 
-def word_codes(memo_limit: int = 400_000) -> WordMemo:
+def word_codes(memo_limit: int = 200_000) -> WordMemo:
     import xxhash
 
     return WordMemo(lambda words: [xxhash.xxh64_intdigest(w) for w in words], memo_limit)

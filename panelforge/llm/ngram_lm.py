@@ -29,7 +29,7 @@ from panelforge.llm.words import coded_words, segment_sums
 
 @dataclass(frozen=True)
 class LmParams:
-    chunk_tokens: int = 1 << 20
+    chunk_tokens: int = 1 << 19
     smoothing: float = 0.1  #: added to unigram counts
     weight: float = 50.0  #: of the unigram beside a bigram's count
     key_bits: int = 40  #: of a bigram's key beside its bucket

@@ -154,12 +154,12 @@ def place(length: np.ndarray, rank: np.ndarray, table: dict[int, tuple[np.ndarra
     return sequence, offset
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, space_prefix: bool, end_id: int, capacity: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, space_prefix: bool, end_id: int, capacity: int, words_kept: int) -> DataFrame:
     """Pieces with the partition that made them and their rank among its pieces of that length."""
     bounded_batches(docs.sparkSession, 2000)
 
     def pieces(batches):
-        words, chunk, seen = encoder(tokenizer, space_prefix), TaskContext.get().partitionId(), Counter()
+        words, chunk, seen = encoder(tokenizer, space_prefix, words_kept), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth")}
             for doc, ids in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"]), strict=True):
@@ -177,14 +177,15 @@ def cut_pieces(docs: DataFrame, tokenizer: str, space_prefix: bool, end_id: int,
     return arrow_map(docs.select("doc_id", "text"), pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long", arrays=True)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, space_prefix: bool = True, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, space_prefix: bool = True, end_id: int = 0, capacity: int = 2048, words_kept: int = 300_000) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     A null or empty text is its end id alone; repeated rows are packed each. A document longer
     than capacity is cut so that all pieces but the first are full. An empty table gives no rows.
+    words_kept bounds the words that a worker remembers, never the result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.save(cut_pieces(docs, tokenizer, space_prefix, end_id, capacity), "pieces")
+    pieces = scratch.save(cut_pieces(docs, tokenizer, space_prefix, end_id, capacity, words_kept), "pieces")
     counts = pieces.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n"))
     # at most one row for each length and chunk
     counts = scratch.save(counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")).select("chunk", "length", "n", "before"), "counts")

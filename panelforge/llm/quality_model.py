@@ -15,13 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from panelforge.llm.common import WordMemo, arrow_map, bounded_batches, held_out_by
+from panelforge.llm.common import WordMemo, arrow_map, bounded_batches, give_back, held_out_by
 from panelforge.llm.words import coded_words, labelled_sample, segment_sums
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    sample: int = 6000  #: labelled documents that are used for fitting, at most
+    sample: int = 4000  #: labelled documents that are used for fitting, at most
     bits: int = 17  #: of the table of vectors; the vector after the last is that of equal neighbours
     width: int = 8
     grams: tuple[int, int] = (3, 5)
@@ -104,8 +104,10 @@ def fit(sample: list[tuple[str, int]], p: QualityParams = QualityParams()) -> Su
             slots, at = np.unique(flat, return_inverse=True)
             count = np.bincount(at, weight)
             if count.sum():
-                data.append((slots[count > 0], count[count > 0], int(label)))
+                data.append((slots[count > 0].astype(np.int32), count[count > 0].astype(np.float32), int(label)))
     model.fit(data)
+    del data, memo
+    give_back()
     return model
 
 

@@ -18,7 +18,7 @@ from panelforge.llm.tokenize import encoder
 SHARD_TOKENS = 1 << 20
 
 
-def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, space_prefix: bool, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, space_prefix: bool, end_id: int, shard_tokens: int = SHARD_TOKENS, words_kept: int = 300_000) -> DataFrame:
     """Shards of at most shard_tokens ids, or of one longer document: part, part_start, n_tokens, payload.
 
     The range partitions are in document order, and part_start counts a partition's ids before
@@ -30,7 +30,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, s
     rows = rows.repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def shards(batches):
-        words, part, before = encoder(tokenizer, space_prefix), TaskContext.get().partitionId(), 0
+        words, part, before = encoder(tokenizer, space_prefix, words_kept), TaskContext.get().partitionId(), 0
         ids, held, size = [], [], 0
 
         def flush():

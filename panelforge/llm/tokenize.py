@@ -32,7 +32,7 @@ class Encoder:
     a piece.
     """
 
-    def __init__(self, path: str, space_prefix: bool, limit: int = 400_000):
+    def __init__(self, path: str, space_prefix: bool, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -132,7 +132,7 @@ def gather(symbols: np.ndarray, lengths: np.ndarray, places: np.ndarray, flat: n
     return flat[at]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, space_prefix: bool) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, space_prefix: bool, limit: int) -> Encoder:
     """One for each worker process, so that its words stay known from task to task."""
-    return Encoder(path, space_prefix)
+    return Encoder(path, space_prefix, limit)

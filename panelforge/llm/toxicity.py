@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from panelforge.llm.common import WordMemo, arrow_map, bounded_batches, held_out_by
+from panelforge.llm.common import WordMemo, arrow_map, bounded_batches, give_back, held_out_by
 from panelforge.llm.words import coded_words, labelled_sample, segment_sums
 
 
 @dataclass(frozen=True)
 class ToxicParams:
-    sample: int = 6000  #: labelled documents that are used for fitting, at most
+    sample: int = 4000  #: labelled documents that are used for fitting, at most
     toxic_share: float = 0.4  #: of the sample, at most
     bits: int = 18  #: of the table of feature weights
     window: int = 64  #: words of a chain; a text is as many chains as it needs
@@ -174,6 +174,7 @@ class ToxicModel:
 def fit(sample: list[tuple[str, int]], p: ToxicParams = ToxicParams()) -> ToxicModel:
     """Without documents of both labels no word is toxic, and every score is that of a clean text."""
     chain, bad = Chain(p.bits), suspicious(sample, p)
+    give_back()
     chains, rest = [], []
     for text, label in sample:
         words = text.split()
@@ -190,13 +191,14 @@ def fit(sample: list[tuple[str, int]], p: ToxicParams = ToxicParams()) -> ToxicM
         _, _, starts, prob = chain.texts(pa.array([t for t, _ in sample[i : i + 500]], pa.string()), memo, p.window)
         x.append(segment_sums(prob * (prob > 0.01), starts))
     x = np.log(np.concatenate([*x, np.empty(0)]) + 1e-2)
-    a, b = 1.0, 0.0
+    a, b = 1.0, -3.0  # nothing known: a text without toxic words scores near 0
     if chains:
         z, scale = (x - x.mean()) / (x.std() or 1), (x.std() or 1)
         for _ in range(400):  # logistic regression on the log of the expected number of toxic words
             gap = 1 / (1 + np.exp(-(a * z + b))) - y
             a, b = a - 0.5 * ((gap * z).mean() + 1e-3 * a), b - 0.5 * gap.mean()
         a, b = a / scale, b - a * x.mean() / scale
+    give_back()
     return ToxicModel(chain, float(a), float(b))
 
 
