@@ -361,13 +361,13 @@ def significance_label(spark, sf_dir):
 def statistics_master(spark, sf_dir):
     """The whole hypothesis table, with p values."""
     bars, t = study(spark, sf_dir, [1, 10])
-    return S.statistics_master(t, bars, baseline(bars, [1, 10]), [1, 10])
+    return S.statistics_master(t.cache(), bars, baseline(bars, [1, 10]), [1, 10])
 
 
 @query
 def edge_counts(spark, sf_dir):
     bars, t = study(spark, sf_dir, [10])
-    return A.edge_counts(S.statistics_master(t, bars, baseline(bars, [10]), [10]))
+    return A.edge_counts(S.statistics_master(t.cache(), bars, baseline(bars, [10]), [10]))
 
 
 # Regimes, sectors, stocks
