@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from panelforge.llm.common import WordMemo, arrow_map, bounded_batches, give_back, held_out_by
+from panelforge.llm.near_dup import NearDupParams, band_keys, shingles, signature, word_codes
 from panelforge.llm.words import coded_words, labelled_sample, segment_sums
 
 
@@ -48,9 +49,22 @@ def features(word: str) -> list[str]:
     return [f"w{plain}", *[f"{n}{plain[:n]}" for n in (4, 5) if len(plain) >= n]]
 
 
+def without_copies(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Without texts that share a band of MinHash values with one before: copies are no further evidence."""
+    p, memo, seen, out = NearDupParams(words=3, bands=16, rows=3), word_codes(), set(), []
+    for text, label in sample:
+        codes = shingles(text.encode(), memo, p.words)
+        keys = set(band_keys(signature(codes, p), p).tolist()) if len(codes) else set()
+        if keys and not keys & seen:
+            out.append((text, label))
+        seen |= keys
+    return out
+
+
 def suspicious(sample: list[tuple[str, int]], p: ToxicParams) -> set[str]:
     """Features that toxic documents have far more often than chance allows."""
     with_, without = Counter(), Counter()
+    sample = without_copies(sample)
     for text, label in sample:
         (with_ if label else without).update({f for w in set(text.split()) for f in features(w)})
     n1 = sum(label for _, label in sample)
@@ -161,6 +175,11 @@ class Chain:
         return words, codes, starts, prob[row, col]
 
 
+def evidence(prob: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Toxic words of each text, each counted by the fourth power of its marginal: many doubtful words are not one sure one."""
+    return segment_sums(prob**4, starts)
+
+
 @dataclass
 class ToxicModel:
     chain: Chain
@@ -189,7 +208,7 @@ def fit(sample: list[tuple[str, int]], p: ToxicParams = ToxicParams()) -> ToxicM
     x, y = [], np.array([label for _, label in sample], float)
     for i in range(0, len(sample), 500):
         _, _, starts, prob = chain.texts(pa.array([t for t, _ in sample[i : i + 500]], pa.string()), memo, p.window)
-        x.append(segment_sums(prob * (prob > 0.01), starts))
+        x.append(evidence(prob, starts))
     x = np.log(np.concatenate([*x, np.empty(0)]) + 1e-2)
     a, b = 1.0, -3.0  # nothing known: a text without toxic words scores near 0
     if chains:
@@ -216,7 +235,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, p: ToxicParams = ToxicPar
         memo = WordMemo(m.chain.score)
         for batch in batches:
             words, codes, starts, prob = m.chain.texts(batch["text"], memo, p.window)
-            score = m.document(segment_sums(prob * (prob > 0.01), starts))
+            score = m.document(evidence(prob, starts))
             spans = [[] for _ in score]
             text_of = np.searchsorted(starts, np.flatnonzero(prob >= 0.5), side="right") - 1
             for t in np.unique(text_of):
