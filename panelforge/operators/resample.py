@@ -21,7 +21,7 @@ from panelforge.operators.stats import benjamini_hochberg, forward_returns, two_
 def bootstrap(trades: DataFrame, runs: int = 10_000) -> DataFrame:
     """One row for each signal and horizon."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.sort_values(["ticker", "date"])["fwd_return"].dropna().to_numpy()
         return pd.DataFrame([{"signal": key[0], "holding_period": key[1], **bootstrap_interval(r, runs, f"boot:{key[0]}:{key[1]}")}])
 
@@ -32,7 +32,7 @@ def bootstrap(trades: DataFrame, runs: int = 10_000) -> DataFrame:
 def trade_shuffle(trades: DataFrame, runs: int = 1000) -> DataFrame:
     """Bootstrap of a group's mean and how often it isn't above zero."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.sort_values(["ticker", "date"])["fwd_return"].dropna().to_numpy()
         gen, sims = rng(f"shuffle:{key[0]}:{key[1]}"), np.full(runs, np.nan)
         if len(r) >= 5:
