@@ -179,6 +179,13 @@ def missing_members(members: DataFrame, start: Column, size: int = 500) -> DataF
     return g.withColumn("estimated_removed_names_missing", F.greatest(F.lit(size) - F.col("in_index_at_sample_start") - F.col("entry_date_unknown"), F.lit(0)))
 
 
+def membership_coverage(tickers: DataFrame, members: DataFrame) -> DataFrame:
+    """Tickers by what the membership table (ticker, date_added) knows of them."""
+    j = tickers.select("ticker").distinct().join(members.select("ticker", "date_added", F.lit(True).alias("_in")), "ticker", "left")
+    state = F.when(F.col("_in").isNull(), "absent").when(F.col("date_added").isNull(), "entry_date_unknown").otherwise("known")
+    return j.groupBy(state.alias("membership")).agg(F.count(F.lit(1)).alias("n_tickers"), F.min("date_added").alias("first_added"), F.max("date_added").alias("last_added"))
+
+
 def membership_compare(full: DataFrame, aware: DataFrame) -> DataFrame:
     """Two runs' signals side by side: (signal, n, excess) each."""
     j = full.select("signal", F.col("n").alias("n_full"), F.col("excess").alias("excess_full")).join(aware.select("signal", F.col("n").alias("n_aware"), F.col("excess").alias("excess_aware")), "signal", "full_outer")

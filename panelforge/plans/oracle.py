@@ -454,6 +454,7 @@ query("sign_consistency", "x4", "SELECT signal, count(*) AS n_horizons, sum(sign
 query("pivot_excess", "x4", "SELECT signal, " + ", ".join(r(f"any_value(excess_return) FILTER (WHERE holding_period = {h})", f"h{h}") for h in (1, 5, 10, 20)) + " FROM x4 GROUP BY signal")
 query("argmax_rows", "x4", f"SELECT {H}, arg_max(signal, row(excess_return, signal)) AS best_signal, arg_min(signal, row(excess_return, signal)) AS worst_signal FROM x4 GROUP BY holding_period")
 query("missing_members", "added", "SELECT *, greatest(20 - in_index_at_sample_start - entry_date_unknown, 0) AS estimated_removed_names_missing FROM (SELECT count(*) AS current_constituents, count(added) AS with_known_entry_date, count(*) FILTER (WHERE added <= DATE '1995-01-01') AS in_index_at_sample_start, count(*) FILTER (WHERE added > DATE '1995-01-01') AS joined_during_sample, count(*) - count(added) AS entry_date_unknown FROM added)")
+query("membership_coverage", "bars added", "SELECT CASE WHEN a.ticker IS NULL THEN 'absent' WHEN added IS NULL THEN 'entry_date_unknown' ELSE 'known' END AS membership, count(*) AS n_tickers, CAST(min(added) AS VARCHAR) AS first_added, CAST(max(added) AS VARCHAR) AS last_added FROM (SELECT DISTINCT ticker FROM bars) b LEFT JOIN added a ON a.ticker = b.ticker GROUP BY 1")
 table("member_bars", "bars added", "SELECT b.* FROM bars b JOIN added USING (ticker) WHERE date >= added")
 table("member_trades", "trades10 added", "SELECT t.* FROM trades10 t JOIN added USING (ticker) WHERE date >= added")
 table("member_pools", "member_bars", f"SELECT ticker, holding_period, count(fwd) AS n_pool, avg(fwd) AS mu, var_samp(fwd) AS var FROM ({fwds((10,)).replace('FROM bars', 'FROM member_bars')}) WHERE fwd IS NOT NULL GROUP BY 1, 2 HAVING count(fwd) >= 2")

@@ -471,6 +471,12 @@ def missing_members(spark, sf_dir):
     return A.missing_members(m, F.lit("1995-01-01").cast("date"), 20)
 
 
+@query
+def membership_coverage(spark, sf_dir):
+    members = pairs(spark, ADDED, "added").select("ticker", F.to_date("added").alias("date_added"))
+    return A.membership_coverage(P.bars_from_lineitem(spark, sf_dir), members)
+
+
 @query
 def membership_compare(spark, sf_dir):
     bars, t = study(spark, sf_dir, [10])
