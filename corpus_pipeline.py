@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     p = ToxicParams()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     sample = labelled_sample(docs, labels, "toxic", ~held_out_by(5, 0), p.sample, p.toxic_share)
-    return score_toxicity(docs, fit(sample, p), p, keep=docs.columns).filter("predicted = 0").select(*docs.columns)
+    return score_toxicity(docs, fit(sample, p), p, keep=docs.columns).filter("_toxicity.predicted = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def word_slots(word: str, p: QualityParams) -> list[int]:
     mask = (1 << p.bits) - 1
     if not word:
         return []
-    shown = f"<{word[:64]}>"  # n-grams of a longer word come from its first letters; its hash from all
+    shown = f"<{word}>"
     grams = {shown[i : i + n] for n in range(p.grams[0], p.grams[1] + 1) for i in range(len(shown) - n + 1)}
     return [zlib.crc32(word.encode()) & mask, *[zlib.crc32(g.encode(), 1) & mask for g in sorted(grams)]]
 

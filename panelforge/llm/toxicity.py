@@ -222,12 +222,12 @@ def fit(sample: list[tuple[str, int]], p: ToxicParams = ToxicParams()) -> ToxicM
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, p: ToxicParams = ToxicParams(), keep: list[str] | None = None) -> DataFrame:
-    """docs' doc_id (or the columns in keep) with score, predicted and spans (start, end, probability) of its toxic words.
+    """docs' doc_id (or the columns in keep) and _toxicity: score, predicted and spans (start, end, p) of toxic words.
 
     Null and empty texts have no toxic word. Each row is scored alone, so repeated rows agree.
     """
     bounded_batches(docs.sparkSession)
-    kept = [c for c in keep or ["doc_id"] if c not in ("score", "predicted", "spans")]
+    kept = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the weight table: 2**bits floats
 
     def scores(batches):
@@ -246,13 +246,14 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, p: ToxicParams = ToxicPar
                         lead = len(w) - len(w.lstrip(EDGE))
                         spans[t].append({"start": at + lead, "end": at + max(lead, len(w.rstrip(EDGE))), "p": float(prob[k])})
                     at += len(w) + 1
-            yield {**{c: batch[c] for c in kept}, "score": score, "predicted": (score >= 0.5).astype(np.int32), "spans": spans}
+            found = [{"score": x, "predicted": int(x >= 0.5), "spans": y} for x, y in zip(score.tolist(), spans, strict=True)]
+            yield {**{c: batch[c] for c in kept}, "_toxicity": found}
 
-    out = StructType([docs.schema[c] for c in kept] + StructType.fromDDL("score double, predicted int, spans array<struct<start:int,end:int,p:double>>").fields)
+    out = StructType([docs.schema[c] for c in kept] + StructType.fromDDL("_toxicity struct<score:double,predicted:int,spans:array<struct<start:int,end:int,p:double>>>").fields)
     return arrow_map(docs.select(*dict.fromkeys([*kept, "text"])), scores, out, arrays=True)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> DataFrame:
     """Fitted on labels of four fifths of the ids; every row of docs scored, with held_out."""
     sample = labelled_sample(docs, labels, "toxic", ~held_out_by(5, 0), params.sample, params.toxic_share)
-    return score_toxicity(docs, fit(sample, params), params).withColumn("held_out", held_out_by(5, 0))
+    return score_toxicity(docs, fit(sample, params), params).select("doc_id", "_toxicity.*").withColumn("held_out", held_out_by(5, 0))

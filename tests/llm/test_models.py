@@ -172,6 +172,8 @@ def test_pipeline_stages(spark, tmp_path):
         seen.append(table.collect())
         if i < 4:
             assert table.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    marked = table.sparkSession.createDataFrame([(1, "the an ou", 5.0, "mine")], "doc_id long, text string, score double, spans string")
+    assert P.drop_toxic(spark, marked, str(tmp_path)).first()["spans"] == "mine"
     assert {r["doc_id"] for r in seen[0]} == {d[0] for d in docs if d[0] % 6 or d[0] >= 300}
     ids = [r["doc_id"] for r in seen[1]]
     assert len(ids) == len(set(ids)) and set(ids) == {d[0] for d in docs if d[0] < 300 and d[0] % 6}
