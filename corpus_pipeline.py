@@ -32,7 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component: of its smallest doc_id, one of equal rows. Rows without an id stay."""
     out = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    rows = docs.join(out, "doc_id", "left_anti")
+    # by doc_id once, for the join and for equal rows
+    rows = docs.join(out.hint("merge"), "doc_id", "left_anti")
     once = rows.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return once.unionByName(rows.filter("doc_id is null")).select(*docs.columns)
 

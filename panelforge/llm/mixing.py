@@ -33,6 +33,7 @@ class MixParams:
     most_epochs: int = 2
     block_words: int = 32_768  #: aimed at, until a source has most_blocks
     most_blocks: int = 4096
+    broadcast_blocks: int = 100_000  #: of all sources; beyond, documents meet their blocks in a shuffle
     shards: int = 64
     seed: int = 17
 
@@ -123,11 +124,12 @@ def plan_mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     per_block = scratch.save(per_block, "blocks")
     scratch.drop("draws")
 
-    rows = rows.join(per_block, ["_mix_rank", "_mix_block"], "left")
+    few = int(cat["_mix_blocks"].sum()) <= p.broadcast_blocks  # some 200 bytes a block
+    rows = rows.join(F.broadcast(per_block) if few else per_block, ["_mix_rank", "_mix_block"], "left")
     split = F.coalesce((F.col("_part") > 0) & (F.col("_part") < F.col("_size")), F.lit(False))
     # the one block of a source that the quota ends in
     edge = rows.filter(split)
-    before = F.sum("_mix_size").over(by_source.orderBy(at("doc_id"), "doc_id", F.xxhash64("text"))  .rowsBetween(Window.unboundedPreceding, 0)) - F.col("_mix_size")
+    before = F.sum("_mix_size").over(by_source.orderBy(at("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_mix_size")
     edge = edge.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_mix_size"), F.col("_part") - before)))
     other = rows.filter(~split).withColumn("_extra", F.when(F.col("_part") == F.col("_size"), F.col("_mix_size")).otherwise(F.lit(0)))
     rows = edge.unionByName(other)

@@ -166,7 +166,8 @@ def find_links(sets: DataFrame, docs: DataFrame, scratch: Scratch, p: NearDupPar
     pairs = pairs.filter((F.col("node") != F.col("hub.node")) & (F.col("n") * 100 >= F.col("hub.n") * pct) & (F.col("hub.n") * 100 >= F.col("n") * pct))
     pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     pairs = scratch.save(pairs, "pairs")
-    texts = docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # the ids grow with the corpus: never broadcast, so that the plan is one at every size
+    texts = docs.join(shared.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     wanted = scratch.save(shingle_sets(texts, p, True).filter("members is not null").select(F.col("doc_id").alias("node"), "members", "sig"), "wanted")
     withsets = pairs.join(wanted.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a")
     withsets = withsets.join(wanted.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b")
