@@ -210,8 +210,12 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def fitted(docs: DataFrame, p: PiiParams = PiiParams()) -> Tagger:
-    rows = docs.filter("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(p.sample)
-    return fit([r["text"] for r in rows.select("text").collect()], p)
+    """A tagger from texts whose ids have the smallest hashes: ids are chosen first, so that few texts travel."""
+    order = F.xxhash64("doc_id", F.lit(23))
+    rows = docs.filter("text is not null and doc_id is not null")
+    ids = rows.select("doc_id").orderBy(order, "doc_id").limit(p.sample)
+    chosen = rows.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # sample ids
+    return fit([r["text"] for r in chosen.orderBy(order, "doc_id", F.xxhash64("text")).limit(p.sample).collect()], p)
 
 
 def find_personal_data(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
