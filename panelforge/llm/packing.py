@@ -177,7 +177,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, space_prefix: bool, end_id: int,
     return arrow_map(docs.select("doc_id", "text"), pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long", arrays=True)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, space_prefix: bool = True, end_id: int = 0, capacity: int = 2048, words_kept: int = 300_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, space_prefix: bool = True, end_id: int = 0, capacity: int = 2048, words_kept: int = 400_000) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     A null or empty text is its end id alone; repeated rows are packed each. A document longer

@@ -127,7 +127,7 @@ def score_quality(docs: DataFrame, model: SubwordModel) -> DataFrame:
                 out.append((float(table[slots].sum()) if slots else 0.0, len(slots)))
             return out
 
-        memo = WordMemo(parts)
+        memo = WordMemo(parts, 300_000)
         for batch in batches:
             words, codes, starts, same = text_parts(batch["text"], memo)
             known = memo.table(set(words))

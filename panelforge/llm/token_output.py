@@ -18,7 +18,7 @@ from panelforge.llm.tokenize import encoder
 SHARD_TOKENS = 1 << 20
 
 
-def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, space_prefix: bool, end_id: int, shard_tokens: int = SHARD_TOKENS, words_kept: int = 300_000) -> DataFrame:
+def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, space_prefix: bool, end_id: int, shard_tokens: int = SHARD_TOKENS, words_kept: int = 400_000) -> DataFrame:
     """Shards of at most shard_tokens ids, or of one longer document: part, part_start, n_tokens, payload.
 
     The range partitions are in document order, and part_start counts a partition's ids before
