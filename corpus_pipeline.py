@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelforge.llm.common import Scratch, held_out_by
 from panelforge.llm.mixing import mixed_documents

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelforge.llm import pii
 from panelforge.llm.char_tagger import TAGS, Tagger, TaggerParams, spans_of
 from panelforge.llm.quality_model import QualityParams, quality
-from panelforge.llm.toxicity import Chain, ToxicParams, toxicity
+from panelforge.llm.toxicity import Chain, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"
 
