@@ -9,6 +9,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.distributions import student_p
 from panelforge.operators.indicators import W, expanding_median, rolling_std, sma
 from panelforge.operators.stats import benjamini_hochberg, forward_returns, matched_excess, matched_null, return_pools, return_summary, welch
 from panelforge.params import RegimeParams
@@ -101,7 +102,10 @@ def rank_stocks(trades: DataFrame, baseline: DataFrame, h: int, least: int = 20,
     enough = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("fwd_return").alias("baseline_avg_return")).filter(F.col("_n") >= least_base).drop("_n")
     vs = welch(t, b, keys).select(*keys, F.col("t_stat").alias("t_vs_baseline"), F.col("dof").alias("dof_vs_baseline"), F.col("cohens_d").alias("effect_size_vs_baseline"))
     out = return_summary(t, keys).join(enough.join(vs, keys), keys, "left")
-    return out.withColumns({"excess_return_vs_baseline": F.col("avg_return") - F.col("baseline_avg_return"), "eligible": F.col("n_trades") >= least})
+    out = out.withColumns({"excess_return_vs_baseline": F.col("avg_return") - F.col("baseline_avg_return"), "eligible": F.col("n_trades") >= least})
+    out = benjamini_hochberg(out.withColumn("p_value_vs_baseline", student_p(F.col("t_vs_baseline"), F.col("dof_vs_baseline"), "greater")), "p_value_vs_baseline", "vs_baseline")
+    significant = F.col("vs_baseline_reject") & (F.col("excess_return_vs_baseline") > 0) & F.col("eligible")
+    return out.withColumn("significant_vs_baseline", F.coalesce(significant, F.lit(False)))
 
 
 def stability(trades: DataFrame) -> DataFrame:
