@@ -26,7 +26,7 @@ from panelforge.llm.words import coded_words, labelled_sample, segment_sums
 
 @dataclass(frozen=True)
 class ToxicParams:
-    sample: int = 4000  #: labelled documents that are used for fitting, at most
+    sample: int = 3000  #: labelled documents that are used for fitting, at most
     toxic_share: float = 0.4  #: of the sample, at most
     bits: int = 18  #: of the table of feature weights
     window: int = 64  #: words of a chain; a text is as many chains as it needs
