@@ -97,54 +97,68 @@ class Shard:
         return np.array(out, dtype=np.uint32)
 
 
-def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: int = 3, min_uses: int = 8, per_round: int = 8192, bits: int = 18) -> Shard:
-    """Each round replaces the most frequent pairs, at most per_round of them, each with min_uses uses at least.
+def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: int | None = None, min_uses: int = 8, per_round: int = 8192, bits: int = 18) -> Shard:
+    """Rounds that each replace the most frequent pairs, at most per_round of them, until no pair has min_uses uses.
 
     Pairs are counted exactly for the pair that holds a slot of a 2**bits table; one that
-    finds its slot taken has another chance in the next round, which hashes differently. Of
-    overlapping pairs the ones at even places of the run are replaced.
+    finds its slot taken is counted in a later round, which hashes differently. Of overlapping
+    pairs the ones at even places of the run are replaced; if that leaves every pair too few
+    uses, fewer pairs are tried, in the end the most frequent alone. A pair that was counted
+    with too few uses never gets more, so a round reads only those that had enough, those not
+    counted yet, and those around new symbols. rounds, if given, is a bound.
     """
     tokens = np.array([len(d) for d in docs], dtype=np.int64)
     seq = np.concatenate([*docs, np.empty(0, np.uint32)]).astype(np.uint32)
-    last = np.zeros(len(seq), bool)
+    n = len(seq)
+    last = np.zeros(n, bool)
     last[np.cumsum(tokens)[tokens > 0] - 1] = True
+    # replaced pairs keep their first place; n, which is never live, stands beyond both ends of a document
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after[:-1][last] = n
+    before[:1], before[1:][last] = n, n
+    gone, live = np.zeros(n + 1, bool), np.append(~last, False)
     left, right, lengths = [], [], []
-    size, top = np.ones(base, np.int64), base
-    mask = np.uint32((1 << bits) - 1)
-    for r in range(rounds):
-        if len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
-        slot = (a * np.uint32(2654435761 + 40503 * 2 * r) + b * np.uint32(2246822519 + 2 * r))
-        slot = (slot ^ (slot >> np.uint32(15))) & mask
-        count = np.bincount(slot, minlength=1 << bits)
-        at = np.flatnonzero((count >= min_uses)[slot] & ~last[:-1])
+    size, top, r, least = np.ones(base, np.int64), base, 0, max(2, min_uses // 2)
+    while rounds is None or r < rounds:
+        at = np.flatnonzero(live)
+        a, b = seq[at], seq[after[at]]
+        slot = a * np.uint32((2654435761 + 40503 * 2 * r) & 0xFFFFFFFF) + b * np.uint32((2246822519 + 2 * r) & 0xFFFFFFFF)
+        slot = (slot ^ (slot >> np.uint32(15))) & np.uint32((1 << bits) - 1)
+        r += 1
+        some = (np.bincount(slot, minlength=1 << bits) >= min_uses)[slot]
+        live[at[~some]] = False
+        at, s = at[some], slot[some]
         if not len(at):
             break
-        s = slot[at]
-        key = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
+        key = (a[some].astype(np.uint64) << np.uint64(32)) | b[some]
         holder = np.zeros(1 << bits, np.uint64)
         holder[s] = key
         mine = holder[s] == key
         at, s = at[mine], s[mine]
         count = np.bincount(s, minlength=1 << bits)
+        enough = (count >= min_uses)[s]
+        live[at[~enough]] = False
+        at, s = at[enough], s[enough]
         hot = np.flatnonzero(count >= min_uses)
-        if len(hot) > per_round:
-            hot = hot[np.lexsort((holder[hot], -count[hot]))[:per_round]]
+        hot = hot[np.lexsort((holder[hot], -count[hot]))[:per_round]]
+        while len(hot):
+            rank = np.full(1 << bits, -1, np.int32)
+            rank[hot] = np.arange(len(hot), dtype=np.int32)
+            which = rank[s]
+            here, which = at[which >= 0], which[which >= 0]
+            new_run = np.append(True, after[here[:-1]] != here[1:])
+            first = np.maximum.accumulate(np.where(new_run, np.arange(len(here)), 0))
+            even = (np.arange(len(here)) - first) % 2 == 0
+            used = np.bincount(which[even], minlength=len(hot)) >= least
+            if used.any():
+                break
+            if len(hot) == 1:
+                live[here] = False
+            hot = hot[: len(hot) // 8 or len(hot) - 1]
         if not len(hot):
-            break
-        rank = np.full(1 << bits, -1, np.int32)
-        rank[hot] = np.arange(len(hot), dtype=np.int32)
-        which = rank[s]
-        at, which = at[which >= 0], which[which >= 0]
-        new_run = np.append(True, np.diff(at) != 1)
-        first = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - first) % 2 == 0
-        at, which = at[even], which[even]
-        used = np.bincount(which, minlength=len(hot)) >= 2
-        at, which = at[used[which]], which[used[which]]
-        if not len(at):
-            break
+            continue
+        even &= used[which]
+        here, which = here[even], which[even]
         name = np.cumsum(used) - 1
         pairs = holder[hot[used]]
         lo, hi = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -152,15 +166,15 @@ def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: in
         right.append(hi)
         lengths.append(size[lo] + size[hi])
         size = np.concatenate([size, lengths[-1]])
-        seq[at] = top + name[which]
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq[here] = top + name[which]
+        second = after[here]
+        beyond = after[second]
+        gone[second], live[second] = True, False
+        after[here], before[beyond] = beyond, here
+        live[here], live[before[here]] = beyond < n, True
+        live[n] = False
         top += len(pairs)
-    ends = np.flatnonzero(last) + 1
-    starts = np.zeros(len(docs) + 1, np.int64)
-    starts[1:][tokens > 0] = ends
-    starts = np.maximum.accumulate(starts)
+    kept = np.append(0, np.cumsum(~gone[:-1]))
+    starts = np.append(0, kept[np.cumsum(tokens)])
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return Shard(doc_ids, tokens, starts, base, join(left), join(right), join(lengths), seq)
+    return Shard(doc_ids, tokens, starts, base, join(left), join(right), join(lengths), seq[~gone[:-1]])
