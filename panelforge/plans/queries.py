@@ -649,4 +649,4 @@ def rotation_sampled(spark, sf_dir):
 
 @query
 def calibration(spark, sf_dir):
-    return R.calibration(spark, 40)
+    return R.calibration(spark, P.bars_from_lineitem(spark, sf_dir))
