@@ -18,7 +18,7 @@ from panelforge.operators import resample as R
 from panelforge.operators import states
 from panelforge.operators import stats as S
 from panelforge.operators import trades as B
-from panelforge.params import BASELINES, REGISTRY, PriceActionParams
+from panelforge.params import BASELINES, HORIZONS, REGISTRY, PriceActionParams
 from panelforge.sources import panel as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,17 +357,22 @@ def significance_label(spark, sf_dir):
     return d.groupBy(S.significance_label(F.col("p_adjusted"), F.col("cohens_d")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _whole_table(spark, sf_dir):
+    """Every registered signal at every horizon: false-discovery control needs the whole family."""
+    bars = P.bars_from_lineitem(spark, sf_dir)
+    trades = B.backtest(E.events_of(bars), bars, HORIZONS).cache()
+    return S.statistics_master(trades, bars, B.backtest(E.baseline_events(bars), bars, HORIZONS), HORIZONS)
+
+
 @query
 def statistics_master(spark, sf_dir):
     """The whole hypothesis table, with p values."""
-    bars, t = study(spark, sf_dir, [1, 10])
-    return S.statistics_master(t.cache(), bars, baseline(bars, [1, 10]), [1, 10])
+    return _whole_table(spark, sf_dir)
 
 
 @query
 def edge_counts(spark, sf_dir):
-    bars, t = study(spark, sf_dir, [10])
-    return A.edge_counts(S.statistics_master(t.cache(), bars, baseline(bars, [10]), [10]))
+    return A.edge_counts(_whole_table(spark, sf_dir))
 
 
 # Regimes, sectors, stocks
