@@ -3,7 +3,7 @@
 The patterns' spans are the labels that the tagger learns from, in their own surroundings
 and written in other ways (a phone number without its plus, a card with other separators, an
 address with accented letters). Its spans count where no pattern has one and a check of the
-kind holds: so many digits, a Luhn sum, an address's parts.
+kind holds: so many digits, a Luhn sum, an address's parts, four numbers of at most 255.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: An address whose parts aren't joined by plain dots: one separator, three times.
+_OTHER_IP = re.compile(r"([0-9]{1,3})( ?[\[({] ?(?:\.|dot) ?[\])}] ?| ?\. ?| dot |-)([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})", re.I)
 _GATE = re.compile(r"[0-9@]")
 
 
@@ -96,6 +98,9 @@ def holds(kind: str, s: str) -> bool:
         return 14 <= len(d) <= 19 and bool(re.fullmatch(r"[0-9][0-9 ./_-]*[0-9]", s)) and luhn(d)
     if kind == "phone":
         return 10 <= len(d) <= 15 and len(re.findall(r"[0-9]+", s)) >= 3 and bool(re.fullmatch(r"\(?[0-9][0-9 ().-]*[0-9]", s))
+    if kind == "ip":
+        m = _OTHER_IP.fullmatch(s)
+        return m is not None and all(int(m[i]) <= 255 for i in (1, 3, 4, 5))
     return False
 
 
@@ -124,7 +129,7 @@ def rewritten(kind: str, s: str, rng: np.random.Generator) -> str:
         return ("-", " ", ".")[way].join(d[i : i + 4] for i in range(0, len(d), 4))
     if kind == "email":
         return (s.upper(), "é" + s, s.replace(".", "_", 1) if s.index(".") < s.index("@") else s)[way]
-    return s
+    return ("[.]", " . ", "-")[way].join(s.split("."))
 
 
 def invented(kind: str, rng: np.random.Generator) -> str:

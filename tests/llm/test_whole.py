@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from panelforge.llm import pii
 from panelforge.llm.repair import Shard, build
 
 
@@ -37,3 +38,17 @@ def test_grammar_ends_on_any_ids(docs):
         assert s.decode_all().tolist() == [x for d in docs for x in d]
         for i, d in enumerate(docs):
             assert s.decode(i).tolist() == d and s.decode(i, 2, 7).tolist() == d[2:7]
+
+
+def trained_on_invented() -> pii.Tagger:
+    rng = np.random.default_rng(1)
+    words = lambda n: " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 9)))) for _ in range(n))
+    return pii.fit([f"{words(20)} {pii.invented(pii.KINDS[i % 4], rng)} {words(20)}" for i in range(200)])
+
+
+def test_tagger_adds_addresses_in_other_forms():
+    assert pii.holds("ip", "192[.]168[.]0[.]1") and pii.holds("ip", "10 . 0 . 0 . 7") and pii.holds("ip", "10-0-0-7")
+    assert not pii.holds("ip", "192[.]168[.]0[.]256") and not pii.holds("ip", "1 . 2 . 3") and not pii.holds("ip", "1-2 . 3-4")
+    texts = ["the old server at 192[.]168[.]0[.]1 went down again", "ask the host on 172 . 16 . 254 . 3 for more of them"]
+    found = pii.find_all(texts, trained_on_invented(), pii.PiiParams().margin)
+    assert [a for _, a in found] == [[("ip", 18, 35)], [("ip", 16, 34)]] and not any(b for b, _ in found)
