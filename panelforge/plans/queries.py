@@ -613,7 +613,7 @@ def concept_view(spark, sf_dir):
 
 @query
 def bootstrap_ci(spark, sf_dir):
-    return R.bootstrap(study(spark, sf_dir, [10])[1], 1000)
+    return R.bootstrap(study(spark, sf_dir, [10])[1])
 
 
 @query
@@ -624,13 +624,13 @@ def trade_shuffle(spark, sf_dir):
 @query
 def matched_mc(spark, sf_dir):
     bars, t = study(spark, sf_dir, [10])
-    return R.simulated_null(t, bars, [10], 200)
+    return R.simulated_null(t, bars, [10])
 
 
 @query
 def block_bootstrap(spark, sf_dir):
     bars, t = study(spark, sf_dir, [10])
-    return R.simulated_null(t, bars, [10], 200, 21)
+    return R.simulated_null(t, bars, [10], block=21)
 
 
 @query
@@ -649,7 +649,7 @@ def rotation_family(spark, sf_dir):
 @query
 def rotation_sampled(spark, sf_dir):
     bars, t = study(spark, sf_dir, [10])
-    return R.rotation_sampled(t, bars, [10], 500)
+    return R.rotation_sampled(t, bars, [10])
 
 
 @query
