@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zlib
@@ -21,9 +22,12 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where none is set (tests) a local one."""
+    """The folder of spark.checkpoint.dir; where none is set, a local one if all runs in one process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -99,6 +103,14 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[
     return df.mapInArrow(run, want)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a working column that df has none of, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(name: str = "text") -> Column:
     """The UTF-8 bytes of a text, null as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

@@ -17,11 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from panelforge.llm.common import WordMemo, arrow_map, bounded_batches, give_back, held_out_by
 from panelforge.llm.near_dup import NearDupParams, band_keys, shingles, signature, word_codes
-from panelforge.llm.words import coded_words, labelled_sample, segment_sums
+from panelforge.llm.words import coded_words, labelled_sample, segment_sums, split_words
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def suspicious(sample: list[tuple[str, int]], p: ToxicParams) -> set[str]:
     with_, without = Counter(), Counter()
     sample = without_copies(sample)
     for text, label in sample:
-        (with_ if label else without).update({f for w in set(text.split()) for f in features(w)})
+        (with_ if label else without).update({f for w in set(split_words(text)) for f in features(w)})
     n1 = sum(label for _, label in sample)
     share = n1 / max(1, len(sample))
     if not 0 < share < 1:
@@ -97,26 +97,29 @@ class Chain:
     def score(self, words: list[str]) -> list[float]:
         return [float(self.weights[s].sum()) + self.bias if (s := self.slots(w)) else self.bias for w in words]
 
-    def marginals(self, scores: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(toxic) of each word of each row of scores, and expected counts of the steps; live: not padding.
+    def marginals(self, scores: np.ndarray, live: np.ndarray, steps: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """P(toxic) of each word of each row of scores, and (if wanted) expected counts of the steps; live: not padding.
 
-        Messages are log odds, so a step of the chain is a few operations on a column.
+        Forward and backward messages are odds of the toxic state, so a step of all chains is
+        a few products of one row of the transposed grid.
         """
-        rows, n = scores.shape
-        t = self.step
-        ahead, back = np.zeros((rows, n)), np.zeros((rows, n))
-        pass_on = lambda x, a, b, c, d: np.logaddexp(b, x + d) - np.logaddexp(a, x + c)
-        ahead[:, 0] = scores[:, 0]
-        for i in range(1, n):
-            ahead[:, i] = scores[:, i] + pass_on(ahead[:, i - 1], t[0, 0], t[0, 1], t[1, 0], t[1, 1])
-        for i in range(n - 2, -1, -1):
-            back[:, i] = np.where(live[:, i + 1], pass_on(scores[:, i + 1] + back[:, i + 1], t[0, 0], t[1, 0], t[0, 1], t[1, 1]), 0.0)
-        p = 1 / (1 + np.exp(-np.clip(ahead + back, -60, 60)))
-        both = live[:, 1:]
-        x, y = ahead[:, :-1][both], (scores + back)[:, 1:][both]
-        joint = np.stack([np.full_like(x, t[0, 0]), t[0, 1] + y, t[1, 0] + x, t[1, 1] + x + y])
-        joint = np.exp(joint - joint.max(axis=0))
-        return p, (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        e = np.exp(np.clip(np.ascontiguousarray(scores.T), -200, 200))
+        on = np.ascontiguousarray(live.T)
+        (t00, t01), (t10, t11) = np.exp(self.step)
+        ahead, back = np.empty_like(e), np.ones_like(e)
+        ahead[0] = e[0]
+        for i in range(1, len(e)):
+            ahead[i] = e[i] * (t01 + ahead[i - 1] * t11) / (t00 + ahead[i - 1] * t10)
+        for i in range(len(e) - 2, -1, -1):
+            x = e[i + 1] * back[i + 1]
+            back[i] = np.where(on[i + 1], (t10 + x * t11) / (t00 + x * t01), 1.0)
+        odds = ahead * back
+        prob = (odds / (1 + odds)).T
+        if not steps:
+            return prob, None
+        x, y = ahead[:-1][on[1:]], (e * back)[1:][on[1:]]
+        joint = np.stack([np.full_like(x, t00), t01 * y, t10 * x, t11 * x * y])
+        return prob, (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
     def fit(self, chains: list[tuple[list[str], np.ndarray]], p: ToxicParams) -> None:
         rng, slots = np.random.default_rng(p.seed), {}
@@ -166,13 +169,9 @@ class Chain:
         row, col = first_row[text] + nth // window, nth % window
         grid, live = np.zeros((int(rows_of.sum()), window)), np.zeros((int(rows_of.sum()), window), bool)
         grid[row, col], live[row, col] = score, True
-        # a chain of words that all score low has no toxic word; the sum of its marginals is that of lone words
-        prob = np.zeros(grid.shape)
-        busy = np.where(live, grid, -99).max(axis=1, initial=-99) > self.bias / 2
-        prob[~busy] = 1 / (1 + np.exp(-np.clip(grid[~busy], -60, 60)))
-        if busy.any():
-            prob[busy] = self.marginals(grid[busy], live[busy])[0]
-        return words, codes, starts, prob[row, col]
+        for i in range(0, len(grid), 8192):  # every chain, some at a time
+            grid[i : i + 8192] = self.marginals(grid[i : i + 8192], live[i : i + 8192], steps=False)[0]
+        return words, codes, starts, grid[row, col]
 
 
 def evidence(prob: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -196,7 +195,7 @@ def fit(sample: list[tuple[str, int]], p: ToxicParams = ToxicParams()) -> ToxicM
     give_back()
     chains, rest = [], []
     for text, label in sample:
-        words = text.split()
+        words = split_words(text)
         hot = np.array([bool(label) and any(f in bad for f in features(w)) for w in words], float)
         for i in range(0, len(words), 16):
             (chains if hot[i : i + 16].any() else rest).append((words[i : i + 16], hot[i : i + 16]))
@@ -221,10 +220,11 @@ def fit(sample: list[tuple[str, int]], p: ToxicParams = ToxicParams()) -> ToxicM
     return ToxicModel(chain, float(a), float(b))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicModel, p: ToxicParams = ToxicParams(), keep: list[str] | None = None) -> DataFrame:
-    """docs' doc_id (or the columns in keep) and _toxicity: score, predicted and spans (start, end, p) of toxic words.
+def score_toxicity(docs: DataFrame, model: ToxicModel, p: ToxicParams = ToxicParams(), keep: list[str] | None = None, name: str = "_toxicity") -> DataFrame:
+    """docs' doc_id (or the columns in keep) and one column of that name: score, predicted and spans (start, end, p) of toxic words.
 
-    Null and empty texts have no toxic word. Each row is scored alone, so repeated rows agree.
+    Null and empty texts have no toxic word. Each row is scored alone, so repeated rows agree;
+    texts may be of any length, an empty table gives no rows, and columns not kept aren't read.
     """
     bounded_batches(docs.sparkSession)
     kept = keep or ["doc_id"]
@@ -247,13 +247,18 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, p: ToxicParams = ToxicPar
                         spans[t].append({"start": at + lead, "end": at + max(lead, len(w.rstrip(EDGE))), "p": float(prob[k])})
                     at += len(w) + 1
             found = [{"score": x, "predicted": int(x >= 0.5), "spans": y} for x, y in zip(score.tolist(), spans, strict=True)]
-            yield {**{c: batch[c] for c in kept}, "_toxicity": found}
+            yield {**{c: batch[c] for c in kept}, name: found}
 
-    out = StructType([docs.schema[c] for c in kept] + StructType.fromDDL("_toxicity struct<score:double,predicted:int,spans:array<struct<start:int,end:int,p:double>>>").fields)
+    found_type = StructType.fromDDL("score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
+    out = StructType([docs.schema[c] for c in kept] + [StructField(name, found_type)])
     return arrow_map(docs.select(*dict.fromkeys([*kept, "text"])), scores, out, arrays=True)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> DataFrame:
-    """Fitted on labels of four fifths of the ids; every row of docs scored, with held_out."""
+    """Fitted on labels of four fifths of the ids; every row of docs scored, with held_out.
+
+    Null, empty and repeated rows as in score_toxicity; a null id is never held out. Labels that
+    are null, of unknown ids or repeated do no harm; without both labels every score is low.
+    """
     sample = labelled_sample(docs, labels, "toxic", ~held_out_by(5, 0), params.sample, params.toxic_share)
     return score_toxicity(docs, fit(sample, params), params).select("doc_id", "_toxicity.*").withColumn("held_out", held_out_by(5, 0))
