@@ -4,6 +4,8 @@ A bigram with quantised count q is stored as q entries, (bigram, 1) to (bigram,
 count is read by probing until an entry is missing. A token's probability interpolates that
 count with the base model's unigram: (c(u,w) + k * p(w)) / (c(u) + k).
 
+A false positive raises a count by one level; all else that is stored never exceeds the counts.
+
 Texts become chunks of coded tokens once. What is counted travels as packed arrays of hashed
 keys, one for each chunk and hash bucket, is merged by bucket, and answers return by chunk.
 The filter is cut into segments by bucket. If all of it is sure to stay below a limit, it is
@@ -23,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import Scratch, arrow_map, bounded_batches, held_out_by, mix64, pack, shuffle_parts, unpack
+from panelforge.llm.common import Scratch, arrow_map, bounded_batches, held_out_by, mix64, pack, unpack
 from panelforge.llm.words import coded_words, segment_sums
 
 
 @dataclass(frozen=True)
 class LmParams:
     chunk_tokens: int = 1 << 19
+    bucket_tokens: int = 1 << 19  #: of all texts for each hash bucket, at most
     smoothing: float = 0.1  #: added to unigram counts
     weight: float = 50.0  #: of the unigram beside a bigram's count
     key_bits: int = 40  #: of a bigram's key beside its bucket
@@ -48,8 +51,8 @@ def quantise(count: np.ndarray) -> np.ndarray:
 
 
 def restored(q: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level; 0 for level 0."""
-    return np.where(q > 0, (3.0 * 2.0 ** (q - 1.0) - 1) / 2, 0.0)
+    """The least count of a level, so that a context's followers never sum to more than the context; 0 for level 0."""
+    return np.where(q > 0, 2.0 ** (q - 1.0), 0.0)
 
 
 class Segment:
@@ -152,7 +155,7 @@ def chunked(docs: DataFrame, p: LmParams) -> DataFrame:
             order = np.argsort(keys, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
-            row = {"chunk": [(part << 32) + number], "doc_id": [ids], "held_out": [out], "lengths": [pack(np.diff(starts).astype(np.uint32))], "codes": [pack(rank[np.concatenate(codes)])], "word_keys": [pack(keys[order])]}
+            row = {"chunk": [(part << 32) + number], "n_tokens": [starts[-1]], "doc_id": [ids], "held_out": [out], "lengths": [pack(np.diff(starts).astype(np.uint32))], "codes": [pack(rank[np.concatenate(codes)])], "word_keys": [pack(keys[order])]}
             held, size, number = [], 0, number + 1
             return row
 
@@ -173,7 +176,7 @@ def chunked(docs: DataFrame, p: LmParams) -> DataFrame:
             yield flush()
 
     rows = docs.select("doc_id", "text", held_out_by(10, 0).alias("held_out"))
-    return arrow_map(rows, chunks, "chunk long, doc_id array<long>, held_out array<boolean>, lengths binary, codes binary, word_keys binary", arrays=True)
+    return arrow_map(rows, chunks, "chunk long, n_tokens long, doc_id array<long>, held_out array<boolean>, lengths binary, codes binary, word_keys binary", arrays=True)
 
 
 def opened(word_keys: bytes, codes: bytes, lengths: bytes, held_out: list[bool]) -> Chunk:
@@ -186,12 +189,15 @@ def score_documents(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame
 
     A null or empty text has the end token alone; a null doc_id is trained on. Repeated rows
     count each time and score alike. Without training texts the base is uniform over nothing
-    seen; an empty table gives no rows. Words and bigrams are told apart by hashed keys.
+    seen; an empty table gives no rows. Words and bigrams are told apart by hashed keys. The same
+    rows score alike in any order, partitioning and session.
     """
     p, spark = params, docs.sparkSession
     scratch = Scratch(spark, "lm")
-    bucket_bits = max(1, math.ceil(math.log2(2 * shuffle_parts(spark))))
     chunks = scratch.save(chunked(docs, p), "chunks")
+    # keys, buckets and with them the filter depend on the texts alone, not on the session or the partitions
+    tokens = chunks.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
+    bucket_bits = max(1, math.ceil(math.log2(max(1, tokens / p.bucket_tokens))))
     payload = ("word_keys", "codes", "lengths", "held_out")
 
     def sent(keys: np.ndarray, count: np.ndarray, chunk: int, shift: int):
