@@ -20,52 +20,54 @@ from panelforge.llm.tokenize import encoder
 
 
 class Complements:
-    """Index of lengths in stock by the sum of one, two and three of them.
+    """Index of the lengths in stock and of the sums of two of them, as bits of integers.
 
-    Stock only falls, so a sum found without any combination stays so.
+    Bit s of pair_sums is set if two lengths in stock have the sum s, be they one length with
+    a single piece; whoever reads it counts the pieces. It is made again when a length runs out.
     """
 
     def __init__(self, stock: np.ndarray):
-        self.stock = stock
-        self.pairs: dict[int, tuple[int, int]] = {}
-        self.no_pair: set[int] = set()
-        self.no_triple: set[int] = set()
-
-    def has(self, lengths: list[int]) -> bool:
-        return all(self.stock[x] >= n for x, n in Counter(lengths).items())
-
-    def pair(self, total: int) -> tuple[int, int] | None:
-        if total in self.no_pair or total < 2:
-            return None
-        if total in self.pairs and self.has(list(self.pairs[total])):
-            return self.pairs[total]
+        self.stock, self.known = stock, -1
+        self.refresh()
+
+    def refresh(self) -> None:
+        lengths = np.flatnonzero(self.stock)
+        if len(lengths) == self.known:  # stock only falls
+            return
+        self.known, size = len(lengths), len(self.stock)
+        singles = sum(1 << int(x) for x in lengths)
+        sums = 0
+        for x in lengths.tolist():
+            sums |= singles << x
+        unpacked = np.frombuffer((sums & ((1 << size) - 1)).to_bytes(-(-size // 8), "little"), np.uint8)
+        self.pair_sums = np.unpackbits(unpacked, bitorder="little")[:size].astype(bool)
+
+    @staticmethod
+    def pair(total: int, left: np.ndarray) -> list[int] | None:
+        """Two lengths with this sum of which left has enough, the longer first and as long as it can be."""
         a = np.arange(1, total // 2 + 1)
-        fits = (self.stock[a] > 0) & (self.stock[total - a] > 0)
-        if total % 2 == 0:
-            fits[-1] = self.stock[total // 2] > 1
+        fits = (left[a] > 0) & (left[total - a] > 0)
+        if total % 2 == 0 and total:
+            fits[-1] = left[total // 2] > 1
         at = np.flatnonzero(fits)
-        if not len(at):
-            self.no_pair.add(total)
-            return None
-        self.pairs[total] = (total - int(a[at[0]]), int(a[at[0]]))
-        return self.pairs[total]
+        return [total - int(a[at[0]]), int(a[at[0]])] if len(at) else None
 
     def filling(self, first: int, gap: int) -> list[int] | None:
-        """One to three further lengths that fill the gap beside first, the longest first."""
-        if self.has([first, gap]):
+        """One to three further lengths that fill the gap beside first, the longest first; None only if there are none."""
+        self.refresh()
+        left = self.stock.copy()
+        left[first] -= 1
+        if left[gap] > 0:
             return [gap]
-        if (two := self.pair(gap)) and self.has([first, *two]):
-            return list(two)
-        if gap in self.no_triple:
-            return None
-        found = False
-        for a in np.flatnonzero(self.stock[:gap])[::-1].tolist():
-            if two := self.pair(gap - a):
-                found = True
-                if self.has([first, a, *two]):
-                    return [a, *two]
-        if not found:
-            self.no_triple.add(gap)
+        if self.pair_sums[gap] and (two := self.pair(gap, left)):
+            return two
+        rest = np.arange(gap, -1, -1)  # what a third length of 0, 1, 2, ... leaves
+        third = np.flatnonzero((left[: gap + 1] > 0) & self.pair_sums[rest])
+        for a in third[::-1].tolist():
+            left[a] -= 1
+            if two := self.pair(gap - a, left):
+                return sorted([a, *two], reverse=True)
+            left[a] += 1
         return None
 
 
