@@ -6,10 +6,12 @@ shingle are neighbours in the second permutation's table, so a signature is the
 rows of a sliding window.
 
 Steps, each a table in the shared folder:
- 1. documents with equal sets are one class, named by its smallest doc_id;
+ 1. documents with equal sets are one class, named by its smallest doc_id; a doc_id with several
+    texts links the classes of all of them;
  2. classes that share a band are compared with a few of the bucket's members (hubs) on full sets;
- 3. where members of a bucket are still apart, all pairs across components are compared in
-    blocks, by signature first (far below what links can have), then on full sets;
+ 3. where members of a bucket are still apart, all pairs across components are compared on full
+    sets, in blocks that hold members of one large component or of many small ones: members of
+    one component are not sent to meet each other, and a pair meets in the first band it shares;
  4. components by label propagation with pointer jumping.
 No partner, bucket or candidate is capped. A link of similarity s is found if any of the
 bands agrees: it is missed with probability (1 - s**rows) ** bands, 5e-6 at 0.75 by default.
@@ -37,7 +39,6 @@ class NearDupParams:
     domain_bits: int = 20
     hubs: int = 3  #: members of a bucket, chosen by as many orders, that all are compared with
     block: int = 256  #: members of a bucket in a block, where all pairs are compared
-    least_agreement: float = 0.5  #: of a signature's coordinates, for a pair in a block; six deviations below a link's
     seed: int = 7
 
 
@@ -98,9 +99,9 @@ def linked(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
 
 
 def shingle_sets(docs: DataFrame, p: NearDupParams, with_members: bool) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the set (null if empty), the signature, and the set if wanted."""
+    """doc_id, n_shingles, a 128-bit name of the set (null if empty), the signature, and the set and repeated if wanted."""
     bounded_batches(docs.sparkSession)
-    ddl = "doc_id long, n_shingles long, set_name binary, sig binary" + ", members binary" * with_members
+    ddl = "doc_id long, n_shingles long, set_name binary, sig binary" + ", members binary, repeated boolean" * with_members
 
     def sets(batches):
         import xxhash
@@ -111,9 +112,9 @@ def shingle_sets(docs: DataFrame, p: NearDupParams, with_members: bool) -> DataF
             for doc, raw in zip(batch["doc_id"], batch["raw"], strict=True):
                 codes = shingles(raw, memo, p.words)
                 rows.append((doc, len(codes), xxhash.xxh3_128_digest(codes.tobytes()), signature(codes, p).astype("<u4").tobytes(), codes.tobytes()) if len(codes) else (doc, 0, None, None, None))
-            yield dict(zip(("doc_id", "n_shingles", "set_name", "sig", "members"), zip(*rows, strict=True), strict=True))
+            yield dict(zip(("doc_id", "n_shingles", "set_name", "sig", "members"), zip(*rows, strict=True), strict=True)) | ({"repeated": batch["repeated"]} if with_members else {})
 
-    return arrow_map(docs.select("doc_id", text_bytes().alias("raw")), sets, ddl)
+    return arrow_map(docs.select("doc_id", text_bytes().alias("raw"), *["repeated"] * with_members), sets, ddl)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -142,13 +143,95 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def full_sets(nodes: DataFrame, docs: DataFrame, scratch: Scratch, p: NearDupParams) -> DataFrame:
+    """(node, members, sig) for each distinct set of the documents in nodes (node, repeated).
+
+    Only documents whose id stands in several rows can have equal sets, and only these are
+    shuffled to find them.
+    """
+    # the ids grow with the corpus: never broadcast, so that the plan is one at every size
+    texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id"), "repeated").hint("merge"), "doc_id")
+    made = scratch.save(shingle_sets(texts, p, True).filter("members is not null"), "made")
+    some = made.filter("repeated").groupBy("doc_id", "set_name").agg(F.first("members").alias("members"), F.first("sig").alias("sig"))
+    once = scratch.save(some.select(F.col("doc_id").alias("node"), "members", "sig"), "once")
+    return made.filter("not repeated").select(F.col("doc_id").alias("node"), "members", "sig").unionByName(once)
+
+
+def cells_of(tagged: DataFrame, p: NearDupParams) -> DataFrame:
+    """(key, i, j, block, node, comp): which blocks of a bucket's members meet.
+
+    tagged: key, node, comp. A component of more than half a block's members in a bucket has
+    blocks of its own; all smaller ones share blocks, each whole in one. Blocks meet unless
+    both belong to the same large component.
+    """
+    sizes = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    small = F.col("n") * 2 <= p.block
+    buckets = sizes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("comps"),
+        F.sum(F.when(small, F.col("n")).otherwise(0)).alias("small"),
+        # a large component has over block / 2 members, so these are few beside the bucket
+        F.sort_array(F.collect_list(F.when(~small, F.struct("comp", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))))).alias("large"),
+    )
+    buckets = buckets.filter("comps > 1").withColumn("shared", F.ceil(F.col("small") / p.block).cast("int"))
+    # number of the first block of each large component; the shared ones come first
+    ends = F.aggregate(F.col("large"), F.array(F.col("shared")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["blocks"])))
+    buckets = buckets.withColumn("ends", ends).select("key", "shared", F.transform("large", lambda x: x["comp"]).alias("large"), "ends")
+    rows = tagged.join(buckets, "key")
+    at = F.array_position("large", F.col("comp")).cast("int")  # from 1; 0: a small one
+    rows = rows.withColumn("at", at).withColumn("from", F.when(F.col("at") > 0, F.get("ends", F.col("at") - 1)).otherwise(0)).withColumn("to", F.when(F.col("at") > 0, F.get("ends", F.col("at"))).otherwise(F.col("shared")))
+    block = F.col("from") + F.pmod(F.xxhash64(F.when(F.col("at") > 0, F.col("node")).otherwise(F.col("comp")), F.lit(-1)), F.col("to") - F.col("from")).cast("int")
+    rows = rows.withColumn("block", block)
+    others = F.filter(F.sequence(F.lit(0), F.element_at("ends", -1) - 1), lambda j: (F.col("at") == 0) | (j < F.col("from")) | (j >= F.col("to")))
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
+
+
+def common_counts(one: np.ndarray, many: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many elements of one sorted set each of n sets has, whose elements stand in many with their owner."""
+    at = np.searchsorted(one, many)
+    at[at == len(one)] = 0
+    return np.bincount(owner[one[at] == many], minlength=n)
+
+
+def compare_cell(key: int, node: np.ndarray, comp: np.ndarray, block: np.ndarray, one_block: bool, sigs: list, members: list, p: NearDupParams) -> list[tuple[int, int]]:
+    """Links between members of different components, enough to connect what they connect."""
+    keys = np.stack([band_keys(np.frombuffer(s, "<u4"), p) for s in sigs])
+    sets = [np.frombuffer(m, np.uint64) for m in members]
+    size, root, out = np.array([len(m) for m in sets]), {c: c for c in comp.tolist()}, []
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for x in range(len(node)):
+        y = np.arange(x + 1, len(node))
+        y = y[(comp[y] != comp[x]) & (one_block | (block[y] != block[x])) & (100 * np.minimum(size[y], size[x]) >= p.similarity_pct * np.maximum(size[y], size[x]))]
+        if len(y):  # the first band that both have is this bucket: in the others they don't meet again
+            same = keys[y] == keys[x]
+            y = y[keys[x][same.argmax(axis=1)] == key]
+        y = y[[find(c) != find(comp[x]) for c in comp[y].tolist()]] if len(y) else y
+        if not len(y):
+            continue
+        lengths = size[y]
+        common = common_counts(sets[x], np.concatenate([sets[i] for i in y]), np.repeat(np.arange(len(y)), lengths), len(y))
+        for z in y[100 * common >= p.similarity_pct * (lengths + size[x] - common)].tolist():
+            lo, hi = sorted((find(int(comp[x])), find(int(comp[z]))))
+            if lo != hi:
+                root[hi] = lo
+                out.append((int(node[x]), int(node[z])))
+    return out
+
+
 def find_links(sets: DataFrame, docs: DataFrame, scratch: Scratch, p: NearDupParams) -> DataFrame:
-    """(a, b) links between classes, enough to connect every two that links connect.
+    """(a, b) links between documents, enough to connect every two that links connect.
 
-    sets: node, n, sig; one row for each distinct set. Full sets are made again from docs, for
-    the classes that share a band with another.
+    sets: node, n, sig, repeated; one row for each distinct set, named by a document that has it
+    (repeated: in several rows of docs). Full sets are made again from docs, for the documents
+    that share a band with another.
     """
-    pct, spark = p.similarity_pct, sets.sparkSession
+    pct = p.similarity_pct
 
     def explode_bands(batches):
         for b in batches:
@@ -166,9 +249,8 @@ def find_links(sets: DataFrame, docs: DataFrame, scratch: Scratch, p: NearDupPar
     pairs = pairs.filter((F.col("node") != F.col("hub.node")) & (F.col("n") * 100 >= F.col("hub.n") * pct) & (F.col("hub.n") * 100 >= F.col("n") * pct))
     pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     pairs = scratch.save(pairs, "pairs")
-    # the ids grow with the corpus: never broadcast, so that the plan is one at every size
-    texts = docs.join(shared.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    wanted = scratch.save(shingle_sets(texts, p, True).filter("members is not null").select(F.col("doc_id").alias("node"), "members", "sig"), "wanted")
+    nodes = shared.select("node").distinct().join(sets.filter("repeated").select("node", "repeated").distinct(), "node", "left")
+    wanted = full_sets(nodes.select("node", F.coalesce("repeated", F.lit(False)).alias("repeated")), docs, scratch, p)
     withsets = pairs.join(wanted.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a")
     withsets = withsets.join(wanted.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b")
 
@@ -180,42 +262,15 @@ def find_links(sets: DataFrame, docs: DataFrame, scratch: Scratch, p: NearDupPar
     stars = scratch.save(arrow_map(withsets, verify, "a long, b long"), "stars")
     comp = scratch.save(components(stars, scratch), "comp")
 
-    # buckets whose members are in several components still: all pairs across, in blocks
-    tagged = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # buckets whose members are in several components still: all pairs across
+    tagged = shared.select("key", "node").distinct().join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     tagged = scratch.save(tagged, "tagged")
-    apart = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-    apart = scratch.save(apart.select("key", F.ceil(F.col("size") / p.block).cast("int").alias("blocks")), "apart")
-    rows = tagged.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("blocks")).cast("int"))
-    # block i meets every block j >= i, itself included
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    rows = rows.withColumn("cell", F.explode(meets)).select("key", "cell.i", "cell.j", "block", "node", "comp")
-    cells = rows.join(wanted, "node")
+    cells = cells_of(tagged, p).join(wanted, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        sig = np.stack([np.frombuffer(s, "<u4") for s in pdf["sig"]])
-        members = [np.frombuffer(m, np.uint64) for m in pdf["members"]]
-        size, node, block = np.array([len(m) for m in members]), pdf["node"].to_numpy(), pdf["block"].to_numpy()
-        root = {c: c for c in pdf["comp"]}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        comp, out, one = pdf["comp"].to_numpy(), [], pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        for x in range(len(pdf)):
-            y = np.arange(x + 1, len(pdf))
-            y = y[(comp[y] != comp[x]) & (one | (block[y] != block[x])) & (100 * np.minimum(size[y], size[x]) >= pct * np.maximum(size[y], size[x]))]
-            if not len(y):
-                continue
-            agree = (sig[y] == sig[x]).mean(axis=1)
-            for z in y[np.argsort(-agree, kind="stable")][: int((agree >= p.least_agreement).sum())]:
-                if find(comp[x]) != find(comp[z]) and linked(members[x], members[z], pct):
-                    lo, hi = sorted((find(comp[x]), find(comp[z])))
-                    root[hi] = lo
-                    out.append((node[x], node[z]))
+        one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        out = compare_cell(int(pdf["key"].iloc[0]), pdf["node"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy(), one, pdf["sig"].to_list(), pdf["members"].to_list(), p)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     more = scratch.save(cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"), "more")
@@ -227,18 +282,25 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
 
     Null or empty texts have no shingles and stand alone, as do documents with a null
     doc_id (their component is null and they are kept). Rows with one doc_id are one
-    document, linked by any of its texts. Of a component the smallest doc_id is kept; an empty table gives no rows.
+    document, linked by any of its texts; one of its rows without words stands alone all the same.
+    Of a component the smallest doc_id is kept. Texts may be of any length; an empty table gives no rows.
     """
     p, scratch = params, Scratch(docs.sparkSession, "neardup")
     sets = scratch.save(shingle_sets(docs, p, False), "sets")
     named = sets.filter("set_name is not null and doc_id is not null")
-    classes = scratch.save(named.groupBy("set_name").agg(F.min("doc_id").alias("class_id")), "classes")
-    # one row of each class carries its signature; more only if a doc_id repeats
-    firsts = named.join(classes, (named.set_name == classes.set_name) & (named.doc_id == classes.class_id)).select(F.col("class_id").alias("node"), F.col("n_shingles").alias("n"), "sig")
-    firsts = scratch.save(firsts, "firsts")
+    # a class for each distinct set, named by its smallest document, which carries its signature
+    least = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sig")).alias("least")
+    classes = scratch.save(named.groupBy("set_name").agg(least).select("set_name", F.col("least.doc_id").alias("class_id"), "least.n", "least.sig"), "classes")
+    several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.xxhash64("set_name")).alias("x"), F.max(F.xxhash64("set_name")).alias("y")).filter("rows > 1")
+    several = scratch.save(several.select("doc_id", (F.col("x") != F.col("y")).alias("differ")), "several")
+    firsts = classes.select(F.col("class_id").alias("node"), "n", "sig")
+    firsts = firsts.join(several.select(F.col("doc_id").alias("node"), F.lit(True).alias("repeated")), "node", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
     links = find_links(firsts, docs, scratch, p)
-    comp = scratch.save(components(links, scratch), "components")
-    found = classes.join(comp, classes.class_id == comp.node, "left").select("set_name", "class_id", F.coalesce("comp", "class_id").alias("component_id"))
+    # a document with several texts is in the class of each
+    own = named.join(several.filter("differ").select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_name").distinct()
+    own = own.join(classes.select("set_name", "class_id"), "set_name").filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
+    comp = scratch.save(components(links.unionByName(own), scratch), "components")
+    found = classes.select("set_name", "class_id").join(comp, F.col("class_id") == F.col("node"), "left").select("set_name", "class_id", F.coalesce("comp", "class_id").alias("component_id"))
     rows = sets.select("doc_id", "n_shingles", "set_name").join(found, "set_name", "left")
     component = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
