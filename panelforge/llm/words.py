@@ -63,6 +63,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Colu
 
 
 def segment_sums(values: np.ndarray, starts: Sequence[int]) -> np.ndarray:
-    """Sums between consecutive starts; the last start is the end."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[np.asarray(starts[1:])] - total[np.asarray(starts[:-1])]
+    """Sums between consecutive starts; the last start is the end. A sum depends on its own values only."""
+    values, starts = np.asarray(values, np.float64), np.asarray(starts, np.int64)
+    out = np.zeros(len(starts) - 1)
+    full = starts[1:] > starts[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, starts[:-1][full])
+    return out
