@@ -2,8 +2,8 @@
 
 Characters are seen by class: digits, small and capital letters each as one, punctuation as
 itself. Tags are outside, and begin and inside of each kind. Training runs on windows;
-a region of any length is decoded from overlapping windows, whose emissions are averaged
-before one Viterbi pass over the whole region.
+a text of any length is decoded from overlapping windows over all of it, whose emissions are
+averaged where they meet before the best path of tags over the whole text is sought.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ def classes(text: str) -> np.ndarray:
 class TaggerParams:
     width: int = 8
     hidden: int = 16
-    window: int = 64
+    window: int = 64  #: of characters, in training
+    decode_window: int = 256
+    overlap: int = 32  #: of neighbouring windows in decoding
     batch: int = 64
     batches: int = 240
     rate: float = 0.02
@@ -54,7 +56,7 @@ class Tagger:
     def __init__(self, p: TaggerParams = TaggerParams()):
         rng, h = np.random.default_rng(p.seed), p.hidden
         self.p = p
-        uniform = lambda *shape: rng.uniform(-1, 1, shape).astype(np.float32) / np.sqrt(shape[0])
+        uniform = lambda *shape: (rng.uniform(-1, 1, shape) / np.sqrt(shape[0])).astype(np.float32)
         self.w: dict[str, np.ndarray] = {"embed": rng.normal(0, 0.5, (CLASSES, p.width)).astype(np.float32), "out": uniform(2 * h, TAGS), "out_b": np.zeros(TAGS, np.float32), "step": np.zeros((TAGS, TAGS), np.float32), "start": np.zeros(TAGS, np.float32)}
         for d in ("f", "b"):
             self.w |= {f"x{d}": uniform(p.width, 4 * h), f"u{d}": uniform(h, 4 * h), f"c{d}": np.zeros(4 * h, np.float32)}
@@ -140,47 +142,133 @@ class Tagger:
                 self.w[k] -= rate * (m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(v[k] / (1 - 0.99 ** (i + 1))) + 1e-8)
         return loss
 
-    def decode(self, regions: list[np.ndarray], rows: int = 1024) -> list[np.ndarray]:
-        """Tags of regions of classes, each from windows that overlap by half."""
-        n, half = self.p.window, self.p.window // 2
-        where = [(r, s) for r, x in enumerate(regions) for s in range(0, max(1, len(x) - half), half)]
-        total = [np.zeros((len(x), TAGS), np.float32) for x in regions]
-        weight = [np.zeros((len(x), 1), np.float32) for x in regions]
-        tent = (1 + np.minimum(np.arange(n), np.arange(n)[::-1])).astype(np.float32)[:, None]
-        for i in range(0, len(where), rows):
-            part = where[i : i + rows]
-            x = np.zeros((n, len(part)), np.uint8)
-            for k, (r, s) in enumerate(part):
-                piece = regions[r][s : s + n]
-                x[: len(piece), k] = piece
-            e = self.emissions(x)
-            for k, (r, s) in enumerate(part):
-                m = min(n, len(regions[r]) - s)
-                total[r][s : s + m] += e[:m, k] * tent[:m]
-                weight[r][s : s + m] += tent[:m]
-        out: list[np.ndarray] = [np.empty(0, np.uint8)] * len(regions)
-        order = sorted(range(len(regions)), key=lambda r: len(regions[r]))
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """As _run without what training keeps; a sigmoid is a tanh of half its argument."""
+        h, half = self.p.hidden, np.ones(4 * self.p.hidden, np.float32)
+        half[: 3 * h] = 0.5
+        table = ((self.w["embed"] @ self.w[f"x{d}"] + self.w[f"c{d}"]) * half).astype(np.float32)
+        u = (self.w[f"u{d}"] * half).astype(np.float32)
+        n, rows = x.shape
+        out, state, cell = np.empty((n, rows, h), np.float32), np.zeros((rows, h), np.float32), np.zeros((rows, h), np.float32)
+        z, fresh = np.empty((rows, 4 * h), np.float32), np.empty((rows, 4 * h), np.float32)
+        for t in range(n) if d == "f" else range(n - 1, -1, -1):
+            np.take(table, x[t], axis=0, out=z)
+            z += np.matmul(state, u, out=fresh)
+            np.tanh(z, out=z)
+            g = z[:, : 3 * h]
+            g *= 0.5
+            g += 0.5
+            cell *= g[:, h : 2 * h]
+            cell += g[:, :h] * z[:, 3 * h :]
+            state = out[t]
+            np.tanh(cell, out=state)
+            state *= g[:, 2 * h :]
+        return out
+
+    def _emissions(self, x: np.ndarray) -> np.ndarray:
+        h, w = self.p.hidden, self.w
+        out = w["out"].astype(np.float32)
+        e = self._states(x, "f").reshape(-1, h) @ out[:h]
+        e += self._states(x, "b").reshape(-1, h) @ out[h:]
+        return (e + w["out_b"]).reshape(*x.shape, TAGS)
+
+    def sure(self, lead: np.ndarray) -> np.ndarray:
+        """Positions where every best path is outside, for the lead of the best other tag over outside.
+
+        A stretch of other tags gains at most the sum of its leads and of the best steps into
+        it, within it and out of it over the path that is outside there. Where no stretch that
+        holds a position can gain, the position is outside. Sums go on over the whole array.
+        """
+        step, start = self.w["step"].astype(np.float64), self.w["start"].astype(np.float64)
+        within = float(step[1:, 1:].max() - step[0, 0])
+        edges = max(float(step[0, 1:].max() - step[0, 0]), float((start[1:] - start[0]).max())) + max(float(step[1:, 0].max() - step[0, 0]), 0.0) - within
+        upto, chunk = np.empty(len(lead), np.float32), 1 << 20  # best sum of a stretch that ends here
+        carry = 0.0
+        for i in range(0, len(lead), chunk):
+            sums = np.cumsum(lead[i : i + chunk].astype(np.float64) + within)
+            here = sums - np.minimum.accumulate(np.concatenate([[-carry], sums[:-1]]))
+            upto[i : i + chunk], carry = here, max(0.0, float(here[-1]))
+        out, carry = np.empty(len(lead), bool), 0.0
+        for i in range((len(lead) - 1) // chunk * chunk, -1, -chunk):
+            gain = lead[i : i + chunk].astype(np.float64) + within
+            sums = np.cumsum(gain[::-1])
+            here = sums - np.minimum.accumulate(np.concatenate([[-carry], sums[:-1]]))
+            carry = max(0.0, float(here[-1]))
+            out[i : i + chunk] = upto[i : i + chunk] + here[::-1] - gain + edges < -1e-2
+        return out
+
+    def decode(self, texts: list[np.ndarray], rows: int = 512) -> list[list[tuple[int, int, int]]]:
+        """(kind, start, end) of the tagged stretches of whole texts of classes.
+
+        Every character is read, in overlapping windows; where two meet, each counts for the
+        half that is farther from its edge. The best path over a whole text follows from its
+        unsure stretches, each between two characters that are surely outside.
+        """
+        n, half, step = self.p.decode_window, self.p.overlap // 2, self.p.decode_window - self.p.overlap
+        size = np.array([len(t) for t in texts], np.int64)
+        base = np.cumsum(size + 1) - size - 1  # a place between texts that is always outside
+        flat = np.zeros(int((size + 1).sum()) + n, np.uint8)
+        for at, t in zip(base.tolist(), texts, strict=True):
+            flat[at : at + len(t)] = t
+        count = np.where(size > 0, np.maximum(1, -(-(size - 2 * half) // step)), 0)
+        text = np.repeat(np.arange(len(texts)), count)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        first, end = base[text] + nth * step, (base + size)[text]
+        lo, hi = first + half * (nth > 0), np.where(nth == count[text] - 1, end, first + n - half)
+
+        def read(which: np.ndarray):
+            """Emissions of these windows for the places that count, and the places, some at a time."""
+            for i in range(0, len(which), rows):
+                w = which[i : i + rows]
+                place = first[w][:, None] + np.arange(n)
+                x = np.where(place < end[w][:, None], flat[place], PAD)
+                own = (place >= lo[w][:, None]) & (place < hi[w][:, None])
+                yield place[own], self._emissions(x.T).transpose(1, 0, 2)[own]
+
+        lead = np.full(len(flat) - n, -1e4, np.float32)
+        for place, e in read(np.arange(len(text))):
+            lead[place] = e[:, 1:].max(axis=1) - e[:, 0]
+        unsure = ~self.sure(lead)
+        unsure[base + size] = False
+        before = np.concatenate([[0], np.cumsum(unsure)])
+        kept = [(place[unsure[place]], e[unsure[place]]) for place, e in read(np.flatnonzero(before[hi] > before[lo]))]
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        if not kept:
+            return out
+        places, e = (np.concatenate(x) for x in zip(*kept, strict=True))
+        cuts = np.append(0, np.flatnonzero(np.diff(places) > 1) + 1)
+        lengths = np.diff(np.append(cuts, len(places)))
+        of = np.searchsorted(base, places[cuts], side="right") - 1
+        at_start, at_end = places[cuts] == base[of], places[cuts] + lengths == base[of] + size[of]
+        tags = np.zeros(len(places), np.uint8)
+        order = np.argsort(lengths, kind="stable")
         for i in range(0, len(order), 256):
             group = order[i : i + 256]
-            longest = len(regions[group[-1]])
-            e = np.zeros((longest, len(group), TAGS), np.float32)
-            for k, r in enumerate(group):
-                e[: len(total[r]), k] = total[r] / weight[r]
-            for k, tags in enumerate(self._viterbi(e, np.array([len(regions[r]) for r in group]))):
-                out[group[k]] = tags
+            grid = np.zeros((int(lengths[group[-1]]), len(group), TAGS), np.float32)
+            for k, r in enumerate(group.tolist()):
+                grid[: lengths[r], k] = e[cuts[r] : cuts[r] + lengths[r]]
+            for r, best in zip(group.tolist(), self._viterbi(grid, lengths[group], at_start[group], at_end[group]), strict=True):
+                tags[cuts[r] : cuts[r] + lengths[r]] = best
+        for r in range(len(cuts)):
+            mine = tags[cuts[r] : cuts[r] + lengths[r]]
+            if mine.any():
+                shift = int(places[cuts[r]] - base[of[r]])
+                out[of[r]] += [(k, shift + s, shift + t) for k, s, t in spans_of(mine)]
         return out
 
-    def _viterbi(self, e: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    def _viterbi(self, e: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """Best tags of each row; rows that aren't first or last in their text stand beside an outside tag there."""
         n, rows, _ = e.shape
+        step, end = self.w["step"], np.where(last[:, None], 0, self.w["step"][:, 0])
         came = np.zeros((n, rows, TAGS), np.uint8)
-        best, at_end = self.w["start"] + e[0], np.zeros((rows, TAGS), np.float32)
-        at_end[lengths == 1] = best[lengths == 1]
+        best, at_end = np.where(first[:, None], self.w["start"], step[0]) + e[0], np.zeros((rows, TAGS), np.float32)
+        at_end[lengths == 1] = (best + end)[lengths == 1]
         for t in range(1, n):
-            score = best[:, :, None] + self.w["step"]
+            score = best[:, :, None] + step
             came[t] = score.argmax(axis=1)
             best = score.max(axis=1) + e[t]
-            last = lengths == t + 1
-            at_end[last] = best[last]
+            ends = lengths == t + 1
+            at_end[ends] = (best + end)[ends]
         tags = np.zeros((n, rows), np.uint8)
         r, now = np.arange(rows), at_end.argmax(axis=1)
         for t in range(n - 1, -1, -1):

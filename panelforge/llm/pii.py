@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.char_tagger import KINDS, Tagger, TaggerParams, classes, spans_of
-from panelforge.llm.common import arrow_map, bounded_batches
+from panelforge.llm.common import arrow_map, bounded_batches, fresh
 
 Span = tuple[str, int, int]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,7 +36,7 @@ _GATE = re.compile(r"[0-9@]")
 class PiiParams:
     sample: int = 1500  #: texts that the tagger learns from, at most
     windows: int = 4000  #: training windows, at most
-    margin: int = 24  #: characters around a digit or @ that the tagger reads
+    margin: int = 24  #: characters around a digit or @ in a training window; decoding reads whole texts
     tagger: TaggerParams = field(default_factory=TaggerParams)
 
 
@@ -78,7 +78,7 @@ def pattern_spans(text: str) -> list[Span]:
 
 
 def regions(text: str, margin: int) -> list[tuple[int, int]]:
-    """Stretches that can hold personal data: every kind has a digit or an @."""
+    """Stretches to learn from, around each digit or @."""
     out: list[tuple[int, int]] = []
     for m in re.finditer(r"[0-9@]+", text):
         lo, hi = max(0, m.start() - margin), min(len(text), m.end() + margin)
@@ -157,6 +157,9 @@ def training_windows(texts: list[str], p: PiiParams) -> tuple[np.ndarray, np.nda
             for k, s, e in inside:
                 before, after, new = text[lo:s], text[e:hi], rewritten(k, text[s:e], rng)
                 samples.append((before + new + after, [(k, len(before), len(before) + len(new))]))
+    for t in texts:  # and words as they stand anywhere
+        cut = int(rng.integers(0, max(1, len(t) - n)))
+        samples.append((t[cut : cut + n], [(k, max(s - cut, 0), min(e - cut, n)) for k, s, e in pattern_spans(t) if s < cut + n and e > cut]))
     plain = [t for t in texts if len(t) >= 2 * p.margin] or ["a few words of no account stand here, and then some more of them."]
     for i in range(p.windows // 4):
         t, kind = plain[int(rng.integers(0, len(plain)))], KINDS[i % len(KINDS)]
@@ -185,19 +188,21 @@ def fit(texts: list[str], p: PiiParams = PiiParams()) -> Tagger:
     return tagger
 
 
-def find_all(texts: list[str], tagger: Tagger, margin: int) -> list[tuple[list[Span], list[Span]]]:
-    """Base spans, and all spans, of each text."""
-    base = [pattern_spans(t) if _GATE.search(t) else [] for t in texts]
-    where = [(i, lo, hi) for i, t in enumerate(texts) for lo, hi in regions(t, margin)]
-    found: list[list[Span]] = [[] for _ in texts]
-    coded: dict[int, np.ndarray] = {}
-    for i, _, _ in where:
-        if i not in coded:
-            coded[i] = classes(texts[i])
-    for (i, lo, _), tags in zip(where, tagger.decode([coded[i][lo:hi] for i, lo, hi in where]), strict=True):
-        found[i] += [(KINDS[k], lo + s, lo + e) for k, s, e in spans_of(tags)]
+def find_all(texts: list[str], tagger: Tagger, slab: int = 1_000_000) -> list[tuple[list[Span], list[Span]]]:
+    """Base spans, and all spans, of each text; the tagger reads every character, some texts at a time."""
+    out: list[tuple[list[Span], list[Span]]] = []
     order = lambda s: (s[1], KINDS.index(s[0]))
-    return [(b, sorted(b + added_spans(t, b, f), key=order)) for t, b, f in zip(texts, base, found, strict=True)]
+    at = 0
+    while at < len(texts):
+        stop, size = at + 1, len(texts[at])
+        while stop < len(texts) and size + len(texts[stop]) <= slab:
+            size, stop = size + len(texts[stop]), stop + 1
+        some = texts[at:stop]
+        for t, found in zip(some, tagger.decode([classes(t) for t in some]), strict=True):
+            base = pattern_spans(t) if _GATE.search(t) else []
+            out.append((base, sorted(base + added_spans(t, base, [(KINDS[k], s, e) for k, s, e in found]), key=order)))
+        at = stop
+    return out
 
 
 def joined(spans: list[Span]) -> str:
@@ -230,12 +235,12 @@ def find_personal_data(docs: DataFrame, params: PiiParams = PiiParams()) -> Data
     alone, so repeated rows agree; an empty table gives no rows; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    tagger, margin = fitted(docs, params), params.margin
+    tagger = fitted(docs, params)
 
     def find(batches):
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
-            got = find_all(texts, tagger, margin)
+            got = find_all(texts, tagger)
             yield {
                 "doc_id": batch["doc_id"],
                 **{f"n_{k}": [sum(s[0] == k for s in b) for b, _ in got] for k in KINDS},
@@ -248,15 +253,20 @@ def find_personal_data(docs: DataFrame, params: PiiParams = PiiParams()) -> Data
 
 
 def redact_documents(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
-    """docs with personal data replaced in text, and n_chars, if there, of the new text."""
+    """docs with personal data replaced in text, and n_chars, if there, of the new text.
+
+    A null text stays null, an empty one empty; each row is read alone, so repeated rows agree;
+    texts may be of any length; columns of any name stay; an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
-    tagger, margin = fitted(docs, params), params.margin
+    tagger = fitted(docs, params)
 
     @F.pandas_udf("string")
     def clean(text: pd.Series) -> pd.Series:
         texts = [t or "" for t in text]
-        return pd.Series([None if t is None else redacted(t, a) for t, (_, a) in zip(text, find_all(texts, tagger, margin), strict=True)], dtype=object)
+        return pd.Series([None if t is None else redacted(t, a) for t, (_, a) in zip(text, find_all(texts, tagger), strict=True)], dtype=object)
 
-    new: Column = F.col("_clean")
+    name = fresh(docs, "clean")
+    new: Column = F.col(name)
     named = [new.alias("text") if c == "text" else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return docs.withColumn("_clean", clean("text")).select(*named)
+    return docs.withColumn(name, clean("text")).select(*named)

@@ -50,5 +50,5 @@ def test_tagger_adds_addresses_in_other_forms():
     assert pii.holds("ip", "192[.]168[.]0[.]1") and pii.holds("ip", "10 . 0 . 0 . 7") and pii.holds("ip", "10-0-0-7")
     assert not pii.holds("ip", "192[.]168[.]0[.]256") and not pii.holds("ip", "1 . 2 . 3") and not pii.holds("ip", "1-2 . 3-4")
     texts = ["the old server at 192[.]168[.]0[.]1 went down again", "ask the host on 172 . 16 . 254 . 3 for more of them"]
-    found = pii.find_all(texts, trained_on_invented(), pii.PiiParams().margin)
+    found = pii.find_all(texts, trained_on_invented())
     assert [a for _, a in found] == [[("ip", 18, 35)], [("ip", 16, 34)]] and not any(b for b, _ in found)
