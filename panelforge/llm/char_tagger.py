@@ -143,34 +143,42 @@ class Tagger:
         return loss
 
     def _states(self, x: np.ndarray, d: str) -> np.ndarray:
-        """As _run without what training keeps; a sigmoid is a tanh of half its argument."""
-        h, half = self.p.hidden, np.ones(4 * self.p.hidden, np.float32)
-        half[: 3 * h] = 0.5
-        table = ((self.w["embed"] @ self.w[f"x{d}"] + self.w[f"c{d}"]) * half).astype(np.float32)
-        u = (self.w[f"u{d}"] * half).astype(np.float32)
-        n, rows = x.shape
-        out, state, cell = np.empty((n, rows, h), np.float32), np.zeros((rows, h), np.float32), np.zeros((rows, h), np.float32)
-        z, fresh = np.empty((rows, 4 * h), np.float32), np.empty((rows, 4 * h), np.float32)
-        for t in range(n) if d == "f" else range(n - 1, -1, -1):
-            np.take(table, x[t], axis=0, out=z)
-            z += np.matmul(state, u, out=fresh)
-            np.tanh(z, out=z)
-            g = z[:, : 3 * h]
-            g *= 0.5
-            g += 0.5
-            cell *= g[:, h : 2 * h]
-            cell += g[:, :h] * z[:, 3 * h :]
-            state = out[t]
-            np.tanh(cell, out=state)
-            state *= g[:, 2 * h :]
+        """(time, hidden, rows): as _run without what training keeps, all gates by one sigmoid: tanh(z) = 2 s(2z) - 1."""
+        h, (n, rows), w = self.p.hidden, x.shape, self.w
+        scale = np.repeat(np.array([-1, -2], np.float32), [3 * h, h])
+        weights = np.ascontiguousarray((np.concatenate([w[f"u{d}"], w[f"x{d}"], w[f"c{d}"][None]]) * scale).T.astype(np.float32))
+        seen = np.ones((h + self.p.width + 1, rows), np.float32)
+        seen[:h] = 0
+        shown = np.ascontiguousarray(w["embed"].astype(np.float32)[x].transpose(0, 2, 1))
+        out, cell = np.empty((n, h, rows), np.float32), np.zeros((h, rows), np.float32)
+        z, s = np.empty((4 * h, rows), np.float32), np.empty((h, rows), np.float32)
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
+            for t in range(n) if d == "f" else range(n - 1, -1, -1):
+                seen[h:-1] = shown[t]
+                np.matmul(weights, seen, out=z)
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                into, forget, gate, new = z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
+                new *= 2
+                new -= 1
+                cell *= forget
+                cell += np.multiply(into, new, out=s)
+                np.multiply(cell, -2, out=s)
+                np.exp(s, out=s)
+                s += 1
+                np.divide(2, s, out=s)
+                s -= 1
+                seen[:h] = np.multiply(gate, s, out=out[t])
         return out
 
     def _emissions(self, x: np.ndarray) -> np.ndarray:
-        h, w = self.p.hidden, self.w
-        out = w["out"].astype(np.float32)
-        e = self._states(x, "f").reshape(-1, h) @ out[:h]
-        e += self._states(x, "b").reshape(-1, h) @ out[h:]
-        return (e + w["out_b"]).reshape(*x.shape, TAGS)
+        """(time, tags, rows) for classes (time, rows)."""
+        h, out = self.p.hidden, self.w["out"].astype(np.float32).T
+        e = np.matmul(out[:, :h], self._states(x, "f"))
+        e += np.matmul(out[:, h:], self._states(x, "b"))
+        e += self.w["out_b"][:, None]
+        return e
 
     def sure(self, lead: np.ndarray) -> np.ndarray:
         """Positions where every best path is outside, for the lead of the best other tag over outside.
@@ -217,21 +225,24 @@ class Tagger:
         lo, hi = first + half * (nth > 0), np.where(nth == count[text] - 1, end, first + n - half)
 
         def read(which: np.ndarray):
-            """Emissions of these windows for the places that count, and the places, some at a time."""
+            """Of these windows, some at a time: places, whether each counts (rows, time), and emissions."""
             for i in range(0, len(which), rows):
                 w = which[i : i + rows]
                 place = first[w][:, None] + np.arange(n)
                 x = np.where(place < end[w][:, None], flat[place], PAD)
                 own = (place >= lo[w][:, None]) & (place < hi[w][:, None])
-                yield place[own], self._emissions(x.T).transpose(1, 0, 2)[own]
+                yield place, own, self._emissions(np.ascontiguousarray(x.T))
 
         lead = np.full(len(flat) - n, -1e4, np.float32)
-        for place, e in read(np.arange(len(text))):
-            lead[place] = e[:, 1:].max(axis=1) - e[:, 0]
+        for place, own, e in read(np.arange(len(text))):
+            lead[place[own]] = (e[:, 1:].max(axis=1) - e[:, 0]).T[own]
         unsure = ~self.sure(lead)
         unsure[base + size] = False
         before = np.concatenate([[0], np.cumsum(unsure)])
-        kept = [(place[unsure[place]], e[unsure[place]]) for place, e in read(np.flatnonzero(before[hi] > before[lo]))]
+        kept = []
+        for place, own, e in read(np.flatnonzero(before[hi] > before[lo])):
+            own[own] = unsure[place[own]]
+            kept.append((place[own], e.transpose(2, 0, 1)[own]))
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         if not kept:
             return out
