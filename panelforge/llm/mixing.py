@@ -2,12 +2,15 @@
 
 Each source is cut into blocks of whole documents by a hash. A source's target is some full
 passes over its blocks and a part of one more: blocks in permuted order until the quota of
-words is full, the last one document by document, and its last document cut at a word. The
-tree deals the drawn blocks exactly, source by source, to output shards of equal numbers of
-blocks; a shard takes its next blocks of each source's permutation and shuffles them itself.
-
-The driver holds one row for each source (the catalogue); blocks per source are bounded, so
-no step depends on a source's number of rows.
+words is full, the last one document by document in the order of another hash, and its last
+document cut at a word. The tree deals the drawn blocks exactly, source by source, to output
+shards of equal numbers of blocks; a shard takes its next blocks of each source's permutation
+and shuffles them itself.
+
+Texts are read twice: once for a table of (source, hash, size), from which all is planned, and
+once to take what the plan says. The driver holds one row for each source (the catalogue) and
+the quotas of sources and shards; a source has most_blocks blocks at most, so a window over the
+blocks of a source is bounded; the one over documents is over a single block of each source.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ class MixParams:
     block_words: int = 32_768  #: aimed at, until a source has most_blocks
     most_blocks: int = 4096
     broadcast_blocks: int = 100_000  #: of all sources; beyond, documents meet their blocks in a shuffle
-    shards: int = 64
+    shards: int | None = None  #: of the output; by size if None
+    shard_words: int = 1 << 21  #: aimed at; beyond most_shards of them a shard has several partitions
+    most_shards: int = 4096
     seed: int = 17
 
 
@@ -73,71 +78,86 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def catalogue(sized: DataFrame, p: MixParams) -> pd.DataFrame:
+def catalogue(sizes: DataFrame, p: MixParams) -> pd.DataFrame:
     """One row for each source, by code point and null last: size, target, blocks, full passes and the words beyond."""
-    rows = sorted(((r["source"], int(r["n"] or 0)) for r in sized.groupBy("source").agg(F.sum("_mix_size").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    rows = sorted(((r["source"], int(r["n"] or 0)) for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in rows]
     targets = fill_targets(sizes, [p.weights[i % len(p.weights)] for i in range(len(rows))], p.share * sum(sizes), p.most_epochs)
     out = []
     for i, ((source, size), target) in enumerate(zip(rows, targets, strict=True)):
         full = min(p.most_epochs, int(target // size)) if size else 0
         rest = min(max(0, round(target) - full * size), size)
-        out.append((i, source, size, target, min(p.most_blocks, max(1, math.ceil(size / p.block_words))), full, rest))
-    return pd.DataFrame(out, columns=["_mix_rank", "_mix_source", "_mix_source_size", "_mix_target", "_mix_blocks", "_mix_full", "_mix_rest"])
+        blocks = 1 << max(0, math.ceil(math.log2(max(1, size / p.block_words))))  # a power of two divides the fine blocks
+        out.append((i, source, size, target, min(p.most_blocks, blocks), full, rest))
+    return pd.DataFrame(out, columns=["rank", "name", "source_size", "target", "n_blocks", "full", "rest"])
 
 
 def plan_mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """All rows of docs with _mix_size, _mix_source_size, _mix_target, _mix_taken and _mix_draws.
+    """For each row of docs a struct row of its columns and a struct mix: size, source_size, target, taken, draws.
 
-    _mix_draws has a struct (shard, copy, words) for each time that the mix takes the document:
-    none, some or all of its words. Null texts have no words; null sources are the last source;
-    a repeated row is drawn with its twin, each counted; an empty table stays empty.
+    draws has a struct (shard, copy, words) for each time that the mix takes the document: none,
+    some or all of its words. Null texts have no words; null sources are the last source; a
+    repeated row is drawn with its twins, and where the quota ends in these each takes an equal
+    whole number of words of what is left; columns of any name stay; an empty table stays empty.
     """
     spark, p = docs.sparkSession, params
     scratch = Scratch(spark, "mixing")
-    sized = docs.withColumn("_mix_size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
-    cat = catalogue(sized, p)
-    ddl = "_mix_rank int, _mix_source string, _mix_source_size long, _mix_target double, _mix_blocks int, _mix_full int, _mix_rest long"
-    known = spark.createDataFrame([tuple(None if x is None else x for x in r) for r in cat.astype(object).itertuples(index=False)], ddl)
-    known = F.broadcast(known) if len(cat) <= 50_000 else known  # some 100 bytes a source
-    rows = sized.join(known, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
     at = lambda *c: F.xxhash64(*c, F.lit(p.seed))
-    rows = rows.withColumn("_mix_block", F.pmod(at("doc_id"), F.col("_mix_blocks")).cast("int"))
-
-    by_source = Window.partitionBy("_mix_rank")  # most_blocks rows at most
-    blocks = rows.groupBy("_mix_rank", "_mix_block", "_mix_full", "_mix_rest").agg(F.sum("_mix_size").alias("_size"))
-    blocks = blocks.withColumn("_before", F.sum("_size").over(by_source.orderBy(at("_mix_rank", "_mix_block"), "_mix_block")) - F.col("_size"))
-    blocks = blocks.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_mix_rest") - F.col("_before"))))
-    blocks = blocks.withColumn("_copies", F.col("_mix_full") + (F.col("_part") > 0).cast("int"))
-    draws = blocks.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    draws = draws.withColumn("_nth", F.row_number().over(by_source.orderBy(at("_mix_block", "_copy"), "_mix_block", "_copy")) - 1)
-    draws = scratch.save(draws.select("_mix_rank", "_mix_block", "_copy", "_nth", "_size", "_part", "_mix_full"), "draws")
-    quotas = dict.fromkeys(cat["_mix_rank"].tolist(), 0) | {r["_mix_rank"]: r["n"] for r in draws.groupBy("_mix_rank").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ends = np.cumsum(split_quotas(list(quotas.values()), p.shards, p.seed), axis=0) if quotas else np.zeros((p.shards, 0), np.int64)
-    bounds = spark.createDataFrame([(r, ends[:, i].tolist()) for i, r in enumerate(quotas)], "_mix_rank int, _ends array<long>")
-    draws = draws.join(F.broadcast(bounds) if len(quotas) <= 50_000 else bounds, "_mix_rank")
-    draws = draws.withColumn("_shard", F.size(F.filter("_ends", lambda e: e <= F.col("_nth"))))
-    per_block = draws.groupBy("_mix_rank", "_mix_block").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_copy").alias("copy"), F.col("_shard").alias("shard"), (F.col("_copy") < F.col("_mix_full")).alias("whole")))).alias("_drawn"),
-        F.first("_part").alias("_part"), F.first("_size").alias("_size"),
-    )
-    per_block = scratch.save(per_block, "blocks")
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    # rows without an id are told apart by their texts
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), at("doc_id", "text").alias("hash"), size.alias("size"))
+    keys = scratch.save(keyed.select("source", "hash", "size"), "keys")
+    fine = F.pmod(F.col("hash"), F.lit(p.most_blocks)).cast("int")
+    sizes = scratch.save(keys.groupBy("source", fine.alias("fine")).agg(F.sum("size").alias("size")), "sizes")
+    cat = catalogue(sizes, p)
+    ddl = "rank int, name string, source_size long, target double, n_blocks int, full int, rest long"
+    some = lambda df: F.broadcast(df) if len(cat) <= 50_000 else df  # noqa: E731  (some 100 bytes a source)
+    known = spark.createDataFrame([tuple(None if x is None else x for x in r) for r in cat.astype(object).itertuples(index=False)], ddl)
+    of_source = lambda df, known: df.join(some(known), F.col("source").eqNullSafe(F.col("name"))).drop("source", "name")
+
+    by_source = Window.partitionBy("rank")  # most_blocks rows at most
+    blocks = of_source(sizes, known).withColumn("block", F.col("fine") % F.col("n_blocks")).groupBy("rank", "block", "full", "rest").agg(F.sum("size").alias("block_size"))
+    blocks = blocks.withColumn("before", F.sum("block_size").over(by_source.orderBy(at("rank", "block"), "block")) - F.col("block_size"))
+    blocks = blocks.withColumn("part", F.greatest(F.lit(0), F.least(F.col("block_size"), F.col("rest") - F.col("before"))))
+    blocks = blocks.withColumn("copies", F.col("full") + (F.col("part") > 0).cast("int"))
+    draws = blocks.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    draws = draws.withColumn("nth", F.row_number().over(by_source.orderBy(at("block", "copy"), "block", "copy")) - 1)
+    draws = scratch.save(draws.select("rank", "block", "copy", "nth", "block_size", "part", "full"), "draws")
+    quotas = dict.fromkeys(cat["rank"].tolist(), 0) | {r["rank"]: r["n"] for r in draws.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shards = n_shards(float(cat["target"].sum()), p)
+    ends = np.cumsum(split_quotas(list(quotas.values()), shards, p.seed), axis=0) if quotas else np.zeros((shards, 0), np.int64)
+    bounds = spark.createDataFrame([(r, ends[:, i].tolist()) for i, r in enumerate(quotas)], "rank int, ends array<long>")
+    draws = draws.join(some(bounds), "rank").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("nth"))))
+    drawn = F.sort_array(F.collect_list(F.struct("copy", "shard", (F.col("copy") < F.col("full")).alias("whole"))))
+    per_block = scratch.save(draws.groupBy("rank", "block").agg(drawn.alias("drawn"), F.first("part").alias("part"), F.first("block_size").alias("block_size")), "blocks")
     scratch.drop("draws")
 
-    few = int(cat["_mix_blocks"].sum()) <= p.broadcast_blocks  # some 200 bytes a block
-    rows = rows.join(F.broadcast(per_block) if few else per_block, ["_mix_rank", "_mix_block"], "left")
-    split = F.coalesce((F.col("_part") > 0) & (F.col("_part") < F.col("_size")), F.lit(False))
-    # the one block of a source that the quota ends in
-    edge = rows.filter(split)
-    before = F.sum("_mix_size").over(by_source.orderBy(at("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_mix_size")
-    edge = edge.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_mix_size"), F.col("_part") - before)))
-    other = rows.filter(~split).withColumn("_extra", F.when(F.col("_part") == F.col("_size"), F.col("_mix_size")).otherwise(F.lit(0)))
-    rows = edge.unionByName(other)
-    words = lambda d: F.when(d["whole"], F.col("_mix_size")).otherwise(F.col("_extra")).cast("long")
-    taken = F.transform(F.coalesce("_drawn", F.array().cast("array<struct<copy:int,shard:int,whole:boolean>>")), lambda d: F.struct(d["shard"].alias("shard"), d["copy"].alias("copy"), words(d).alias("words")))
-    rows = rows.withColumn("_mix_draws", F.filter(taken, lambda d: d["words"] > 0))
-    rows = rows.withColumn("_mix_taken", F.aggregate("_mix_draws", F.lit(0).cast("long"), lambda s, d: s + d["words"]))
-    return rows.select(*docs.columns, "_mix_size", "_mix_source_size", "_mix_target", "_mix_taken", "_mix_draws")
+    # in the one block of a source that the quota ends in: the document that it ends in, by hashes and sizes alone
+    split = per_block.filter("part > 0 AND part < block_size").select("rank", F.col("block").alias("edge_block"), F.col("part").alias("quota"))
+    known = scratch.save(known.join(some(split), "rank", "left"), "known")
+    place = at("hash", F.lit(1))
+    edge = of_source(keys.filter("size > 0"), known.filter("edge_block IS NOT NULL")).filter(F.pmod(F.col("hash"), F.col("n_blocks")) == F.col("edge_block"))
+    edge = edge.groupBy("rank", "quota", place.alias("edge_place")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("twins"))
+    edge = edge.withColumn("before", F.sum("words").over(by_source.orderBy("edge_place")) - F.col("words")).filter("before < quota AND before + words >= quota")
+    known = scratch.save(known.join(some(edge.select("rank", "edge_place", F.floor((F.col("quota") - F.col("before")) / F.col("twins")).alias("edge_words"))), "rank", "left"), "planned")
+
+    rows = of_source(keyed, known).withColumn("block", F.pmod(F.col("hash"), F.col("n_blocks")).cast("int")).withColumn("place", place)
+    few = int(cat["n_blocks"].sum()) <= p.broadcast_blocks  # some 200 bytes a block
+    rows = rows.join(F.broadcast(per_block) if few else per_block, ["rank", "block"], "left")
+    extra = (
+        F.when(F.coalesce("part", F.lit(0)) == 0, 0).when((F.col("part") == F.col("block_size")) | (F.col("place") < F.col("edge_place")), F.col("size"))
+        .when(F.col("place") == F.col("edge_place"), F.least("size", "edge_words")).otherwise(0)
+    )
+    rows = rows.withColumn("extra", extra.cast("long"))
+    words = lambda d: F.when(d["whole"], F.col("size")).otherwise(F.col("extra"))
+    taken = F.transform(F.coalesce("drawn", F.array().cast("array<struct<copy:int,shard:int,whole:boolean>>")), lambda d: F.struct(d["shard"].alias("shard"), d["copy"].alias("copy"), words(d).alias("words")))
+    rows = rows.withColumn("draws", F.filter(taken, lambda d: d["words"] > 0))
+    rows = rows.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"]))
+    return rows.select("row", F.struct("size", "source_size", "target", "taken", "draws").alias("mix"))
+
+
+def n_shards(words: float, p: MixParams) -> int:
+    return p.shards or min(p.most_shards, max(1, math.ceil(words / p.shard_words)))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -145,11 +165,28 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """The mix itself: a row of docs for each draw with its shard, shuffled within its shard."""
-    rows = plan_mix(docs, params).withColumn("_draw", F.explode("_mix_draws"))
-    cut = F.col("_draw.words") < F.col("_mix_size")
-    rows = rows.withColumn("_text", F.when(cut, first_words(F.col("text"), F.col("_draw.words"))).otherwise(F.col("text")))
-    rows = rows.withColumn("_order", F.xxhash64("doc_id", "_draw.copy", F.lit(params.seed + 1)))
-    rows = rows.withColumn("_shard", F.col("_draw.shard"))
-    named = [F.col("_text").alias("text") if c == "text" else F.when(cut, F.length("_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.repartition(params.shards, "_shard").sortWithinPartitions("_shard", "_order").select(*named)
+    """The mix itself: a row of docs for each draw, shards in order, each shuffled and, if large, in several partitions.
+
+    Nulls, repeated rows and clashing names as in plan_mix; n_chars, if there, is that of a cut text.
+    """
+    p = params
+    plan = plan_mix(docs, p)
+    # one row for each source
+    total = plan.select("mix.source_size", "mix.target", "row.source").groupBy("source").agg(F.first("target").alias("target")).agg(F.sum("target").alias("n")).first()["n"] or 0.0
+    shards = n_shards(total, p)
+    slices = max(1, math.ceil(total / (shards * p.shard_words))) if p.shards is None else 1
+    rows = plan.select("row", F.col("mix.size").alias("size"), F.explode("mix.draws").alias("draw"))
+    cut, text = F.col("draw.words") < F.col("size"), F.col("row.text")
+    rows = rows.withColumn("text", F.when(cut, first_words(text, F.col("draw.words"))).otherwise(text))
+    rows = rows.withColumn("order", F.xxhash64("row.doc_id", "text", "draw.copy", F.lit(p.seed + 1)))
+    # the order's highest bits name the slice
+    rows = rows.withColumn("slice", F.floor((F.shiftright("order", 32).cast("double") / 2**32 + 0.5) * slices).cast("int"))
+    rows = rows.repartitionById(shards * slices, (F.col("draw.shard") * slices + F.col("slice")).cast("int")).sortWithinPartitions("draw.shard", "order")
+
+    def named(c: str) -> Column:
+        field = F.col("row").getField(c)
+        if c == "text":
+            return F.col("text").alias(c)
+        return F.when(cut, F.length("text").cast(docs.schema[c].dataType)).otherwise(field).alias(c) if c == "n_chars" else field.alias(c)
+
+    return rows.select(*[named(c) for c in docs.columns])

@@ -58,7 +58,7 @@ def op8_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.mixing import plan_mix
 
     rows = plan_mix(_table(spark, sf_dir, "documents"))
-    return rows.selectExpr("doc_id", "_mix_size AS size", "_mix_source_size AS source_size", "_mix_target AS target", "_mix_taken AS taken", "transform(_mix_draws, d -> d.shard) AS shards")
+    return rows.selectExpr("row.doc_id AS doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "transform(mix.draws, d -> d.shard) AS shards")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

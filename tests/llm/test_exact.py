@@ -202,7 +202,8 @@ def test_targets_and_tree():
 def test_mix(spark):
     df, rows = corpus(spark, 2)
     p = MixParams(block_words=300, shards=4)
-    got = plan_mix(df, p).collect()
+    plan = lambda d, p: [{"doc_id": r["row"]["doc_id"], "source": r["row"]["source"], "text": r["row"]["text"], **r["mix"].asDict()} for r in plan_mix(d, p).collect()]
+    got = plan(df, p)
     size = lambda t: len(WORD.findall(t or ""))
     by = collections.defaultdict(list)
     for r in rows:
@@ -212,13 +213,13 @@ def test_mix(spark):
     assert len(got) == len(rows)
     for s in names:
         mine = [r for r in got if r["source"] == s]
-        assert all(r["_mix_size"] == size(r["text"]) and r["_mix_source_size"] == sum(by[s]) and math.isclose(r["_mix_target"], targets[s]) for r in mine)
-        assert abs(sum(r["_mix_taken"] for r in mine) - targets[s]) <= 0.5 and all(r["_mix_taken"] <= 2 * r["_mix_size"] for r in mine)
+        assert all(r["size"] == size(r["text"]) and r["source_size"] == sum(by[s]) and math.isclose(r["target"], targets[s]) for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - targets[s]) <= 0.5 and all(r["taken"] <= 2 * r["size"] for r in mine)
     mixed = mixed_documents(df, p)
     assert mixed.columns == df.columns
-    assert sum(size(r["text"]) for r in mixed.collect()) == sum(r["_mix_taken"] for r in got)
-    again = plan_mix(df.repartition(7), MixParams(block_words=300, shards=4, broadcast_blocks=0)).collect()
-    key = lambda rs: sorted((str(r["doc_id"]), r["_mix_taken"]) for r in rs)
+    assert sum(size(r["text"]) for r in mixed.collect()) == sum(r["taken"] for r in got)
+    again = plan(df.repartition(7), MixParams(block_words=300, shards=4, broadcast_blocks=0))
+    key = lambda rs: sorted((str(r["doc_id"]), r["taken"]) for r in rs)
     assert key(again) == key(got)
     assert plan_mix(df.filter("false"), p).count() == 0 and mixing.WEIGHTS == (5, 2, 1)
 

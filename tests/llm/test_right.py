@@ -213,3 +213,29 @@ def test_redaction_keeps_columns_of_any_name(spark):
     rows = spark.createDataFrame([(1, "mail me@here.org now", "mine", 3)], "doc_id long, text string, clean string, n_chars int")
     out = pii.redact_documents(rows).first()
     assert out["clean"] == "mine" and "me@here.org" not in out["text"] and out["n_chars"] == len(out["text"])
+
+
+def test_mix_of_awkward_tables(spark):
+    """Names of working columns, rows without an id, twins, many sources and many blocks."""
+    from panelforge.llm.mixing import MixParams, fill_targets, mixed_documents, plan_mix
+
+    rng = np.random.default_rng(4)
+    names = ["size", "part", "extra", "draw", "shard", "block", "row", "mix", "hash", "rank", "order", "slice"]
+    texts = [" ".join(["w"] * int(n)) for n in rng.integers(0, 60, 300)]
+    rows = [(i if i % 3 else None, t, f"s{i % 5}" if i % 11 else None, *names) for i, t in enumerate(texts)] + [(7, "x y z", "s1", *names)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for p in (MixParams(), MixParams(block_words=50, shards=3), MixParams(block_words=20, most_blocks=16, shard_words=100, most_shards=4)):
+        got = plan_mix(df, p).collect()
+        by = collections.defaultdict(list)
+        for r in got:
+            by[r["row"]["source"]].append(r["mix"])
+        order = sorted(by, key=lambda s: (s is None, s or ""))
+        sizes = [sum(len(r[1].split()) for r in rows if r[2] == s) for s in order]
+        for s, size, target in zip(order, sizes, fill_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(sizes), 2), strict=True):
+            assert all(m["source_size"] == size and math.isclose(m["target"], target) for m in by[s])
+            assert abs(sum(m["taken"] for m in by[s]) - target) <= 0.5 + 5 and all(m["taken"] <= 2 * m["size"] for m in by[s])
+        out = mixed_documents(df, p)
+        mixed = out.collect()
+        assert out.columns == df.columns and all(r["part"] == "part" and r["mix"] == "mix" for r in mixed)
+        assert sum(len(r["text"].split()) for r in mixed) == sum(m["taken"] for ms in by.values() for m in ms)
+        assert not out.filter("text is null").count()
