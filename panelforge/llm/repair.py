@@ -1,7 +1,7 @@
 """Re-Pair grammar compression of token ids, in self-contained binary shards.
 
-A shard holds the ids of consecutive documents. Frequent neighbouring pairs inside documents
-are replaced by new symbols (rules), round after round; rules, the length that each expands
+A shard holds the ids of consecutive documents. The most frequent neighbouring pairs inside
+documents are replaced by new symbols (rules), round after round; rules, the length that each expands
 to, and where each document starts let any document, or any range of one, be decoded alone.
 
 Layout, little-endian: magic, then the counts of documents, rules and symbols and the first
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -58,6 +59,7 @@ class Shard:
         symbols = take("<u2", m).astype(np.uint32) | (take("u1", m).astype(np.uint32) << 16)
         return cls([None if z else int(i) for i, z in zip(ids, null, strict=True)], tokens, np.append(starts, m).astype(np.int64), base, left, right, lengths, symbols)
 
+    @cached_property
     def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each symbol its length and its place in the third array, which holds all expansions."""
         lengths = np.concatenate([np.ones(self.base, np.int64), self.lengths.astype(np.int64)])
@@ -76,39 +78,36 @@ class Shard:
         return lengths, places, flat
 
     def decode_all(self) -> np.ndarray:
-        return gather(self.symbols, *self.expansions())
+        return gather(self.symbols, *self.expansions)
 
     def decode(self, doc: int, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """Ids start to stop of one document: only rules that reach into the range are expanded."""
+        """Ids start to stop of one document: only symbols that reach into the range are expanded."""
+        symbols = self.symbols[self.starts[doc] : self.starts[doc + 1]]
+        lengths, places, flat = self.expansions
         stop = int(self.tokens[doc]) if stop is None else min(stop, int(self.tokens[doc]))
-        out: list[int] = []
-        stack = [(int(s)) for s in self.symbols[self.starts[doc] : self.starts[doc + 1]][::-1]]
-        at = 0
-        while stack and at < stop:
-            s = stack.pop()
-            n = 1 if s < self.base else int(self.lengths[s - self.base])
-            if at + n <= start:
-                at += n
-            elif s < self.base:
-                out.append(s)
-                at += 1
-            else:
-                stack += (int(self.right[s - self.base]), int(self.left[s - self.base]))
-        return np.array(out, dtype=np.uint32)
-
-
-def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: int | None = None, min_uses: int = 8, per_round: int = 8192, bits: int = 18) -> Shard:
-    """Rounds that each replace the most frequent pairs, at most per_round of them, until no pair has min_uses uses.
-
-    Pairs are counted exactly for the pair that holds a slot of a 2**bits table; one that
-    finds its slot taken is counted in a later round, which hashes differently. Of overlapping
-    pairs the ones at even places of the run are replaced; if that leaves every pair too few
-    uses, fewer pairs are tried, in the end the most frequent alone. A pair that was counted
-    with too few uses never gets more, so a round reads only those that had enough, those not
-    counted yet, and those around new symbols. rounds, if given, is a bound.
+        if start == 0 and stop == int(self.tokens[doc]):
+            return gather(symbols, lengths, places, flat)
+        ends = np.cumsum(lengths[symbols])
+        first, last = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop)
+        skipped = int(ends[first - 1]) if first else 0
+        return gather(symbols[first : last + 1], lengths, places, flat)[start - skipped : max(stop, start) - skipped]
+
+
+def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: int | None = None, min_uses: int = 8, bits: int = 18, within: int = 4) -> Shard:
+    """Rounds that each replace the most frequent pairs until no pair has min_uses uses.
+
+    All pairs are counted exactly. A round takes the pairs with at least a within-th of the
+    highest count, and of overlapping places the more frequent pair's (the first, third, ... of
+    a run of one pair); a pair that keeps too few places so waits for a later round, while the
+    most frequent one always goes through. A pair with too few uses never gets more, so a round
+    reads only the places that had enough and those around new symbols. Slots of a table of
+    2**bits are counted first: what shares a slot with too few others needs no exact count.
+    rounds, if given, is a bound. Ids must be below base, symbols below 2**24.
     """
     tokens = np.array([len(d) for d in docs], dtype=np.int64)
     seq = np.concatenate([*docs, np.empty(0, np.uint32)]).astype(np.uint32)
+    if len(seq) and int(seq.max()) >= base:
+        raise ValueError(f"id {int(seq.max())} is not below {base}")
     n = len(seq)
     last = np.zeros(n, bool)
     last[np.cumsum(tokens)[tokens > 0] - 1] = True
@@ -119,61 +118,62 @@ def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: in
     gone, live = np.zeros(n + 1, bool), np.append(~last, False)
     left, right, lengths = [], [], []
     size, top, r, least = np.ones(base, np.int64), base, 0, max(2, min_uses // 2)
+    none = np.int32(2**31 - 1)
+    rank = np.full(n + 1, none, np.int32)  #: of the pair at a place, in this round
     while rounds is None or r < rounds:
+        r += 1
         at = np.flatnonzero(live)
         a, b = seq[at], seq[after[at]]
-        slot = a * np.uint32((2654435761 + 40503 * 2 * r) & 0xFFFFFFFF) + b * np.uint32((2246822519 + 2 * r) & 0xFFFFFFFF)
+        slot = a * np.uint32(2654435761) + b * np.uint32(2246822519)
         slot = (slot ^ (slot >> np.uint32(15))) & np.uint32((1 << bits) - 1)
-        r += 1
         some = (np.bincount(slot, minlength=1 << bits) >= min_uses)[slot]
         live[at[~some]] = False
-        at, s = at[some], slot[some]
-        if not len(at):
+        at, key = at[some], (a[some].astype(np.uint64) << np.uint64(24)) | b[some]
+        order = np.argsort(key)
+        ordered = key[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+        count = np.diff(np.append(first, len(ordered)))
+        if not len(count) or count.max() < min_uses:
             break
-        key = (a[some].astype(np.uint64) << np.uint64(32)) | b[some]
-        holder = np.zeros(1 << bits, np.uint64)
-        holder[s] = key
-        mine = holder[s] == key
-        at, s = at[mine], s[mine]
-        count = np.bincount(s, minlength=1 << bits)
-        enough = (count >= min_uses)[s]
-        live[at[~enough]] = False
-        at, s = at[enough], s[enough]
-        hot = np.flatnonzero(count >= min_uses)
-        hot = hot[np.lexsort((holder[hot], -count[hot]))[:per_round]]
-        while len(hot):
-            rank = np.full(1 << bits, -1, np.int32)
-            rank[hot] = np.arange(len(hot), dtype=np.int32)
-            which = rank[s]
-            here, which = at[which >= 0], which[which >= 0]
-            new_run = np.append(True, after[here[:-1]] != here[1:])
-            first = np.maximum.accumulate(np.where(new_run, np.arange(len(here)), 0))
-            even = (np.arange(len(here)) - first) % 2 == 0
-            used = np.bincount(which[even], minlength=len(hot)) >= least
-            if used.any():
-                break
-            if len(hot) == 1:
-                live[here] = False
-            hot = hot[: len(hot) // 8 or len(hot) - 1]
-        if not len(hot):
+        live[at[order[np.repeat(count < min_uses, count)]]] = False
+        hot = np.flatnonzero(count >= max(min_uses, -(-int(count.max()) // within)))
+        place = np.full(len(count), none, np.int32)
+        place[hot[np.argsort(-count[hot], kind="stable")]] = np.arange(len(hot), dtype=np.int32)
+        which = np.empty(len(at), np.int32)
+        which[order] = np.repeat(place, count)
+        here = at[which != none]
+        rank[here] = which[which != none]
+        mine = rank[here]
+        wins = here[(mine <= rank[before[here]]) & (mine <= rank[after[here]])]
+        # neighbours both win only in a run of one pair
+        new_run = np.append(True, after[wins[:-1]] != wins[1:])[: len(wins)]
+        start = np.maximum.accumulate(np.where(new_run, np.arange(len(wins)), 0))
+        wins = wins[(np.arange(len(wins)) - start) % 2 == 0]
+        mine, ranks = rank[wins], rank[here]
+        rank[here] = none
+        used = np.bincount(mine, minlength=len(hot)) >= least
+        if not used.any():  # runs of the most frequent pair are too short to use it often
+            live[here[ranks == 0]] = False
             continue
-        even &= used[which]
-        here, which = here[even], which[even]
-        name = np.cumsum(used) - 1
-        pairs = holder[hot[used]]
-        lo, hi = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        wins, mine = wins[used[mine]], mine[used[mine]]
+        pairs = np.empty(len(hot), np.uint64)
+        pairs[place[hot]] = ordered[first[hot]]
+        pairs, name = pairs[used], np.cumsum(used) - 1
+        lo, hi = (pairs >> np.uint64(24)).astype(np.int64), (pairs & np.uint64((1 << 24) - 1)).astype(np.int64)
         left.append(lo)
         right.append(hi)
         lengths.append(size[lo] + size[hi])
         size = np.concatenate([size, lengths[-1]])
-        seq[here] = top + name[which]
-        second = after[here]
+        seq[wins] = top + name[mine]
+        second = after[wins]
         beyond = after[second]
         gone[second], live[second] = True, False
-        after[here], before[beyond] = beyond, here
-        live[here], live[before[here]] = beyond < n, True
+        after[wins], before[beyond] = beyond, wins
+        live[wins], live[before[wins]] = beyond < n, True
         live[n] = False
         top += len(pairs)
+        if top > 1 << 24:
+            raise ValueError("more symbols than 24 bits name")
     kept = np.append(0, np.cumsum(~gone[:-1]))
     starts = np.append(0, kept[np.cumsum(tokens)])
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)

@@ -1,7 +1,8 @@
 """Token ids of a corpus in ascending document order, written as grammar-compressed shards.
 
-Nulls: a null text is empty, a null doc_id sorts first. Ties and repeated rows keep one
-entry each, in the order of their texts. Other columns don't matter. An empty table gives no shards.
+Nulls: a null text is empty, a null doc_id sorts first. Rows of one doc_id keep one entry each, in
+the order of their texts' hashes. Texts may be of any length; other columns don't matter. An
+empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, s
     spark = docs.sparkSession
     bounded_batches(spark, 2000)
     rows = docs.select("doc_id", "text")
-    rows = rows.repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def shards(batches):
         words, part, before = encoder(tokenizer, space_prefix, words_kept), TaskContext.get().partitionId(), 0
@@ -35,7 +36,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, s
 
         def flush():
             nonlocal ids, held, size, before
-            blob = build(ids, held).to_bytes()
+            blob = build(ids, held, base=max(1 << 16, words.size, end_id + 1)).to_bytes()
             out = {"part": [part], "part_start": [before], "n_tokens": [size], "payload": [blob]}
             before += size
             ids, held, size = [], [], 0
@@ -43,7 +44,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, s
 
         for batch in batches:
             for doc, got in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"]), strict=True):
-                got = np.append(got, got.dtype.type(end_id))
+                got = np.append(got, got.dtype.type(end_id))  # end_id is in the vocabulary
                 if held and size + len(got) > shard_tokens:
                     yield flush()
                 ids.append(doc)
@@ -66,9 +67,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for base, blob in zip(batch["base"], batch["payload"], strict=True):
                 shard = Shard.from_bytes(blob)
-                ids, ends = shard.decode_all(), np.cumsum(shard.tokens.astype(np.int64))
-                starts = ends - shard.tokens
-                yield {"doc_id": shard.doc_ids, "start": base + starts, "n_tokens": shard.tokens.astype(np.int64), "ids_crc32": [crc_u32(ids[s:e]) for s, e in zip(starts, ends, strict=True)], "n_symbols": np.diff(shard.starts)}
+                starts = np.cumsum(shard.tokens.astype(np.int64)) - shard.tokens
+                yield {"doc_id": shard.doc_ids, "start": base + starts, "n_tokens": shard.tokens.astype(np.int64), "ids_crc32": [crc_u32(shard.decode(d)) for d in range(len(starts))], "n_symbols": np.diff(shard.starts)}
 
     return arrow_map(placed, digests, "doc_id long, start long, n_tokens long, ids_crc32 long, n_symbols long")
 

@@ -38,7 +38,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.prefix = " " if space_prefix else ""
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1  # ids may have gaps
+        self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.letters = re.compile(f"{self.prefix}[{_LETTERS}]+").fullmatch
         self.code = "H" if self.dtype is np.uint16 else "I"
         self.memo = WordMemo(self._encode, limit)

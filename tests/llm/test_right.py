@@ -239,3 +239,18 @@ def test_mix_of_awkward_tables(spark):
         assert out.columns == df.columns and all(r["part"] == "part" and r["mix"] == "mix" for r in mixed)
         assert sum(len(r["text"].split()) for r in mixed) == sum(m["taken"] for ms in by.values() for m in ms)
         assert not out.filter("text is null").count()
+
+
+def test_grammar_takes_the_most_frequent_pair_first():
+    from panelforge.llm.repair import build
+
+    docs = [np.array([1, 2], np.uint16)] * 1000 + [np.array([25661, 40006], np.uint16)]
+    s = build(list(range(1001)), docs)
+    assert len(s.symbols) == 1002 and (s.left.tolist(), s.right.tolist()) == ([1], [2])
+    docs = [np.array([7, 8, 9], np.uint16)] * 20 + [np.array([8, 9], np.uint16)] * 30  # (8, 9) has 50 uses, (7, 8) 20
+    s = build(list(range(50)), docs)
+    assert (int(s.left[0]), int(s.right[0])) == (8, 9) and s.decode_all().tolist() == np.concatenate(docs).tolist()
+    with pytest.raises(ValueError, match="not below"):
+        build([0], [np.array([70_000], np.uint32)])
+    wide = build([0], [np.array([70_000] * 64, np.uint32)], base=1 << 17)
+    assert len(wide.symbols) <= 8 and wide.decode(0).tolist() == [70_000] * 64 and wide.decode(0, 5, 9).tolist() == [70_000] * 4
