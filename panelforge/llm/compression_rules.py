@@ -22,7 +22,6 @@ class BandParams:
     #: from so many bytes on: lowest and highest ratio of compressed to raw bytes; shorter texts pass
     bands: tuple[tuple[int, float, float], ...] = ((64, 0.28, 1.30), (256, 0.38, 0.95), (512, 0.34, 0.85), (1024, 0.30, 0.74), (16_384, 0.25, 0.72))
     chunk_bytes: int = 2048
-    least_chunk: int = 1024  #: a shorter last chunk is not judged
     chunk_band: tuple[float, float] = (0.30, 0.74)
     most_bad_chunks: float = 0.25  #: of the judged ones
 
@@ -34,7 +33,9 @@ def judge(raw: bytes, compressor, p: BandParams) -> tuple[float | None, float, b
     ratio = len(compressor.compress(raw)) / len(raw)
     band = next(((lo, hi) for least, lo, hi in reversed(p.bands) if len(raw) >= least), None)
     fine = band is None or band[0] <= ratio <= band[1]
-    chunks = [c for i in range(0, len(raw), p.chunk_bytes) if len(c := raw[i : i + p.chunk_bytes]) >= p.least_chunk]
+    # the last chunk ends where the text does, so that all of the text is in a chunk of full size
+    starts = [*range(0, len(raw) - p.chunk_bytes, p.chunk_bytes), len(raw) - p.chunk_bytes] if len(raw) >= p.chunk_bytes else []
+    chunks = [raw[i : i + p.chunk_bytes] for i in starts]
     lo, hi = p.chunk_band
     bad = sum(not lo <= len(compressor.compress(c)) / len(c) <= hi for c in chunks) / len(chunks) if chunks else 0.0
     return ratio, bad, fine and bad <= p.most_bad_chunks
