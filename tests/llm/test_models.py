@@ -181,3 +181,17 @@ def test_pipeline_stages(spark, tmp_path):
     words = sum(len(r["text"].split()) for r in seen[2])
     assert abs(sum(len(r["text"].split()) for r in seen[3]) - 1.5 * words) <= 4
     assert len(seen[4]) >= len(seen[3]) and P.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_pipeline_drops_equal_rows_only(spark, tmp_path):
+    import corpus_pipeline as P
+
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a, "y", "r1"), (1, a, "x", "r2"), (1, b, "x", "r3"), (2, a, "x", "r4"), (None, a, "x", "r5"), (None, a, "x", "r6"), (3, "", "x", "r7"), (3, "", "x", "r8")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rest string, toxicity string")
+    out = P.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, a, "x", "r2"), (1, b, "x", "r3"), (None, a, "x", "r5"), (None, a, "x", "r6"), (3, "", "x", "r7")], key=str)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = P.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == len(rows)

@@ -254,3 +254,78 @@ def test_grammar_takes_the_most_frequent_pair_first():
         build([0], [np.array([70_000], np.uint32)])
     wide = build([0], [np.array([70_000] * 64, np.uint32)], base=1 << 17)
     assert len(wide.symbols) <= 8 and wide.decode(0).tolist() == [70_000] * 64 and wide.decode(0, 5, 9).tolist() == [70_000] * 4
+
+
+def test_quality_scores(spark):
+    """Every score from a plain loop over the words and n-grams of the text, by the fitted vectors."""
+    from panelforge.llm.quality_model import QualityParams, fit, score_quality, word_slots
+
+    rng, p = np.random.default_rng(6), QualityParams(bits=10, width=4, steps=2000)
+    text = lambda: " ".join(rng.choice(["good", "word", "is", "é", "bad", "bad", "xx"], int(rng.integers(0, 30))))
+    texts = [text() for _ in range(60)] + ["", None, " \t\n", "one", "a  b\n\nb b"]
+    model = fit([(t or "", int(i % 3 == 0)) for i, t in enumerate(texts)], p)
+    got = {r["doc_id"]: r["score"] for r in score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        words = WORD.findall(t or "")
+        slots = [s for w in words for s in word_slots(w, p)] + [1 << p.bits for a, b in zip(words, words[1:], strict=False) if a == b]
+        mean = model.vectors[slots].astype(float).mean(axis=0) if slots else np.zeros(p.width)
+        z = mean @ model.out.astype(float) + model.bias
+        assert math.isclose(got[i], np.exp(z[1]) / np.exp(z).sum(), rel_tol=1e-4, abs_tol=1e-6)
+    assert len(set(word_slots("word", p))) > 5 and word_slots("", p) == []
+
+
+def test_toxicity_scores(spark):
+    """Scores and spans from a forward-backward pass over each chain in plain Python, low-scoring chains too."""
+    import zlib
+
+    from panelforge.llm.toxicity import Chain, ToxicModel, ToxicParams, features, score_toxicity
+
+    rng, p, chain = np.random.default_rng(8), ToxicParams(bits=8, window=7), Chain(8)
+    chain.weights = rng.normal(0, 2, 256).astype(np.float32)
+    chain.bias, chain.step = -1.0, np.array([[0.5, -1.0], [-1.0, 3.0]])
+    model = ToxicModel(chain, 1.3, -0.4)
+    texts = [" ".join(rng.choice(["Foo,", "bar", "bazzy", "quxes!", "", "é\n"], int(rng.integers(0, 30)))) for _ in range(50)] + ["", None, "\t"]
+    got = {r["doc_id"]: r["_toxicity"] for r in score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, p).collect()}
+    for i, t in enumerate(texts):
+        words, marginal = re.split("[\t-\r ]", t or ""), []
+        s = [sum(float(chain.weights[zlib.crc32(f.encode()) & 255]) for f in features(w)) + chain.bias for w in words]
+        for c in range(0, len(s), 7):
+            x = s[c : c + 7]
+            ahead, back = [(1.0, math.exp(x[0]))], [(1.0, 1.0)]
+            step = np.exp(chain.step)
+            for v in x[1:]:
+                a = ahead[-1]
+                ahead.append((a[0] * step[0, 0] + a[1] * step[1, 0], math.exp(v) * (a[0] * step[0, 1] + a[1] * step[1, 1])))
+            for v in x[:0:-1]:
+                b = back[0]
+                back.insert(0, (step[0, 0] * b[0] + step[0, 1] * math.exp(v) * b[1], step[1, 0] * b[0] + step[1, 1] * math.exp(v) * b[1]))
+            marginal += [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, back, strict=True)]
+        want = 1 / (1 + math.exp(-(1.3 * math.log(sum(m**4 for m in marginal) + 1e-2) - 0.4)))
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-6) and got[i]["predicted"] == (want >= 0.5)
+        assert len(got[i]["spans"]) == sum(m >= 0.5 for m in marginal)
+
+
+def test_compression_verdicts(spark):
+    """The verdict from the bands of whole texts and of chunks that reach the end, one by one."""
+    import zstandard
+
+    from panelforge.llm.compression_rules import BandParams, compression_rules
+
+    rng, p = np.random.default_rng(9), BandParams()
+    words = [f"{a}{b}" for a in ("ta", "ko", "mi", "ru", "ne", "so") for b in ("lin", "gar", "pe", "dust", "om", "ay")]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    noise = lambda n: " ".join(str(x) for x in rng.integers(10**15, 10**18, n))
+    texts = [prose(30), prose(900), noise(30), noise(300), "same text here now. " * 200, prose(700) + noise(250), prose(800) + " a b" * 500, "", None, "x", *[prose(int(n)) for n in rng.integers(20, 2000, 20)]]
+    ratio = lambda b: len(zstandard.ZstdCompressor(level=p.level).compress(b)) / len(b)
+    for r in compression_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        fine = True
+        for (low, lo, hi), high in zip(p.bands, [*[b[0] for b in p.bands[1:]], 1 << 60], strict=True):
+            if low <= len(raw) < high:
+                fine = lo <= ratio(raw) <= hi
+        pieces = []
+        while len(raw) >= 2048 and sum(map(len, pieces)) < len(raw):
+            at = sum(map(len, pieces))
+            pieces.append(raw[at : at + 2048] if at + 2048 <= len(raw) else raw[-2048:])
+        bad = [not p.chunk_band[0] <= ratio(c) <= p.chunk_band[1] for c in pieces]
+        assert r["kept"] == (not r["base_failed"] and fine and sum(bad) <= 0.25 * len(bad))
