@@ -142,42 +142,43 @@ class Tagger:
                 self.w[k] -= rate * (m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(v[k] / (1 - 0.99 ** (i + 1))) + 1e-8)
         return loss
 
-    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
-        """(time, hidden, rows): as _run without what training keeps, all gates by one sigmoid: tanh(z) = 2 s(2z) - 1."""
+    def _emissions(self, x: np.ndarray) -> np.ndarray:
+        """(time, tags, rows) for classes (time, rows): as emissions, without what training keeps.
+
+        All gates go through one sigmoid, as tanh(z) = 2 s(2z) - 1, and a state is weighed for
+        the tags while it is at hand, so that little memory is touched.
+        """
         h, (n, rows), w = self.p.hidden, x.shape, self.w
         scale = np.repeat(np.array([-1, -2], np.float32), [3 * h, h])
-        weights = np.ascontiguousarray((np.concatenate([w[f"u{d}"], w[f"x{d}"], w[f"c{d}"][None]]) * scale).T.astype(np.float32))
-        seen = np.ones((h + self.p.width + 1, rows), np.float32)
-        seen[:h] = 0
-        shown = np.ascontiguousarray(w["embed"].astype(np.float32)[x].transpose(0, 2, 1))
-        out, cell = np.empty((n, h, rows), np.float32), np.zeros((h, rows), np.float32)
-        z, s = np.empty((4 * h, rows), np.float32), np.empty((h, rows), np.float32)
-        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
-            for t in range(n) if d == "f" else range(n - 1, -1, -1):
-                seen[h:-1] = shown[t]
-                np.matmul(weights, seen, out=z)
-                np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-                into, forget, gate, new = z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
-                new *= 2
-                new -= 1
-                cell *= forget
-                cell += np.multiply(into, new, out=s)
-                np.multiply(cell, -2, out=s)
-                np.exp(s, out=s)
-                s += 1
-                np.divide(2, s, out=s)
-                s -= 1
-                seen[:h] = np.multiply(gate, s, out=out[t])
-        return out
-
-    def _emissions(self, x: np.ndarray) -> np.ndarray:
-        """(time, tags, rows) for classes (time, rows)."""
-        h, out = self.p.hidden, self.w["out"].astype(np.float32).T
-        e = np.matmul(out[:, :h], self._states(x, "f"))
-        e += np.matmul(out[:, h:], self._states(x, "b"))
-        e += self.w["out_b"][:, None]
+        embed, out = np.ascontiguousarray(w["embed"].T.astype(np.float32)), w["out"].astype(np.float32).T
+        e = np.empty((n, TAGS, rows), np.float32)
+        e[:] = w["out_b"][:, None]
+        z, s, add = np.empty((4 * h, rows), np.float32), np.empty((h, rows), np.float32), np.empty((TAGS, rows), np.float32)
+        into, forget, gate, new = z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
+        for d, weigh, order in (("f", np.ascontiguousarray(out[:, :h]), range(n)), ("b", np.ascontiguousarray(out[:, h:]), range(n - 1, -1, -1))):
+            weights = np.ascontiguousarray((np.concatenate([w[f"u{d}"], w[f"x{d}"], w[f"c{d}"][None]]) * scale).T.astype(np.float32))
+            seen = np.ones((h + self.p.width + 1, rows), np.float32)
+            state, shown, cell = seen[:h], seen[h:-1], np.zeros((h, rows), np.float32)
+            state[:] = 0
+            with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
+                for t in order:
+                    np.take(embed, x[t], axis=1, out=shown, mode="clip")
+                    np.matmul(weights, seen, out=z)
+                    np.exp(z, out=z)
+                    z += 1
+                    np.reciprocal(z, out=z)
+                    new *= 2
+                    new -= 1
+                    cell *= forget
+                    into *= new
+                    cell += into
+                    np.multiply(cell, -2, out=s)
+                    np.exp(s, out=s)
+                    s += 1
+                    np.divide(2, s, out=s)
+                    s -= 1
+                    np.multiply(gate, s, out=state)
+                    e[t] += np.matmul(weigh, state, out=add)
         return e
 
     def sure(self, lead: np.ndarray) -> np.ndarray:
