@@ -37,6 +37,26 @@ def bootstrap_interval(r: np.ndarray, runs: int, label: str, alpha: float = 0.05
     return {"mean": mean, "ci_lower": lo, "ci_upper": hi, "cohens_d": effect, "d_lower": dl, "d_upper": dh, "ci_method": method}
 
 
+def garch_path(gen: np.random.Generator, bars: int, daily: float, alpha: float, beta: float) -> np.ndarray:
+    """Returns of GARCH(1,1) with this long-run deviation and Student shocks of unit variance."""
+    shocks, out, var = gen.standard_t(5, bars) / np.sqrt(5 / 3), np.empty(bars), daily**2
+    for t in range(bars):
+        out[t] = np.sqrt(var) * shocks[t]
+        var = daily**2 * (1 - alpha - beta) + alpha * out[t] ** 2 + beta * var
+    return out
+
+
+def own_path(gen: np.random.Generator, bars: int) -> np.ndarray:
+    return garch_path(gen, bars, 0.015, 0.05, 0.93)
+
+
+def cost_vector(n: int, fixed: float, slip_low: float, slip_high: float, label: str) -> np.ndarray:
+    """Costs of n trades in basis points: a fixed part and uniform slippage, drawn by the label."""
+    from panelforge.functions.seeds import rng
+
+    return fixed + rng(label).uniform(slip_low, slip_high, n)
+
+
 def simulate_panel(gen: np.random.Generator, n_tickers: int = 60, bars: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Closes and the deviation of the last 20 returns (tickers, bars): GARCH(1,1) market and own noise, Student shocks, betas.
 

@@ -9,10 +9,13 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.distributions import student_p
+from panelforge.functions.distributions import normal_p, student_p
+from panelforge.operators import detectors as D
+from panelforge.operators.events import combinations, registry, to_events
 from panelforge.operators.indicators import W, expanding_median, rolling_std, sma
-from panelforge.operators.stats import benjamini_hochberg, forward_returns, matched_excess, matched_null, return_pools, return_summary, welch
-from panelforge.params import RegimeParams
+from panelforge.operators.stats import benjamini_hochberg, forward_returns, matched_excess, matched_null, one_sample, return_pools, return_summary, welch
+from panelforge.operators.trades import backtest
+from panelforge.params import PriceActionParams, RegimeParams
 
 
 def regimes(bars: DataFrame, p: RegimeParams = RegimeParams()) -> DataFrame:
@@ -237,3 +240,93 @@ def sign_consistency(rows: DataFrame) -> DataFrame:
 def histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int = 60) -> DataFrame:
     """Counts of equal bins of [lo, hi); 0 is below and bins + 1 above."""
     return rows.groupBy(F.width_bucket(value, F.lit(lo), F.lit(hi), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rank_concepts(matched: DataFrame, h: int | None = None) -> DataFrame:
+    """Signals of each horizon (or of one) by their excess over the matched null, the unknown last."""
+    rows = matched if h is None else matched.filter(F.col("holding_period") == h)
+    order = Window.partitionBy("holding_period").orderBy(F.desc_nulls_last("excess_return"), "signal")
+    return rows.withColumn("rank", F.row_number().over(order))
+
+
+def best_and_worst(matched: DataFrame, best: int = 2, worst: int = 1) -> DataFrame:
+    """The first and last signals of each horizon's ranking by excess."""
+    down = Window.partitionBy("holding_period").orderBy(F.desc("excess_return"), "signal")
+    up = Window.partitionBy("holding_period").orderBy("excess_return", "signal")
+    rows = matched.withColumns({"_b": F.row_number().over(down), "_w": F.row_number().over(up)})
+    return rows.filter((F.col("_b") <= best) | (F.col("_w") <= worst)).withColumn("best", F.col("_b") <= best).drop("_b", "_w")
+
+
+def rank_combinations(events: DataFrame, bars: DataFrame, baseline: DataFrame, h: int = 10, least: int = 100, top: int = 60) -> DataFrame:
+    """Pairs of signals that fire together, against zero, random entries and their own matched null.
+
+    p values against each are corrected over all pairs; a pair beats random entry if its excess
+    over the matched null is positive and survives that on enough trades.
+    """
+    keys = ["signal", "holding_period"]
+    trades, pools = backtest(combinations(events, least, top), bars, [h]), return_pools(bars, [h])
+    null = matched_null(trades, pools, keys)
+    null = null.select(*keys, F.col("null_mean").alias("matched_null_mean"), F.col("excess_return").alias("excess_return_vs_matched_random"), normal_p(F.col("z_stat")).alias("p_value_vs_matched_random_srs"))
+    dated = matched_excess(trades, pools, keys).select(*keys, normal_p(F.col("z_stat")).alias("p_value_vs_matched_random"))
+    one = one_sample(trades, keys).select(*keys, F.col("cohens_d").alias("effect_size_cohens_d"), student_p(F.col("t_iid"), F.col("n").cast("double") - 1).alias("p_value"))
+    random = baseline.filter((F.col("signal") == "baseline_random_bullish") & (F.col("holding_period") == h))
+    vs = welch(trades, random, keys, on=["holding_period"]).select(*keys, student_p(F.col("t_stat"), F.col("dof"), "greater").alias("p_value_vs_baseline"), F.col("cohens_d").alias("effect_size_vs_baseline"))
+    out = return_summary(trades, keys)
+    for part in (one, vs, null, dated):
+        out = out.join(part, keys, "left")
+    for p, name in (("p_value", "vs_zero"), ("p_value_vs_baseline", "vs_baseline"), ("p_value_vs_matched_random", "vs_matched_random")):
+        out = benjamini_hochberg(out, p, name)
+    out = out.withColumn("low_sample_warning", F.col("n_trades") < least)
+    beats = F.col("vs_matched_random_reject") & (F.col("excess_return_vs_matched_random") > 0) & ~F.col("low_sample_warning")
+    return out.withColumn("beats_matched_random", F.coalesce(beats, F.lit(False))).withColumnRenamed("signal", "combination")
+
+
+def sector_disagreements(official: DataFrame, curated: DataFrame) -> DataFrame:
+    """(ticker, curated, official, kind) where the curated sector is missing or another than the official one."""
+    both = official.select("ticker", F.col("sector").alias("official")).join(curated.select("ticker", F.col("sector").alias("curated")), "ticker", "left")
+    kind = F.when(F.col("curated").isNull(), "missing").when(F.col("curated") != F.col("official"), "mismatch")
+    return both.withColumn("kind", kind).filter("kind is not null").select("ticker", F.coalesce("curated", F.lit("(absent -> Unknown)")).alias("curated"), "official", "kind")
+
+
+def repeated_assignments(sectors: DataFrame) -> DataFrame:
+    """Tickers that stand under more than one sector, with all of them in order."""
+    found = sectors.groupBy("ticker").agg(F.array_sort(F.collect_set("sector")).alias("sectors"))
+    return found.filter(F.size("sectors") > 1)
+
+
+def evaluate_events(events: DataFrame, bars: DataFrame, pools: DataFrame, h: int) -> DataFrame:
+    """signal, n_trades, mean_return, excess and p of the events of one configuration."""
+    keys = ["signal", "holding_period"]
+    trades = backtest(events, bars, [h])
+    dated = matched_excess(trades, pools, keys).select(*keys, normal_p(F.col("z_stat")).alias("p"))
+    found = matched_null(trades, pools, keys).join(dated, keys, "left")
+    return found.select("signal", F.col("n_matched").alias("n_trades"), F.col("observed_mean").alias("mean_return"), F.col("excess_return").alias("excess"), "p")
+
+
+def random_sweep(base: object, ranges: dict[str, tuple[float, float]], n: int, label: str, evaluate: Callable[[object], DataFrame]) -> DataFrame:
+    """evaluate for n draws of parameters, each a plan of its own tagged with its draw and values, in one union."""
+    out = None
+    for i, drawn in enumerate(random_grid(ranges, n, label), 1):
+        rows = evaluate(replace(base, **drawn)).withColumns({**{k: F.lit(v) for k, v in drawn.items()}, "draw": F.lit(i)})
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+#: What the sweeps and gaps read, and the signals that read it.
+TARGETED_GRID = {"sweep_penetration": (0.10, 0.25, 0.50, 1.00), "sweep_bars": (1, 3, 6), "gap_min_atr": (0.05, 0.10, 0.25)}
+TARGETED_SIGNALS = ("ict_sweep_sellside_bullish", "ict_sweep_buyside_bearish", "ict_nwog_gap_up", "ict_nwog_gap_down")
+
+
+def targeted_sweep(bars: DataFrame, base: PriceActionParams = PriceActionParams(), h: int = 10, grid: dict[str, Sequence] = TARGETED_GRID) -> DataFrame:
+    """The reformulated signals over all values of their own parameters, a row for each signal and configuration.
+
+    A signal is evaluated once for each setting of what it reads, and repeated over the rest.
+    """
+    pools, out = return_pools(bars, [h]), None
+    for names, detect, signals in ((("sweep_penetration", "sweep_bars"), D.liquidity_sweep, TARGETED_SIGNALS[:2]), (("gap_min_atr",), D.opening_gaps, TARGETED_SIGNALS[2:])):
+        rest = {k: v for k, v in grid.items() if k not in names}
+        rows = sweep(base, {k: grid[k] for k in names}, lambda p, detect=detect, signals=signals: evaluate_events(to_events(detect(bars, p), registry(), signals), bars, pools, h)).drop("config")
+        for k, v in rest.items():
+            rows = rows.withColumn(k, F.explode(F.array(*[F.lit(x) for x in v])))
+        out = rows if out is None else out.unionByName(rows)
+    return out

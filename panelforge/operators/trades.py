@@ -23,13 +23,19 @@ def forward_columns(bars: DataFrame, horizons: Sequence[int] = HORIZONS) -> Data
 
 
 def backtest(events: DataFrame, bars: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
-    """A row for each event and horizon that ends within the series; directions are 1 or -1."""
+    """A row for each event and horizon that ends within the series; directions are 1 or -1.
+
+    An entry that is no positive finite number makes no trade, nor does an exit that is no
+    finite number: such a trade has no return.
+    """
     keep = [c for h in horizons for c in (f"_out_{h}", f"_top_{h}", f"_low_{h}")]
     fwd = forward_columns(bars, horizons).select("ticker", "date", F.col("close").alias("entry_price"), *keep)
     rows = events.drop("close").join(fwd, ["ticker", "date"])
     direction = F.when(F.abs("direction") == 1, F.col("direction")).otherwise(F.raise_error(F.lit("a direction is 1 or -1")).cast("int"))
     legs = F.array(*[F.struct(F.lit(h).alias("holding_period"), F.col(f"_out_{h}").alias("exit_price"), F.col(f"_top_{h}").alias("_top"), F.col(f"_low_{h}").alias("_low")) for h in horizons])
-    rows = rows.filter("entry_price > 0").withColumn("direction", direction).withColumn("_leg", F.explode(legs)).filter("_leg.exit_price is not null")
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rows = rows.filter((F.col("entry_price") > 0) & finite("entry_price")).withColumn("direction", direction)
+    rows = rows.withColumn("_leg", F.explode(legs)).filter(finite("_leg.exit_price"))
     move = lambda c: F.col(c) / F.col("entry_price") - 1
     up = F.col("direction") == 1
     return rows.select(

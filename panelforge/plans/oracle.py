@@ -5,6 +5,9 @@ Common tables are written once, with the ones that they read; a query names what
 
 from __future__ import annotations
 
+from panelforge.functions.distributions import ERF, ERFC, TAIL
+from panelforge.operators.analysis import random_grid
+
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {}
 ORACLE: dict[str, str] = {}
 T = "PARTITION BY ticker ORDER BY date"
@@ -302,12 +305,12 @@ SELECT ticker, count(*) AS n_bars, count(*) FILTER (WHERE disp_up) AS n_up, coun
 HORIZONS = (1, 2, 3, 5, 10, 20, 40, 60)
 
 
-def trade_table(name: str, events: str, horizons: tuple[int, ...]) -> None:
-    legs = " UNION ALL ".join(f"SELECT ticker, date, {h} AS holding_period, close AS entry_price, lead(close, {h}) OVER ({T}) AS exit_price, max(high) OVER ({T} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) AS top, min(low) OVER ({T} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) AS bottom FROM bars" for h in horizons)
-    table(name, f"bars {events}", f"""
+def trade_table(name: str, events: str, horizons: tuple[int, ...], bars: str = "bars") -> None:
+    legs = " UNION ALL ".join(f"SELECT ticker, date, {h} AS holding_period, close AS entry_price, lead(close, {h}) OVER ({T}) AS exit_price, max(high) OVER ({T} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) AS top, min(low) OVER ({T} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) AS bottom FROM {bars}" for h in horizons)
+    table(name, f"{bars} {events}", f"""
   SELECT e.ticker, e.date, signal, direction, ordinal, holding_period, entry_price, exit_price, direction * (exit_price / entry_price - 1) AS fwd_return,
          CASE WHEN direction = 1 THEN top / entry_price - 1 ELSE 1 - bottom / entry_price END AS mfe, CASE WHEN direction = 1 THEN bottom / entry_price - 1 ELSE 1 - top / entry_price END AS mae
-  FROM {events} e JOIN ({legs}) f ON f.ticker = e.ticker AND f.date = e.date WHERE exit_price IS NOT NULL AND entry_price > 0""")
+  FROM {events} e JOIN ({legs}) f ON f.ticker = e.ticker AND f.date = e.date WHERE isfinite(exit_price) AND isfinite(entry_price) AND entry_price > 0""")
 
 
 trade_table("trades", "events_", HORIZONS)
@@ -506,3 +509,65 @@ SELECT signal, 10::BIGINT AS holding_period, {r('any_value(observed_mean)', 'obs
   {r('(count(*) FILTER (WHERE m >= observed_mean - 1e-12) + 1) / (count(*) + 1)', 'p_value')}, {r('(count(*) FILTER (WHERE m <= observed_mean + 1e-12) + 1) / (count(*) + 1)', 'p_value_less')}, count(*) AS n_offsets
 FROM m JOIN ob USING (signal), (SELECT count(*) AS T FROM cal) WHERE o > 10 AND o < T - 11 GROUP BY signal""".lstrip())
 ORACLE["rotation_exact"] = ORACLE["rotation_exact"].replace(")\n, m AS", "),\nm AS")
+
+# Normal tails, and what rests on them
+
+
+def horner(tables: tuple[tuple[float, ...], tuple[float, ...]], x: str) -> str:
+    over, under = tables
+    num, den = f"({over[-1]!r} * {x})", x
+    for a, b in zip(over[: len(under) - 1], under[:-1], strict=True):
+        num, den = f"(({num} + {a!r}) * {x})", f"(({den} + {b!r}) * {x})"
+    return f"(({num} + {over[len(under) - 1]!r}) / ({den} + {under[-1]!r}))"
+
+
+def upper_tail(z: str) -> str:
+    """P(Z > z), x and its square being columns of their own."""
+    positive = f"CASE WHEN abs(x) <= 4 THEN exp(-x * x) * {horner(ERFC, 'abs(x)')} ELSE exp(-x * x) / abs(x) * (0.5641895835477563 - {horner(TAIL, '(1.0 / (x * x))')} / (x * x)) END"
+    return f"(SELECT CASE WHEN abs(x) <= 0.46875 THEN 1 - x * {horner(ERF, '(x * x)')} WHEN x < 0 THEN 2 - ({positive}) ELSE {positive} END / 2 FROM (SELECT {z} / sqrt(2) AS x))"
+
+
+table("tails", "excess_s", f"SELECT *, {upper_tail('z')} AS p FROM {calendar('excess_s', 'excess', 'signal, holding_period', ('m', 'se', 'z'))}")
+query("p_values", "tails", f"SELECT signal, {H}, {r('p', 'p_greater')}, {r('least(1.0, 2 * least(p, 1 - p))', 'p_both')}, {r('p_adjusted', 'greater_adjusted')}, p_reject AS greater_reject FROM " + bh("tails", "p", "p"))
+query("forest_table", "excess_s", f"SELECT signal, {H}, {r('m * 10000', 'excess_bps')}, {r('(m - 1.959963984540054 * se) * 10000', 'lower_bps')}, {r('(m + 1.959963984540054 * se) * 10000', 'upper_bps')}, m - 1.959963984540054 * se > 0 OR m + 1.959963984540054 * se < 0 AS clear FROM {calendar('excess_s', 'excess', 'signal, holding_period', ('m', 'se', 'z'))}")
+
+table("combo_x", "combo_trades pools10", "SELECT t.*, fwd_return - direction * mu AS excess FROM combo_trades t JOIN pools10 USING (ticker, holding_period)")
+table("combo_ranks", "combo_trades combo_x pools10 base10", f"""
+  SELECT *, p_adjusted < 2 AND p_reject AND excess > 0 AND n_trades >= 2 AS beats FROM {bh(f"""(SELECT signal, n_trades, m AS avg_return, d, sharpe, null_mean, excess, {upper_tail('zs')} AS p_srs, {upper_tail('zc')} AS p, cohens_d AS d_base FROM
+    (SELECT signal, holding_period, count(*) AS n_trades, avg(fwd_return) AS m, avg(fwd_return) / stddev_samp(fwd_return) AS d, avg(fwd_return) / stddev_samp(fwd_return) * sqrt(252.0 / holding_period) AS sharpe FROM combo_trades GROUP BY 1, 2)
+    LEFT JOIN (SELECT signal, null_mean, excess_return AS excess, z_stat AS zs FROM {matched('combo_trades', 'pools10', 'signal, holding_period')}) USING (signal)
+    LEFT JOIN (SELECT signal, z AS zc FROM {calendar('combo_x', 'excess', 'signal, holding_period', ('m', 'se', 'z'))}) USING (signal)
+    LEFT JOIN (SELECT signal, cohens_d FROM {welch('combo_trades', 'base10', 'signal, holding_period', 'holding_period')}) USING (signal))""", 'p', 'p')}""")
+query("combination_ranking", "combo_ranks", f"SELECT signal AS combination, n_trades, {r('avg_return')}, {r('null_mean', 'matched_null_mean')}, {r('excess', 'excess_return_vs_matched_random')}, {r('p_srs', 'p_value_vs_matched_random_srs')}, {r('p', 'p_value_vs_matched_random')}, {r('p_adjusted', 'vs_matched_random_adjusted')}, p_reject AS vs_matched_random_reject, coalesce(beats, false) AS beats_matched_random, {r('d', 'effect_size_cohens_d')}, {r('d_base', 'effect_size_vs_baseline')} FROM combo_ranks")
+query("combinations_view", "combo_ranks", f"SELECT row_number() OVER (ORDER BY sharpe DESC NULLS LAST, signal) AS place, signal AS combination, n_trades, {r('sharpe')}, coalesce(beats, false) AS beats_matched_random FROM combo_ranks")
+
+# Views and reports
+query("rankings_view", "x4", f"SELECT signal, {H}, {r('excess_return')}, row_number() OVER (ORDER BY excess_return DESC NULLS LAST, signal) AS rank FROM x4 WHERE holding_period = 10")
+query("sector_bars", "sector_table", f"SELECT sector, {r('excess_return')}, excess_return > 0 AS positive, row_number() OVER (ORDER BY excess_return DESC NULLS LAST, sector) AS place FROM sector_table")
+query("regime_heatmap", "tagged", "SELECT trend_regime, " + ", ".join(r(f"any_value(x) FILTER (WHERE vol_regime = '{v}')", v) for v in ("low_vol", "normal_vol", "high_vol")) + " FROM (SELECT trend_regime, vol_regime, avg(fwd_return - direction * regime_null_long) AS x FROM tagged GROUP BY 1, 2) GROUP BY 1")
+ORACLE["validation_counts"] = "SELECT status, count(*) AS n_tickers FROM (SELECT ticker, status FROM (" + ORACLE["quality_report"] + ") UNION ALL SELECT 'ZZ', 'NO_DATA') GROUP BY status"
+query("timeline", "events_", "SELECT signal, year(date)::BIGINT AS year, count(*) AS n_events FROM events_ GROUP BY 1, 2")
+query("version_compare", "x4", f"SELECT signal, {r('a', 'now')}, {r('b', 'before')}, {r('a - b', 'change')}, sign(a) = sign(b) AS sign_preserved, CASE WHEN b IS NULL THEN 'added' WHEN a IS NULL THEN 'removed' ELSE 'in_both' END AS state FROM (SELECT signal, excess_return AS a FROM x4 WHERE holding_period = 5 AND signal <> 'ict_displacement_bullish') FULL JOIN (SELECT signal, excess_return AS b FROM x4 WHERE holding_period = 10 AND signal <> 'ict_fvg_bullish_formed') USING (signal)")
+ORACLE["section_facts"] = " UNION ALL ".join(
+    f"SELECT '{section}' AS section, '{fact}' AS fact, {r(f'({expr})::DOUBLE', 'value')} FROM ({ORACLE[source]})"
+    for section, source, facts in (
+        ("costs", "breakeven", (("n_signals", "count(*)"), ("n_positive_gross", "count(*) FILTER (WHERE breakeven_bps > 0)"), ("n_positive_excess", "count(*) FILTER (WHERE breakeven_excess_bps > 0)"), ("median_breakeven_bps", "median(breakeven_bps)"))),
+        ("sectors", "sector_power", (("n_sectors", "count(*)"), ("n_powered", "count(*) FILTER (WHERE adequately_powered)"), ("largest_excess_bps", "max(abs(observed_excess_bps))"), ("smallest_mde_bps", "min(mde_bps)"))),
+        ("sweeps", "sweep_stability", (("n_signals", "count(*)"), ("n_responding", "count(*) FILTER (WHERE responds_to_sweep)"), ("n_one_sign", "count(*) FILTER (WHERE sign_consistency = 1)"), ("widest_range_bps", "max(swept_range_bps)"))),
+    )
+    for fact, expr in facts
+)
+ORACLE["sector_disagreements"] = "SELECT o.ticker, coalesce(c.sector, '(absent -> Unknown)') AS curated, o.sector AS official, CASE WHEN c.sector IS NULL THEN 'missing' ELSE 'mismatch' END AS kind FROM (VALUES ('AF', 'A'), ('AO', 'B'), ('NF', 'N'), ('NO', 'N'), ('RF', 'R'), ('RO', 'R')) o(ticker, sector) LEFT JOIN (VALUES ('AF', 'A'), ('AO', 'A'), ('NF', 'N'), ('NO', 'N'), ('RF', 'R')) c(ticker, sector) USING (ticker) WHERE c.sector IS NULL OR c.sector <> o.sector"
+ORACLE["repeated_assignments"] = "SELECT CAST(c_nationkey AS VARCHAR) AS ticker, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS sectors FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1"
+
+# Baselines, random settings, faulty closes
+ORACLE["baseline_event_counts"] = "SELECT signal, direction, count(*) AS n_events FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS signal, CAST({1 if c.endswith('bullish') else -1} AS BIGINT) AS direction FROM ({ORACLE[q]}) WHERE {c}" for q, names in (("ema_cross", ("baseline_ema_cross_bullish", "baseline_ema_cross_bearish")), ("rsi_reversion", ("baseline_rsi_reversion_bullish", "baseline_rsi_reversion_bearish")), ("breakout_52w", ("baseline_52w_breakout_bullish", "baseline_52w_breakout_bearish")), ("momentum_turn", ("baseline_momentum_bullish", "baseline_momentum_bearish")), ("random_entry", ("baseline_random_bullish",))) for c in names) + ") GROUP BY signal, direction"
+drawn = random_grid({"pivot_len": (3, 15), "body_fraction": (0.2, 0.6)}, 6, "sweep")
+for i, d in enumerate(drawn):
+    table(f"rd{i}", "bars", displacement(d["pivot_len"], d["body_fraction"]))
+    table(f"re{i}", f"rd{i}", f"SELECT ticker, date, pos, '{STUDY[0]}' AS signal, 1 AS direction, 0 AS ordinal, close FROM rd{i} WHERE disp_up UNION ALL SELECT ticker, date, pos, '{STUDY[1]}', -1, 1, close FROM rd{i} WHERE disp_dn")
+    trade_table(f"rt{i}", f"re{i}", (10,))
+query("random_sweep", " ".join(f"rt{i}" for i in range(len(drawn))) + " pools10", " UNION ALL ".join(f"SELECT signal, n_matched AS n_trades, {r('observed_mean', 'mean_return')}, {r('excess_return', 'excess')}, {d['pivot_len']}::BIGINT AS pivot_len, {r(repr(d['body_fraction']), 'body_fraction')}, {i + 1}::BIGINT AS draw FROM {matched(f'rt{i}', 'pools10', 'signal, holding_period')}" for i, d in enumerate(drawn)))
+table("bad_bars", "bars", "SELECT * REPLACE (CASE WHEN pos % 31 = 0 THEN 'nan'::DOUBLE WHEN pos % 37 = 0 THEN 'infinity'::DOUBLE WHEN pos % 41 = 0 THEN -close WHEN pos % 43 = 0 THEN 0.0 ELSE close END AS close) FROM bars")
+trade_table("bad_trades", "events_", (1, 5, 10), "bad_bars")
+query("trades_dirty", "bad_trades", f"SELECT ticker, {D}, signal, CAST(direction AS BIGINT) AS direction, {H}, {rs('entry_price', 'exit_price', 'fwd_return', 'mfe', 'mae')} FROM bad_trades")

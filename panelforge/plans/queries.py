@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.functions import distributions as N
 from panelforge.functions.machines import PoolState
 from panelforge.operators import analysis as A
 from panelforge.operators import detectors as D
 from panelforge.operators import events as E
 from panelforge.operators import indicators as I
+from panelforge.operators import reports as V
 from panelforge.operators import resample as R
 from panelforge.operators import states
 from panelforge.operators import stats as S
@@ -23,6 +24,7 @@ from panelforge.sources import panel as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = ["signal", "holding_period"]
+RANDOM_RANGES = {"pivot_len": (3, 15), "body_fraction": (0.2, 0.6)}
 #: Signals of the trade-level queries; their detectors have SQL forms of reasonable length.
 STUDY = [f"ict_{k}" for k in ("displacement_bullish", "displacement_bearish", "volume_imbalance_bullish", "volume_imbalance_bearish", "fvg_bullish_formed", "fvg_bearish_formed")]
 SECTORS = {"AF": "A", "AO": "A", "NF": "N", "NO": "N", "RF": "R"}
@@ -442,16 +444,12 @@ def _excess(spark, sf_dir, horizons=(1, 5, 10, 20)):
 
 @query
 def concept_ranking(spark, sf_dir):
-    order = Window.partitionBy("holding_period").orderBy(F.desc_nulls_last("excess_return"), "signal")
-    return _excess(spark, sf_dir).select(*KEYS, "observed_mean", "excess_return").withColumn("rank", F.row_number().over(order))
+    return A.rank_concepts(_excess(spark, sf_dir).select(*KEYS, "observed_mean", "excess_return"))
 
 
 @query
 def topk_bottomk(spark, sf_dir):
-    best = Window.partitionBy("holding_period").orderBy(F.desc("excess_return"), "signal")
-    worst = Window.partitionBy("holding_period").orderBy("excess_return", "signal")
-    r = _excess(spark, sf_dir).withColumns({"_b": F.row_number().over(best), "_w": F.row_number().over(worst)})
-    return r.filter("_b <= 2 or _w <= 1").select(*KEYS, "excess_return", (F.col("_b") <= 2).alias("best"))
+    return A.best_and_worst(_excess(spark, sf_dir).select(*KEYS, "excess_return"))
 
 
 @query
@@ -514,13 +512,17 @@ def sweep_stability(spark, sf_dir):
 
 @query
 def random_sweep(spark, sf_dir):
-    """Displacement under random parameters within their ranges, as rows of one union."""
-    bars, base = P.bars_from_lineitem(spark, sf_dir), PriceActionParams()
-    out = None
-    for i, draw in enumerate(A.random_grid({"pivot_len": (3, 15), "body_fraction": (0.2, 0.6)}, 6, "sweep")):
-        n = D.displacement(bars, replace(base, **draw)).agg(F.lit(i).alias("config"), F.count_if("ict_displacement_bullish").alias("n_up"), F.count_if("ict_displacement_bearish").alias("n_down"))
-        out = n if out is None else out.unionByName(n)
-    return out
+    """Displacement under random parameters within their ranges, evaluated as in the grid."""
+    bars = P.bars_from_lineitem(spark, sf_dir)
+    pools = S.return_pools(bars, [10])
+    found = lambda p: A.evaluate_events(E.to_events(D.displacement(bars, p), REGISTRY, STUDY[:2]), bars, pools, 10)
+    return A.random_sweep(PriceActionParams(), RANDOM_RANGES, 6, "sweep", found).drop("p")
+
+
+@query
+def targeted_sweep(spark, sf_dir):
+    """Sweep and gap signals over the 36 settings of their own parameters."""
+    return A.targeted_sweep(P.bars_from_lineitem(spark, sf_dir))
 
 
 @query
@@ -591,21 +593,111 @@ def sample_export(spark, sf_dir):
 
 @query
 def headline_facts(spark, sf_dir):
-    """Signals, tickers, trades, span in years, and how many trades won."""
-    t = study(spark, sf_dir)[1]
-    return t.agg(F.count_distinct("signal").alias("n_signals"), F.count_distinct("ticker").alias("n_tickers"), F.count(F.lit(1)).alias("n_trades"), (F.datediff(F.max("date"), F.min("date")) / 365.25).alias("years"), F.count_if(F.col("fwd_return") > 0).alias("n_wins"))
+    return V.headline(study(spark, sf_dir)[1])
 
 
 @query
 def stock_view(spark, sf_dir):
-    t = study(spark, sf_dir)[1].filter("ticker = 'AF'")
-    return t.groupBy("signal", "holding_period").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd_return").alias("avg_return"), F.avg("mfe").alias("avg_mfe"))
+    return V.stock_view(study(spark, sf_dir)[1], "AF")
 
 
 @query
 def concept_view(spark, sf_dir):
-    t = study(spark, sf_dir, [10])[1].filter("signal = 'ict_displacement_bullish'")
-    return t.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.avg("fwd_return").alias("avg_return"), F.percentile("fwd_return", F.lit(0.9)).alias("p90"))
+    return V.concept_view(study(spark, sf_dir, [10])[1], "ict_displacement_bullish")
+
+
+@query
+def rankings_view(spark, sf_dir):
+    return V.rankings_view(_excess(spark, sf_dir).select(*KEYS, "excess_return"), 10)
+
+
+def _ranked_combinations(spark, sf_dir):
+    bars = P.bars_from_lineitem(spark, sf_dir)
+    return A.rank_combinations(study_events(bars), bars, baseline(bars, [10]), 10, 2, 10)
+
+
+@query
+def combination_ranking(spark, sf_dir):
+    return _ranked_combinations(spark, sf_dir).select("combination", "n_trades", "avg_return", "matched_null_mean", "excess_return_vs_matched_random", "p_value_vs_matched_random_srs", "p_value_vs_matched_random", "vs_matched_random_adjusted", "vs_matched_random_reject", "beats_matched_random", "effect_size_cohens_d", "effect_size_vs_baseline")
+
+
+@query
+def combinations_view(spark, sf_dir):
+    return V.combinations_view(_ranked_combinations(spark, sf_dir))
+
+
+@query
+def sector_bars(spark, sf_dir):
+    return V.sector_bars(_sectors(spark, sf_dir))
+
+
+@query
+def regime_heatmap(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    return V.regime_heatmap(A.regime_analysis(t, A.regimes(bars), 10))
+
+
+@query
+def validation_counts(spark, sf_dir):
+    bars = P.bars_from_lineitem(spark, sf_dir)
+    return V.validation_counts(P.quality_report(dirty(bars)), pairs(spark, {**SECTORS, "ZZ": "Z"}, "sector").select("ticker"))
+
+
+@query
+def forest_table(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [1, 5, 10])
+    return V.forest(S.matched_excess(t, S.return_pools(bars, [1, 5, 10]), KEYS))
+
+
+@query
+def timeline(spark, sf_dir):
+    return V.timeline(study_events(P.bars_from_lineitem(spark, sf_dir)))
+
+
+@query
+def version_compare(spark, sf_dir):
+    """The excess of one horizon against another's, as two versions of a table."""
+    x = _excess(spark, sf_dir)
+    return V.compare_versions(x.filter("holding_period = 5 AND signal <> 'ict_displacement_bullish'"), x.filter("holding_period = 10 AND signal <> 'ict_fvg_bullish_formed'"), ["signal"], "excess_return")
+
+
+@query
+def section_facts(spark, sf_dir):
+    bars, t = study(spark, sf_dir, [10])
+    excess = S.with_excess(t, S.return_pools(bars, [10])).groupBy("signal").agg(F.avg("excess").alias("excess"))
+    return V.section_facts(costs=B.breakeven(t, excess), sectors=A.sector_power(_sectors(spark, sf_dir)), sweeps=A.sweep_stability(_swept(spark, sf_dir)))
+
+
+@query
+def sector_disagreements(spark, sf_dir):
+    official = pairs(spark, {"AF": "A", "AO": "B", "NF": "N", "NO": "N", "RF": "R", "RO": "R"}, "sector")
+    return A.sector_disagreements(official, pairs(spark, SECTORS, "sector"))
+
+
+@query
+def repeated_assignments(spark, sf_dir):
+    """Customers' market segments by nation: nations under more than one."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    found = A.repeated_assignments(c.select(F.col("c_nationkey").cast("string").alias("ticker"), F.col("c_mktsegment").alias("sector")))
+    return found.select("ticker", F.array_join("sectors", ",").alias("sectors"))
+
+
+@query
+def p_values(spark, sf_dir):
+    """Normal tails of the calendar-time statistics, one- and two-sided, and their correction."""
+    bars, t = study(spark, sf_dir, [1, 5, 10])
+    x = S.matched_excess(t, S.return_pools(bars, [1, 5, 10]), KEYS).select(*KEYS, N.normal_p(F.col("z_stat")).alias("p_greater"), N.normal_p(F.col("z_stat"), "two-sided").alias("p_both"))
+    return S.benjamini_hochberg(x, "p_greater", "greater")
+
+
+@query
+def trades_dirty(spark, sf_dir):
+    """Trades over closes that are not a number, infinite, zero or negative: none enters or ends there."""
+    bars = P.bars_from_lineitem(spark, sf_dir)
+    events = study_events(bars)
+    pos = F.col("pos")
+    bad = F.when(pos % 31 == 0, float("nan")).when(pos % 37 == 0, float("inf")).when(pos % 41 == 0, -F.col("close")).when(pos % 43 == 0, 0.0).otherwise(F.col("close"))
+    return B.backtest(events, bars.withColumn("close", bad), [1, 5, 10]).select("ticker", "date", "signal", "direction", "holding_period", "entry_price", "exit_price", "fwd_return", "mfe", "mae")
 
 
 # Resampling

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -149,3 +151,25 @@ def is_member(date: Column, added: Column, unknown: str = "keep") -> Column:
     if unknown not in ("keep", "drop"):
         raise ValueError(f"unknown policy {unknown!r}")
     return F.coalesce(date >= added, F.lit(unknown == "keep"))
+
+
+def simulated_bars(spark: SparkSession, n_tickers: int = 500, n_bars: int = 4000, start: str = "2005-01-03", label: str = "panel") -> DataFrame:
+    """Bars of tickers under a common GARCH factor; each ticker's own draws come from its name, so any split gives the same rows."""
+    from panelforge.functions.seeds import rng
+    from panelforge.functions.simulation import garch_path, own_path
+
+    dates = np.busday_offset(start, np.arange(n_bars), roll="forward").astype("datetime64[D]")
+    market = garch_path(rng(f"{label}:market"), n_bars, 0.011, 0.08, 0.90)
+
+    def make(batches):
+        for pdf in batches:
+            for ticker in pdf["ticker"]:
+                gen = rng(f"{label}:{ticker}")
+                r = np.clip(gen.uniform(0.6, 1.4) * market + own_path(gen, n_bars), -0.5, 0.5)
+                close = 100 * np.cumprod(1 + r)
+                open_ = np.concatenate([[100.0], close[:-1]]) * (1 + gen.normal(0, 0.002, n_bars))
+                spread = np.abs(gen.normal(0, 0.006, (2, n_bars)))
+                yield pd.DataFrame({"ticker": ticker, "date": dates.astype(object), "open": open_, "high": np.maximum(open_, close) * (1 + spread[0]), "low": np.minimum(open_, close) * (1 - spread[1]), "close": close, "volume": np.floor(gen.lognormal(13, 0.5, n_bars))})
+
+    names = spark.range(n_tickers).select(F.format_string("T%05d", "id").alias("ticker")).repartition(max(1, min(n_tickers, n_bars * n_tickers // 50_000)))
+    return with_position(names.mapInPandas(make, "ticker string, date date, open double, high double, low double, close double, volume double"))

@@ -78,3 +78,24 @@ def check_artifacts(spark: SparkSession, expected: Mapping[str, tuple[int, Itera
         if (n := df.count()) < least:
             faults.append(f"{path}: {n} rows, not {least}")
     return faults
+
+
+def save_snapshot(df: DataFrame, path: str) -> None:
+    """A report-sized table as one CSV with a header, for eyes and for later comparison."""
+    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.csv(path, header=True, schema=schema)
+
+
+def check_invariants(df: DataFrame, rules: Mapping[str, str]) -> list[str]:
+    """Rules (conditions that every row meets) that some rows break, with their number; one pass over the table."""
+    row = df.agg(*[F.count_if(~F.coalesce(F.expr(rule), F.lit(False))).alias(f"n{i}") for i, rule in enumerate(rules.values())]).first()
+    return [f"{name}: {n} rows" for name, n in zip(rules, row, strict=True) if n]
+
+
+def copy_sample(bars: DataFrame, path: str, limit: int) -> DataFrame:
+    """The first tickers by name, with all of their bars, as a panel of its own."""
+    names = bars.select("ticker").distinct().orderBy("ticker").limit(limit)  # limit names
+    return write_table(bars.join(F.broadcast(names), "ticker", "left_semi"), path, ["ticker"])

@@ -174,5 +174,5 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_empty_panel(spark):
     none = panel(spark, walk(5)).filter("pos > 9")
-    assert E.to_events(E.detect_all(none)).count() == 0
-    assert isinstance(dt.date.today(), dt.date)
+    wide = E.detect_all(none)
+    assert E.to_events(wide).count() == 0 and wide.columns == E.detect_all(panel(spark, walk(5))).columns
