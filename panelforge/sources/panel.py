@@ -13,8 +13,10 @@ BARS = "ticker string, date date, open double, high double, low double, close do
 
 
 def read_panel(spark: SparkSession, path: str, tickers: Sequence[str] | None = None, repair: bool = True) -> DataFrame:
-    """A folder with one Parquet file for each ticker, named after it; the first of equal dates stays."""
-    rows = spark.read.parquet(path).withColumn("ticker", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1))
+    """A folder with one Parquet file for each ticker, named after it, or partitioned by ticker; the first of equal dates stays."""
+    rows = spark.read.parquet(path)
+    if "ticker" not in rows.columns:
+        rows = rows.withColumn("ticker", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1))
     if tickers is not None:
         rows = rows.filter(F.col("ticker").isin(list(tickers)))
     rows = first_of_date(rows.withColumn("date", F.to_date("date")))
