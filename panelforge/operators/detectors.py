@@ -128,23 +128,38 @@ def block_edge(df: DataFrame, source: str, size: int, swing: str, side: str, fir
     return df.withColumn(name, pick(held(F.col("_old")), since)).drop("_old")
 
 
+#: Bars of a stretch whose extremes are kept.
+STRETCH = 64
+
+
 def mitigations(df: DataFrame, blocks: dict[str, tuple[str, str, str, bool]], cap: int | None) -> DataFrame:
     """For each name of blocks: the bars on which some block is first passed, from the bar that forms it on.
 
     A name's value is (formed, edge, probe, rising): where blocks form, their edge, and the
     column that passes it, below for rising blocks and above for others. A block's search ends
-    where the cap pushes it out, cap blocks of its kind later. Blocks meet the later bars of
-    their ticker alone, all kinds in one join.
+    where the cap pushes it out, cap blocks of its kind later. Blocks meet the extremes of the
+    later stretches of their ticker, all kinds in one join, and then the bars of two stretches.
     """
     kinds = F.array_compact(F.array(*[F.when(F.col(formed), F.struct(F.lit(name).alias("kind"), F.col(edge).alias("edge"))) for name, (formed, edge, _, _) in blocks.items()]))
     rows = df.select("ticker", F.col("pos").alias("_from"), F.explode(kinds).alias("_k")).select("ticker", "_from", "_k.*")
     order = Window.partitionBy("ticker", "kind").orderBy("_from")
     rows = rows.withColumn("_to", F.lead("_from", cap).over(order) if cap else F.lit(None).cast("int"))
     probes = sorted({probe for _, _, probe, _ in blocks.values()})
-    passed = F.lit(False)
-    for name, (_, _, probe, rising) in blocks.items():
-        passed = F.when(F.col("kind") == name, F.col(probe) < F.col("edge") if rising else F.col(probe) > F.col("edge")).otherwise(passed)
-    hits = rows.join(df.select("ticker", "pos", *probes), "ticker").filter((F.col("pos") >= F.col("_from")) & passed)
+
+    def passed(value) -> Column:
+        out = F.lit(False)
+        for name, (_, _, probe, rising) in blocks.items():
+            out = F.when(F.col("kind") == name, F.col(value(probe, rising)) < F.col("edge") if rising else F.col(value(probe, rising)) > F.col("edge")).otherwise(out)
+        return out
+
+    # stretches of bars and their extremes: a block looks for its first stretch, then for the bar there
+    bars = df.select("ticker", "pos", *probes).withColumn("_at", F.floor(F.col("pos") / STRETCH).cast("int"))
+    extremes = bars.groupBy("ticker", F.col("_at").alias("_later")).agg(*[f(c).alias(f"_{n}_{c}") for c in probes for n, f in (("least", F.min), ("most", F.max))])
+    rows = rows.withColumn("_own", F.floor(F.col("_from") / STRETCH).cast("int"))
+    later = rows.join(extremes, "ticker").filter((F.col("_later") > F.col("_own")) & passed(lambda c, rising: f"_least_{c}" if rising else f"_most_{c}"))
+    later = later.groupBy(*rows.columns).agg(F.min("_later").alias("_at"))
+    looked = later.unionByName(rows.withColumn("_at", F.col("_own")))
+    hits = looked.join(bars, ["ticker", "_at"]).filter((F.col("pos") >= F.col("_from")) & passed(lambda c, _: c))
     hits = hits.groupBy("ticker", "kind", "_from").agg(F.min("pos").alias("pos"), F.first("_to").alias("_to"))
     hits = hits.filter(F.col("_to").isNull() | (F.col("pos") < F.col("_to")))
     hits = hits.groupBy("ticker", "pos").agg(*[F.bool_or(F.col("kind") == name).alias(name) for name in blocks])
