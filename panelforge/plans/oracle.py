@@ -571,3 +571,5 @@ query("random_sweep", " ".join(f"rt{i}" for i in range(len(drawn))) + " pools10"
 table("bad_bars", "bars", "SELECT * REPLACE (CASE WHEN pos % 31 = 0 THEN 'nan'::DOUBLE WHEN pos % 37 = 0 THEN 'infinity'::DOUBLE WHEN pos % 41 = 0 THEN -close WHEN pos % 43 = 0 THEN 0.0 ELSE close END AS close) FROM bars")
 trade_table("bad_trades", "events_", (1, 5, 10), "bad_bars")
 query("trades_dirty", "bad_trades", f"SELECT ticker, {D}, signal, CAST(direction AS BIGINT) AS direction, {H}, {rs('entry_price', 'exit_price', 'fwd_return', 'mfe', 'mae')} FROM bad_trades")
+for unit, plural in (("week", "weekly"), ("month", "monthly")):
+    query(f"{plural}_bars", "bars", f"SELECT ticker, CAST(CAST(date_trunc('{unit}', date) AS DATE) AS VARCHAR) AS {unit}, {r('arg_min(open, date)', 'open')}, {r('max(high)', 'high')}, {r('min(low)', 'low')}, {r('arg_max(close, date)', 'close')}, {r('sum(volume)', 'volume')}, count(*) AS n_bars FROM bars GROUP BY ticker, date_trunc('{unit}', date)")

@@ -21,6 +21,7 @@ from panelforge.operators import stats as S
 from panelforge.operators import trades as B
 from panelforge.params import BASELINES, HORIZONS, REGISTRY, PriceActionParams
 from panelforge.sources import panel as P
+from panelforge.streaming.rollup import monthly, weekly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = ["signal", "holding_period"]
@@ -700,6 +701,11 @@ def trades_dirty(spark, sf_dir):
     return B.backtest(events, bars.withColumn("close", bad), [1, 5, 10]).select("ticker", "date", "signal", "direction", "holding_period", "entry_price", "exit_price", "fwd_return", "mfe", "mae")
 
 
+over_rollup = lambda name, fold: QUERIES.__setitem__(name, lambda spark, sf_dir: shaped(fold(P.bars_from_lineitem(spark, sf_dir))))
+over_rollup("weekly_bars", weekly)
+over_rollup("monthly_bars", monthly)
+
+
 # Resampling
 
 
