@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -136,16 +137,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pack(a: np.ndarray) -> bytes:
+@lru_cache(maxsize=1)
+def _zstd():
+    """One compressor and one decompressor for each worker process: making them costs more than a small array does."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def unpack(b: bytes, dtype) -> np.ndarray:
-    import zstandard
+def pack(a: np.ndarray) -> bytes:
+    return _zstd()[0].compress(np.ascontiguousarray(a).tobytes())
+
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
+def unpack(b: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(_zstd()[1].decompress(b), dtype=dtype)
 
 
 class WordMemo:

@@ -237,9 +237,10 @@ def score_documents(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame
         return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "size": [s.size], "filter": [s.bits.tobytes()]})
 
     def build_and_probe(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, keys, total, _ = merged(pdf)
+        own, keys, total, which = merged(pdf)
         s = Segment.build(keys[total > 0], quantise(total[total > 0]), p)
-        return pd.DataFrame({"bucket": pdf["bucket"], "chunk": pdf["chunk"], "answer": [pack(s.levels(k)) for k in own]})
+        ends = np.cumsum([len(k) for k in own])
+        return pd.DataFrame({"bucket": pdf["bucket"], "chunk": pdf["chunk"], "answer": [pack(x) for x in np.split(s.levels(keys)[which], ends[:-1])]})
 
     one = "bucket int, chunk long, keys binary, counts binary"
     words = arrow_map(chunks.select("chunk", *payload), word_counts, one)
