@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.operators import detectors as D
-from panelforge.operators.states import live_blocks, shifts_and_pools
+from panelforge.operators.states import all_machines
 from panelforge.params import BASELINES, MIN_BARS, REGISTRY, BaselineParams, PriceActionParams, StructureParams
 from panelforge.sources.panel import long_enough
 
@@ -50,13 +50,12 @@ def detect_all(bars: DataFrame, pa: PriceActionParams = D.PA, st: StructureParam
     df = D.displacement(bars, pa)
     df = D.volume_imbalance(df)
     df = D.balanced_range(D.fair_value_gap(df, pa))
-    df = shifts_and_pools(df, pa)
     df = D.order_blocks(df, pa)
     df = D.liquidity_sweep(df, pa)
     df = D.opening_gaps(df, pa)
-    df = live_blocks(df, st)
     df = D.equal_levels(df, st)
     df = D.adaptive_gap(df, st)
+    df = all_machines(df, pa, st)
     for fn, _ in EXTRA.values():
         df = fn(df)
     return df

@@ -26,32 +26,42 @@ def _mapped(df: DataFrame, run, outputs: tuple[str, ...]) -> DataFrame:
     return df.groupBy("ticker").applyInPandas(whole, schema)
 
 
+def _shifts_and_pools(pdf: pd.DataFrame, p: PriceActionParams):
+    shift, pool = ShiftState(), PoolState(p)
+    for close, top, bottom, ph, pl, a in values(pdf, "close", "_sh", "_sl", "_ph", "_pl", "_atr"):
+        yield (*shift.step(close, top, bottom), *pool.step(close, ph, pl, a))
+
+
+def _blocks(pdf: pd.DataFrame, p: StructureParams):
+    states = [BlockState(p.ob_cap), BlockState(p.ob_cap)]
+    for high, low, *rest in values(pdf, "high", "low", *[f"_{s}_{c}" for s in ("smc_swing", "smc_internal") for c in ("up", "btm", "dn", "top")]):
+        out: list[bool] = []
+        for k, state in enumerate(states):
+            up, floor, down, ceiling = rest[4 * k : 4 * k + 4]
+            out += state.step(high, low, floor if up else None, ceiling if down else None)
+        yield tuple(out)
+
+
+MITIGATED = tuple(c for c in STRUCTURE if c.endswith("_mitigated"))
+
+
 def shifts_and_pools(df: DataFrame, p: PriceActionParams = PA) -> DataFrame:
     """ict_mss_*, ict_bos_* and ict_liquidity_* in one pass over each ticker."""
     df = atr(zigzag(df, p), p.pool_atr, "_atr")
-
-    def run(pdf: pd.DataFrame):
-        shift, pool = ShiftState(), PoolState(p)
-        for close, top, bottom, ph, pl, a in values(pdf, "close", "_sh", "_sl", "_ph", "_pl", "_atr"):
-            yield (*shift.step(close, top, bottom), *pool.step(close, ph, pl, a))
-
-    return _mapped(df, run, ShiftState.outputs + PoolState.outputs).drop("_sh", "_sl", "_ph", "_pl", "_atr")
+    return _mapped(df, lambda pdf: _shifts_and_pools(pdf, p), ShiftState.outputs + PoolState.outputs).drop("_sh", "_sl", "_ph", "_pl", "_atr")
 
 
 def live_blocks(df: DataFrame, p: StructureParams = ST) -> DataFrame:
     """The structure detector with its cap on live blocks: breaks by Windows, blocks by state."""
     keep = df.columns
-    df = both_scales(df, p)
-    outputs = [c for c in STRUCTURE if c.endswith("_mitigated")]
-
-    def run(pdf: pd.DataFrame):
-        states = [BlockState(p.ob_cap), BlockState(p.ob_cap)]
-        scales = ("smc_swing", "smc_internal")
-        for high, low, *rest in values(pdf, "high", "low", *[f"_{s}_{c}" for s in scales for c in ("up", "btm", "dn", "top")]):
-            out: list[bool] = []
-            for k, state in enumerate(states):
-                up, floor, down, ceiling = rest[4 * k : 4 * k + 4]
-                out += state.step(high, low, floor if up else None, ceiling if down else None)
-            yield tuple(out)
-
-    return _mapped(df, run, tuple(outputs)).select(*keep, *STRUCTURE)
+    return _mapped(both_scales(df, p), lambda pdf: _blocks(pdf, p), MITIGATED).select(*keep, *STRUCTURE)
+
+
+def all_machines(df: DataFrame, pa: PriceActionParams = PA, st: StructureParams = ST) -> DataFrame:
+    """Both of the above with all Windows before them and one pass over each ticker."""
+    keep, own = df.columns, ShiftState.outputs + PoolState.outputs
+    df = both_scales(atr(zigzag(df, pa), pa.pool_atr, "_atr"), st)
+    inputs = ("_sh", "_sl", "_ph", "_pl", "_atr", *[f"_{s}_{c}" for s in ("smc_swing", "smc_internal") for c in ("up", "btm", "dn", "top")])
+    df = df.select(*keep, *inputs, *[c for c in STRUCTURE if c not in MITIGATED])
+    run = lambda pdf: (x + y for x, y in zip(_shifts_and_pools(pdf, pa), _blocks(pdf, st), strict=True))
+    return _mapped(df, run, own + MITIGATED).select(*keep, *own, *STRUCTURE)
