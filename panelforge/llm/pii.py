@@ -188,7 +188,7 @@ def fit(texts: list[str], p: PiiParams = PiiParams()) -> Tagger:
     return tagger
 
 
-def find_all(texts: list[str], tagger: Tagger, slab: int = 1_000_000) -> list[tuple[list[Span], list[Span]]]:
+def find_all(texts: list[str], tagger: Tagger, slab: int = 2_000_000) -> list[tuple[list[Span], list[Span]]]:
     """Base spans, and all spans, of each text; the tagger reads every character, some texts at a time."""
     out: list[tuple[list[Span], list[Span]]] = []
     order = lambda s: (s[1], KINDS.index(s[0]))
