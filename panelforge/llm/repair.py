@@ -93,10 +93,10 @@ class Shard:
         return gather(symbols[first : last + 1], lengths, places, flat)[start - skipped : max(stop, start) - skipped]
 
 
-def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: int | None = None, min_uses: int = 8, bits: int = 18, within: int = 4) -> Shard:
+def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: int | None = None, min_uses: int = 8, bits: int = 18, within: int = 8) -> Shard:
     """Rounds that each replace the most frequent pairs until no pair has min_uses uses.
 
-    All pairs are counted exactly. A round takes the pairs with at least a within-th of the
+    Pairs are counted exactly. A round takes the pairs with at least a within-th of the
     highest count, and of overlapping places the more frequent pair's (the first, third, ... of
     a run of one pair); a pair that keeps too few places so waits for a later round, while the
     most frequent one always goes through. A pair with too few uses never gets more, so a round
@@ -126,17 +126,29 @@ def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: in
         a, b = seq[at], seq[after[at]]
         slot = a * np.uint32(2654435761) + b * np.uint32(2246822519)
         slot = (slot ^ (slot >> np.uint32(15))) & np.uint32((1 << bits) - 1)
-        some = (np.bincount(slot, minlength=1 << bits) >= min_uses)[slot]
-        live[at[~some]] = False
-        at, key = at[some], (a[some].astype(np.uint64) << np.uint64(24)) | b[some]
-        order = np.argsort(key)
-        ordered = key[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
-        count = np.diff(np.append(first, len(ordered)))
-        if not len(count) or count.max() < min_uses:
+        shared = np.bincount(slot, minlength=1 << bits)[slot]  # at least the count of the place's pair
+        live[at[shared < min_uses]] = False
+        enough = shared >= min_uses
+        at, a, b, shared = at[enough], a[enough], b[enough], shared[enough]
+        if not len(at):
             break
+        # pairs with so many uses are all among the places whose slots have as many
+        wanted = int(shared.max())
+        while True:
+            wanted = max(min_uses, -(-wanted // within))
+            some = np.flatnonzero(shared >= wanted)
+            key = (a[some].astype(np.uint64) << np.uint64(24)) | b[some]
+            order = np.argsort(key)
+            ordered = key[order]
+            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            count = np.diff(np.append(first, len(ordered)))
+            hot = np.flatnonzero(count >= wanted)
+            if len(hot) or wanted == min_uses:
+                break
+        at = at[some]
         live[at[order[np.repeat(count < min_uses, count)]]] = False
-        hot = np.flatnonzero(count >= max(min_uses, -(-int(count.max()) // within)))
+        if not len(hot):
+            continue
         place = np.full(len(count), none, np.int32)
         place[hot[np.argsort(-count[hot], kind="stable")]] = np.arange(len(hot), dtype=np.int32)
         which = np.empty(len(at), np.int32)
