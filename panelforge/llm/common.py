@@ -183,3 +183,16 @@ class WordMemo:
         if missing:
             young.update(zip(missing, self.compute(missing), strict=True))
         return young
+
+    def values(self, words: list) -> list:
+        """The value of each of these words, which may repeat."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young = self.young
+        out = list(map(young.get, words))
+        absent = [i for i, v in enumerate(out) if v is None]
+        if absent:
+            self.table({words[i] for i in absent})
+            for i in absent:
+                out[i] = self.young[words[i]]
+        return out

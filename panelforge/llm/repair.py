@@ -101,9 +101,30 @@ def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: in
     a run of one pair); a pair that keeps too few places so waits for a later round, while the
     most frequent one always goes through. A pair with too few uses never gets more, so a round
     reads only the places that had enough and those around new symbols. Slots of a table of
-    2**bits are counted first: what shares a slot with too few others needs no exact count.
+    2**bits count first: what shares a slot with too few others needs no exact count. The table
+    follows every place that ends or changes, so a round hashes new pairs only.
     rounds, if given, is a bound. Ids must be below base, symbols below 2**24.
     """
+
+    def slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a * np.uint32(2654435761) + b * np.uint32(2246822519)
+        return ((x ^ (x >> np.uint32(15))) & np.uint32((1 << bits) - 1)).astype(np.intp)
+
+    def tally(places: np.ndarray, step: int) -> None:
+        if len(places) << 4 > 1 << bits:
+            table[:] += step * np.bincount(slot.take(places), minlength=1 << bits)
+        else:
+            np.add.at(table, slot.take(places), step)
+
+    def ordering(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of keys of so many bits, and the keys in it: sorted with their places below them if both fit."""
+        low = len(key).bit_length()
+        if width + low > 64:
+            order = np.argsort(key)
+            return order, key[order]
+        packed = np.sort((key << np.uint64(low)) | np.arange(len(key), dtype=np.uint64))
+        return (packed & np.uint64((1 << low) - 1)).astype(np.intp), packed >> np.uint64(low)
+
     tokens = np.array([len(d) for d in docs], dtype=np.int64)
     seq = np.concatenate([*docs, np.empty(0, np.uint32)]).astype(np.uint32)
     if len(seq) and int(seq.max()) >= base:
@@ -120,33 +141,34 @@ def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: in
     size, top, r, least = np.ones(base, np.int64), base, 0, max(2, min_uses // 2)
     none = np.int32(2**31 - 1)
     rank = np.full(n + 1, none, np.int32)  #: of the pair at a place, in this round
+    won = np.zeros(n + 1, bool)
+    slot = np.zeros(n, np.intp)  #: of the pair at a live place
+    slot[:-1] = slots(seq[:-1], seq[1:])
+    table = np.bincount(slot[live[:-1]], minlength=1 << bits).astype(np.int32)  #: live places of each slot
     while rounds is None or r < rounds:
         r += 1
         at = np.flatnonzero(live)
-        a, b = seq[at], seq[after[at]]
-        slot = a * np.uint32(2654435761) + b * np.uint32(2246822519)
-        slot = (slot ^ (slot >> np.uint32(15))) & np.uint32((1 << bits) - 1)
-        shared = np.bincount(slot, minlength=1 << bits)[slot]  # at least the count of the place's pair
-        live[at[shared < min_uses]] = False
-        enough = shared >= min_uses
-        at, a, b, shared = at[enough], a[enough], b[enough], shared[enough]
-        if not len(at):
-            break
+        shared = table.take(slot.take(at))  # at least the count of the place's pair
+        live[at] = shared >= min_uses
+        table *= table >= min_uses
+        half = top.bit_length()
         # pairs with so many uses are all among the places whose slots have as many
-        wanted = int(shared.max())
+        wanted = int(table.max())
+        if not wanted:
+            break
         while True:
             wanted = max(min_uses, -(-wanted // within))
-            some = np.flatnonzero(shared >= wanted)
-            key = (a[some].astype(np.uint64) << np.uint64(24)) | b[some]
-            order = np.argsort(key)
-            ordered = key[order]
+            some = at.take(np.flatnonzero(shared >= wanted))
+            order, ordered = ordering((seq[some].astype(np.uint64) << np.uint64(half)) | seq[after[some]], 2 * half)
             first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
             count = np.diff(np.append(first, len(ordered)))
             hot = np.flatnonzero(count >= wanted)
             if len(hot) or wanted == min_uses:
                 break
-        at = at[some]
-        live[at[order[np.repeat(count < min_uses, count)]]] = False
+        at = some
+        few = at[order[np.repeat(count < min_uses, count)]]
+        live[few] = False
+        tally(few, -1)
         if not len(hot):
             continue
         place = np.full(len(count), none, np.int32)
@@ -165,13 +187,15 @@ def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: in
         rank[here] = none
         used = np.bincount(mine, minlength=len(hot)) >= least
         if not used.any():  # runs of the most frequent pair are too short to use it often
-            live[here[ranks == 0]] = False
+            few = here[ranks == 0]
+            live[few] = False
+            tally(few, -1)
             continue
         wins, mine = wins[used[mine]], mine[used[mine]]
         pairs = np.empty(len(hot), np.uint64)
         pairs[place[hot]] = ordered[first[hot]]
         pairs, name = pairs[used], np.cumsum(used) - 1
-        lo, hi = (pairs >> np.uint64(24)).astype(np.int64), (pairs & np.uint64((1 << 24) - 1)).astype(np.int64)
+        lo, hi = (pairs >> np.uint64(half)).astype(np.int64), (pairs & np.uint64((1 << half) - 1)).astype(np.int64)
         left.append(lo)
         right.append(hi)
         lengths.append(size[lo] + size[hi])
@@ -179,10 +203,19 @@ def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: in
         seq[wins] = top + name[mine]
         second = after[wins]
         beyond = after[second]
-        gone[second], live[second] = True, False
+        gone[second] = True
         after[wins], before[beyond] = beyond, wins
-        live[wins], live[before[wins]] = beyond < n, True
-        live[n] = False
+        # the pairs that the new symbols begin or end; a symbol may end one and begin another
+        won[wins], won[n] = True, True
+        ahead = before[wins]
+        ahead = ahead[~won[ahead]]
+        won[wins] = False
+        old = np.concatenate([wins, second, ahead])
+        tally(old[live[old]], -1)
+        live[second], live[wins] = False, beyond < n
+        new = np.concatenate([wins[beyond < n], ahead])
+        live[ahead], slot[new] = True, slots(seq[new], seq[after[new]])
+        tally(new, 1)
         top += len(pairs)
         if top > 1 << 24:
             raise ValueError("more symbols than 24 bits name")

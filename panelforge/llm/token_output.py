@@ -26,7 +26,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, s
     the shard. A worker holds the documents of one shard at a time.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 2000)
+    bounded_batches(spark, 8000)  # the more texts at once, the fewer distinct words in all; bytes are bounded too
     rows = docs.select("doc_id", "text")
     rows = rows.repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 from functools import lru_cache
+from operator import attrgetter
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,10 @@ _ODD_SPACE = "[\t\x0b\x0c\r\x1c-\x1f\x00\u0085\u00a0\u1680\u2000-\u200a\u2028\u2
 #: Letters below U+0250 of which each has one small form.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 
-#: How byte-level vocabularies write the bytes that aren't printable: 256 onwards, in order.
-_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+_PLAIN = frozenset([*range(33, 127), *range(161, 173), *range(174, 256)])
+
+#: How byte-level vocabularies write each byte: those that aren't printable from 256 onwards, in order.
+_SHOWN = "".join(chr(b if b in _PLAIN else 256 + sum(x not in _PLAIN for x in range(b))) for b in range(256))
 
 
 class Encoder:
@@ -48,30 +53,32 @@ class Encoder:
         out = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in out]
 
-    def _word(self, word: str) -> bytes:
+    def _words(self, words: list[str]) -> list[bytes]:
         """Letters below U+0250 are one word to either pre-tokenizer; the model gets their bytes."""
-        shown = word.encode().decode("latin-1").translate(_SHOWN) if not word.isascii() else word
-        tokens = self.tokenizer.model.tokenize(("\u0120" if self.prefix else "") + shown)
-        return array(self.code, [t.id for t in tokens]).tobytes()
+        if not words:
+            return []
+        shown = charmap_decode("\n".join(words).encode(), "strict", _SHOWN)[0].split(_SHOWN[10])
+        tokenize, number = self.tokenizer.model.tokenize, attrgetter("id")
+        return [array(self.code, map(number, tokenize(w))).tobytes() for w in shown]
 
     def _encode(self, stems: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        later: list[int] = []
-        skip = len(self.prefix)
-        for i, w in enumerate(stems):
-            if self.letters(w):
-                out.append(self._word(w[skip:]))
-            else:
-                out.append(b"")
-                later.append(i)
-        for i, ids in zip(later, self._raw([stems[i] for i in later]), strict=True):
-            out[i] = ids
-        return out
+        """Either pre-tokenizer cuts a run of marks from the letters before it, so these have their own ids."""
+        plain = [w for w in stems if self.letters(w)]
+        ids = dict(zip(plain, self._words(plain), strict=True))
+        others = [w for w in stems if w not in ids]
+        heads = [w.rstrip(punctuation) for w in others]
+        heads = [h if self.letters(h) else "" for h in heads]
+        tails = [w[len(h) :] for w, h in zip(others, heads, strict=True)]
+        heads = heads if self.prefix else [h.lower() for h in heads]
+        words, rest = list(set(heads) - {""}), list(set(tails) - {""})
+        before = dict(zip(words, self._words(words), strict=True)) | {"": b""}
+        after = dict(zip(rest, self._raw(rest), strict=True)) | {"": b""}
+        ids.update((w, before[h] + after[t]) for w, h, t in zip(others, heads, tails, strict=True))
+        return [ids[w] for w in stems]
 
     def _tables(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Length of the ids of each of these words, and all of their ids."""
-        table = self.memo.table(set(words))
-        ids = list(map(table.__getitem__, words))
+        ids = self.memo.values(words)
         return np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype().itemsize, np.frombuffer(b"".join(ids), self.dtype)
 
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +90,7 @@ class Encoder:
         if not self.prefix:  # this vocabulary has small letters only
             stems = pc.if_else(pc.match_substring_regex(stems, f"\\A[{_LETTERS}]+\\z"), pc.utf8_lower(stems), stems)
         coded = stems.dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         lengths, flat = self._tables([*known, "", ",", "."])
         cut = cut.to_numpy(zero_copy_only=False)
         tail = len(known) + np.where(cut, np.where(comma.to_numpy(zero_copy_only=False), 1, 2), 0)
