@@ -72,6 +72,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 32)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
+def keep_blocks() -> None:
+    """Freed arrays of up to 32 MB are used again by this process, not mapped and cleared anew, until give_back."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 27)  # M_TRIM_THRESHOLD
+
+
 def give_back() -> None:
     """What a finished task leaves free in this process goes back to the machine."""
     gc.collect()
@@ -192,7 +200,12 @@ class WordMemo:
         out = list(map(young.get, words))
         absent = [i for i, v in enumerate(out) if v is None]
         if absent:
-            self.table({words[i] for i in absent})
-            for i in absent:
-                out[i] = self.young[words[i]]
+            names = [words[i] for i in absent]
+            found = dict(zip(names, map(self.old.get, names), strict=True))
+            missing = [w for w, v in found.items() if v is None]
+            if missing:
+                found.update(zip(missing, self.compute(missing), strict=True))
+            young.update(found)
+            for i, w in zip(absent, names, strict=True):
+                out[i] = found[w]
         return out

@@ -18,6 +18,7 @@ from functools import cached_property
 
 import numpy as np
 
+from panelforge.llm.common import mix64
 from panelforge.llm.tokenize import gather
 
 MAGIC = b"RPG1"
@@ -98,128 +99,133 @@ def build(doc_ids: list, docs: list[np.ndarray], base: int = 1 << 16, rounds: in
 
     Pairs are counted exactly. A round takes the pairs with at least a within-th of the
     highest count, and of overlapping places the more frequent pair's (the first, third, ... of
-    a run of one pair); a pair that keeps too few places so waits for a later round, while the
-    most frequent one always goes through. A pair with too few uses never gets more, so a round
-    reads only the places that had enough and those around new symbols. Slots of a table of
-    2**bits count first: what shares a slot with too few others needs no exact count. The table
-    follows every place that ends or changes, so a round hashes new pairs only.
+    a run of one pair; of equal counts that of the smaller digest, so that a passage of ascending
+    ids takes few rounds too); a pair that keeps too few places so waits for a later round, while the
+    most frequent one always goes through. All places of a pair come about in one round, that of
+    the younger of its symbols, and only go from then on. So each place is sorted once, when its
+    pair comes about, counts are kept as places go, and a round reads the places of its own pairs
+    only. Of many new places, slots of a table of 2**bits count first: what shares a slot with too
+    few others isn't sorted.
     rounds, if given, is a bound. Ids must be below base, symbols below 2**24.
     """
 
     def slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x = a * np.uint32(2654435761) + b * np.uint32(2246822519)
-        return ((x ^ (x >> np.uint32(15))) & np.uint32((1 << bits) - 1)).astype(np.intp)
-
-    def tally(places: np.ndarray, step: int) -> None:
-        if len(places) << 4 > 1 << bits:
-            table[:] += step * np.bincount(slot.take(places), minlength=1 << bits)
-        else:
-            np.add.at(table, slot.take(places), step)
-
-    def ordering(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The order of keys of so many bits, and the keys in it: sorted with their places below them if both fit."""
-        low = len(key).bit_length()
-        if width + low > 64:
-            order = np.argsort(key)
-            return order, key[order]
-        packed = np.sort((key << np.uint64(low)) | np.arange(len(key), dtype=np.uint64))
-        return (packed & np.uint64((1 << low) - 1)).astype(np.intp), packed >> np.uint64(low)
+        x = a * np.uint32(2654435761)
+        x += b * np.uint32(2246822519)
+        x ^= x >> np.uint32(15)
+        x &= np.uint32((1 << bits) - 1)
+        return x.astype(np.intp)
+
+    def ascending(at: np.ndarray) -> np.ndarray:
+        """These places in order, each once: neighbours are looked up far faster so."""
+        if len(at) << 4 > n:
+            marked[at] = True
+            out = np.flatnonzero(marked)
+            marked[out] = False
+            return out
+        at = np.sort(at).astype(np.intp)
+        return at.compress(np.append(True, at[1:] != at[:-1])[: len(at)])
+
+    def enter(at: np.ndarray) -> None:
+        """Numbers the pairs at these places, all new, that have enough uses."""
+        nonlocal keys, uses, begins, spans, held
+        a, b = seq.take(at), seq.take(after.take(at))
+        if held and len(at) << 4 > 1 << bits:  # most pairs of ids have enough uses, few of new symbols do
+            slot = slots(a, b)
+            some = np.flatnonzero(np.bincount(slot, minlength=1 << bits).take(slot) >= min_uses)
+            at, a, b = at.take(some), a.take(some), b.take(some)
+        half, low = top.bit_length(), n.bit_length()
+        key = a.astype(np.uint64) << np.uint64(half)
+        key |= b
+        if 2 * half + low > 64:
+            order = np.lexsort((at, key))
+            key, at = key.take(order), at.take(order)
+        else:  # sorted with their places below them
+            key <<= np.uint64(low)
+            key |= at.astype(np.uint64)
+            key.sort()
+            at = (key & np.uint64((1 << low) - 1)).astype(np.intp)
+            key >>= np.uint64(low)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        count = np.diff(np.append(first, len(key)))
+        enough = count >= min_uses
+        at, key, count = at.compress(np.repeat(enough, count)), key.take(first.compress(enough)), count.compress(enough)
+        pair[at] = np.repeat(np.arange(len(uses), len(uses) + len(key), dtype=np.int32), count)
+        flat[held : held + len(at)] = at
+        keys = np.append(keys, ((key >> np.uint64(half)) << np.uint64(32)) | (key & np.uint64((1 << half) - 1)))
+        uses, spans, begins = np.append(uses, count), np.append(spans, count), np.append(begins, held + np.cumsum(count) - count)
+        held += len(at)
 
     tokens = np.array([len(d) for d in docs], dtype=np.int64)
-    seq = np.concatenate([*docs, np.empty(0, np.uint32)]).astype(np.uint32)
-    if len(seq) and int(seq.max()) >= base:
-        raise ValueError(f"id {int(seq.max())} is not below {base}")
-    n = len(seq)
+    none = np.int32(2**31 - 1)
+    seq = np.concatenate([*docs, np.array([none], np.uint32)]).astype(np.uint32, copy=False)
+    n = len(seq) - 1
+    if n and int(seq[:-1].max()) >= base:
+        raise ValueError(f"id {int(seq[:-1].max())} is not below {base}")
+    ends = np.append(0, np.cumsum(tokens))
     last = np.zeros(n, bool)
-    last[np.cumsum(tokens)[tokens > 0] - 1] = True
-    # replaced pairs keep their first place; n, which is never live, stands beyond both ends of a document
+    last[ends[1:][tokens > 0] - 1] = True
+    # replaced pairs keep their first place; n, which has no pair, stands beyond both ends of a document
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     after[:-1][last] = n
     before[:1], before[1:][last] = n, n
-    gone, live = np.zeros(n + 1, bool), np.append(~last, False)
+    gone, marked = np.zeros(n, bool), np.zeros(n, bool)
     left, right, lengths = [], [], []
     size, top, r, least = np.ones(base, np.int64), base, 0, max(2, min_uses // 2)
-    none = np.int32(2**31 - 1)
-    rank = np.full(n + 1, none, np.int32)  #: of the pair at a place, in this round
-    won = np.zeros(n + 1, bool)
-    slot = np.zeros(n, np.intp)  #: of the pair at a live place
-    slot[:-1] = slots(seq[:-1], seq[1:])
-    table = np.bincount(slot[live[:-1]], minlength=1 << bits).astype(np.int32)  #: live places of each slot
+    pair = np.full(n + 1, -1, np.int32)  #: number of the pair at a place, if that has enough uses
+    keys, uses, begins, spans = np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))  #: of each number the pair, its places now, and where
+    flat, held = np.empty(3 * n, np.int32), 0  #: those it came about at are; each use of a rule makes two at most
+    enter(np.flatnonzero(~last))
     while rounds is None or r < rounds:
         r += 1
-        at = np.flatnonzero(live)
-        shared = table.take(slot.take(at))  # at least the count of the place's pair
-        live[at] = shared >= min_uses
-        table *= table >= min_uses
-        half = top.bit_length()
-        # pairs with so many uses are all among the places whose slots have as many
-        wanted = int(table.max())
-        if not wanted:
+        most = int(uses.max(initial=0))
+        if most < min_uses:
             break
-        while True:
-            wanted = max(min_uses, -(-wanted // within))
-            some = at.take(np.flatnonzero(shared >= wanted))
-            order, ordered = ordering((seq[some].astype(np.uint64) << np.uint64(half)) | seq[after[some]], 2 * half)
-            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            count = np.diff(np.append(first, len(ordered)))
-            hot = np.flatnonzero(count >= wanted)
-            if len(hot) or wanted == min_uses:
-                break
-        at = some
-        few = at[order[np.repeat(count < min_uses, count)]]
-        live[few] = False
-        tally(few, -1)
-        if not len(hot):
-            continue
-        place = np.full(len(count), none, np.int32)
-        place[hot[np.argsort(-count[hot], kind="stable")]] = np.arange(len(hot), dtype=np.int32)
-        which = np.empty(len(at), np.int32)
-        which[order] = np.repeat(place, count)
-        here = at[which != none]
-        rank[here] = which[which != none]
-        mine = rank[here]
-        wins = here[(mine <= rank[before[here]]) & (mine <= rank[after[here]])]
+        hot = np.flatnonzero(uses >= max(min_uses, -(-most // within)))
+        hot = hot[np.lexsort((mix64(keys[hot]), -uses[hot]))]
+        rank = np.full(len(uses) + 1, none, np.int32)  # the last is that of no pair
+        rank[hot] = np.arange(len(hot), dtype=np.int32)
+        here = ascending(gather(hot, spans, begins, flat))
+        mine = rank.take(pair.take(here))  # places whose pair went have another rank or none
+        wins = mine != none
+        wins &= mine <= rank.take(pair.take(before.take(here)))
+        wins &= mine <= rank.take(pair.take(after.take(here)))
+        wins, mine = here.compress(wins), mine.compress(wins)
         # neighbours both win only in a run of one pair
-        new_run = np.append(True, after[wins[:-1]] != wins[1:])[: len(wins)]
-        start = np.maximum.accumulate(np.where(new_run, np.arange(len(wins)), 0))
-        wins = wins[(np.arange(len(wins)) - start) % 2 == 0]
-        mine, ranks = rank[wins], rank[here]
-        rank[here] = none
+        run = after.take(wins[:-1]) == wins[1:]
+        if run.any():
+            start = np.maximum.accumulate(np.where(np.append(True, ~run), np.arange(len(wins)), 0))
+            odd = (np.arange(len(wins)) - start) % 2 == 0
+            wins, mine = wins.compress(odd), mine.compress(odd)
         used = np.bincount(mine, minlength=len(hot)) >= least
         if not used.any():  # runs of the most frequent pair are too short to use it often
-            few = here[ranks == 0]
-            live[few] = False
-            tally(few, -1)
+            pair[here.compress(pair.take(here) == hot[0])] = -1
+            uses[hot[0]] = 0
             continue
-        wins, mine = wins[used[mine]], mine[used[mine]]
-        pairs = np.empty(len(hot), np.uint64)
-        pairs[place[hot]] = ordered[first[hot]]
-        pairs, name = pairs[used], np.cumsum(used) - 1
-        lo, hi = (pairs >> np.uint64(half)).astype(np.int64), (pairs & np.uint64((1 << half) - 1)).astype(np.int64)
+        if not used.all():
+            some = used.take(mine)
+            wins, mine = wins.compress(some), mine.compress(some)
+        pairs, name = keys[hot[used]], (np.cumsum(used) - 1 + top).astype(np.uint32)
+        lo, hi = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         left.append(lo)
         right.append(hi)
         lengths.append(size[lo] + size[hi])
         size = np.concatenate([size, lengths[-1]])
-        seq[wins] = top + name[mine]
-        second = after[wins]
-        beyond = after[second]
+        seq[wins] = name.take(mine)
+        second = after.take(wins).astype(np.intp)
+        beyond = after.take(second).astype(np.intp)
         gone[second] = True
         after[wins], before[beyond] = beyond, wins
         # the pairs that the new symbols begin or end; a symbol may end one and begin another
-        won[wins], won[n] = True, True
-        ahead = before[wins]
-        ahead = ahead[~won[ahead]]
-        won[wins] = False
-        old = np.concatenate([wins, second, ahead])
-        tally(old[live[old]], -1)
-        live[second], live[wins] = False, beyond < n
-        new = np.concatenate([wins[beyond < n], ahead])
-        live[ahead], slot[new] = True, slots(seq[new], seq[after[new]])
-        tally(new, 1)
+        ahead = before.take(wins)
+        ahead = ahead.compress(seq.take(ahead) < top).astype(np.intp)  # neither a new symbol nor n
+        for old in (wins, second, ahead):
+            uses -= np.bincount(pair.take(old) + 1, minlength=len(uses) + 1)[1:]
+            pair[old] = -1
         top += len(pairs)
         if top > 1 << 24:
             raise ValueError("more symbols than 24 bits name")
-    kept = np.append(0, np.cumsum(~gone[:-1]))
-    starts = np.append(0, kept[np.cumsum(tokens)])
+        enter(np.concatenate([wins.compress(beyond < n), ahead]))
+    kept = np.flatnonzero(~gone)
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return Shard(doc_ids, tokens, starts, base, join(left), join(right), join(lengths), seq[~gone[:-1]])
+    return Shard(doc_ids, tokens, np.searchsorted(kept, ends), base, join(left), join(right), join(lengths), seq.take(kept))

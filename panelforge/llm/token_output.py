@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import Scratch, arrow_map, bounded_batches, crc_u32, shuffle_parts
+from panelforge.llm.common import Scratch, arrow_map, bounded_batches, crc_u32, keep_blocks, shuffle_parts
 from panelforge.llm.repair import Shard, build
 from panelforge.llm.tokenize import encoder
 
@@ -33,6 +33,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, name: str, tokenizer: str, s
     def shards(batches):
         words, part, before = encoder(tokenizer, space_prefix, words_kept), TaskContext.get().partitionId(), 0
         ids, held, size = [], [], 0
+        keep_blocks()
 
         def flush():
             nonlocal ids, held, size, before

@@ -133,11 +133,11 @@ class Encoder:
 
 def gather(symbols: np.ndarray, lengths: np.ndarray, places: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The stretches of flat that these symbols stand for, one after the other."""
-    n = lengths[symbols]
+    n = lengths.take(symbols)
     before = np.cumsum(n) - n
-    at = np.repeat((places[symbols] - before).astype(np.int32), n)
+    at = np.repeat((places.take(symbols) - before).astype(np.int32), n)
     at += np.arange(len(at), dtype=np.int32)
-    return flat[at]
+    return flat.take(at)
 
 
 @lru_cache(maxsize=1)

@@ -29,6 +29,14 @@ def test_grammar_replaces_until_no_pair_is_frequent():
         assert most_uses(s) < 8 and s.decode_all().tolist() == np.concatenate(mixed).tolist()
 
 
+def test_grammar_takes_few_rounds_on_ascending_ids():
+    """Pairs of equal counts in ascending order went one a round, and each round read all places."""
+    docs = [np.arange(3000, dtype=np.uint16)] * 8
+    s = Shard.from_bytes(build(list(range(8)), docs, rounds=64).to_bytes())
+    assert len(s.symbols) == 8 and int(s.lengths.max()) == 3000 and most_uses(s) < 8
+    assert s.decode_all().tolist() == np.concatenate(docs).tolist() and s.decode(5, 7, 11).tolist() == [7, 8, 9, 10]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=80), max_size=6))
 def test_grammar_ends_on_any_ids(docs):
